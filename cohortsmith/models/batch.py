@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 
 from cohortsmith.models.design import (
     Cat,
-    Num,
     Term,
     resolve,
     spark_design,
@@ -24,12 +24,23 @@ from cohortsmith.session import materialize
 MAX_PATTERNS = 500_000
 
 
+# Levels with the reference first, only the reference, or None for sorted levels.
+Levels = Sequence[str] | str | None
+
+
+def exposure_term(name: str, exposures: Mapping[str, Levels]) -> Cat:
+    levels = exposures[name]
+    if levels is None or isinstance(levels, str):
+        return Cat(name, ref=levels)
+    return Cat(name, tuple(levels))
+
+
 def collapse(
     df: DataFrame,
     terms: Sequence[Term],
     response: Mapping[str, Column],
     sums: Mapping[str, str],
-    exposures: Mapping[str, Sequence[str] | None] | None = None,
+    exposures: Mapping[str, Levels] | None = None,
     strata: Sequence[str] = (),
 ) -> DataFrame:
     """Count rows per model and covariate pattern, complete cases only.
@@ -49,9 +60,7 @@ def collapse(
     if exposures is None:
         rows = df.select(*shared, F.lit("model").alias("model"))
     else:
-        answers = typed_variables(
-            [Cat(e, tuple(lv) if lv else None) for e, lv in exposures.items()]
-        )
+        answers = typed_variables([exposure_term(e, exposures) for e in exposures])
         picked = [c.alias(f"exposure_{e}") for c, e in zip(answers, exposures)]
         labels = F.create_map(
             *[F.lit(x) for e in exposures for x in (f"exposure_{e}", e)]
@@ -82,7 +91,7 @@ def collapse(
 def run_fits(
     collapsed: DataFrame,
     terms: Sequence[Term],
-    exposures: Mapping[str, Sequence[str] | None] | None,
+    exposures: Mapping[str, Levels] | None,
     strata: Sequence[str],
     schema: str,
     fit_local: Callable[[pd.DataFrame, list[Term]], pd.DataFrame],
@@ -102,9 +111,8 @@ def run_fits(
     def model_terms(model: str) -> list[Term]:
         if exposures is None:
             return list(terms)
-        levels = exposures[model]
-        first = Cat("exposure", tuple(levels) if levels else None, label=model)
-        return [first, *terms]
+        own = exposure_term(model, exposures)
+        return [replace(own, name="exposure", label=model), *terms]
 
     spark = table.sparkSession
     fields = f"model string, {''.join(f'{s} string, ' for s in strata)}{schema}"
@@ -164,6 +172,3 @@ def design_rows(
         *keep, *[c.alias(f"x{i}") for i, (_, c) in enumerate(pairs)]
     ).persist()
     return [label for label, _ in pairs], rows
-
-
-__all__ = ["MAX_PATTERNS", "Num", "collapse", "design_rows", "run_fits"]

@@ -13,7 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortsmith.functions.stats import wald_z
-from cohortsmith.models.batch import MAX_PATTERNS, collapse, design_rows, run_fits
+from cohortsmith.models.batch import (
+    MAX_PATTERNS,
+    Levels,
+    collapse,
+    design_rows,
+    run_fits,
+)
 from cohortsmith.models.design import Term, local_design
 from cohortsmith.models.efron import tie_sums
 from cohortsmith.models.logistic import _null_for_nan, _upper
@@ -260,7 +266,7 @@ def cox_batch(
     df: DataFrame,
     time: str,
     event: str,
-    exposures: Mapping[str, Sequence[str] | None],
+    exposures: Mapping[str, Levels],
     adjust: Sequence[Term] = (),
     strata: Sequence[str] = (),
     confidence: float = 0.95,

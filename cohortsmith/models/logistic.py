@@ -12,7 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortsmith.functions.stats import wald_z
-from cohortsmith.models.batch import MAX_PATTERNS, collapse, design_rows, run_fits
+from cohortsmith.models.batch import (
+    MAX_PATTERNS,
+    Levels,
+    collapse,
+    design_rows,
+    run_fits,
+)
 from cohortsmith.models.design import Term, local_design
 from cohortsmith.models.newton import Evaluate, estimable, maximise, profile_bounds
 
@@ -154,7 +160,7 @@ def _null_for_nan(df: DataFrame) -> DataFrame:
 def logistic_batch(
     df: DataFrame,
     outcome: str,
-    exposures: Mapping[str, Sequence[str] | None],
+    exposures: Mapping[str, Levels],
     adjust: Sequence[Term] = (),
     strata: Sequence[str] = (),
     confidence: float = 0.95,
@@ -163,8 +169,8 @@ def logistic_batch(
 ) -> DataFrame:
     """One model per exposure, each with the same adjusters, and per stratum.
 
-    ``exposures`` maps a column to its levels, reference first, or to None for
-    the sorted values present.  ``outcome`` is 0/1; rows with NULL in a variable
+    ``exposures`` maps a column to its levels, reference first, to just the
+    reference, or to None for the sorted values present.  ``outcome`` is 0/1; rows with NULL in a variable
     of a model are left out of that model.
     """
     collapsed = collapse(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortsmith.functions.dates import week_start
 from cohortsmith.functions.stats import safe_ratio
+from cohortsmith.session import materialize
 from cohortsmith.sources.spine import group_spine
 
 
@@ -72,17 +73,24 @@ def histogram(df: DataFrame, value: str, facet: str, bins: int = 20) -> DataFram
     """Counts in equal-width bins over the common range of all facets.
 
     The first bin starts at the minimum; the maximum falls in the last bin.
+    The input is read once and collapsed to counts per distinct value.
     """
-    known = df.where(F.col(value).isNotNull())
-    low = known.agg(F.min(value).cast("double")).scalar()
-    width = known.agg((F.max(value) - F.min(value)).cast("double") / bins).scalar()
-    position = F.floor(safe_ratio(F.col(value) - low, width))
+    counts = materialize(
+        df.where(F.col(value).isNotNull())
+        .groupBy(facet, F.col(value).cast("double").alias("value"))
+        .agg(F.count("*").alias("n")),
+        "values",
+    )
+    low, high = counts.agg(F.min("value"), F.max("value")).first()
+    if low is None:
+        low = high = 0.0
+    width = (high - low) / bins
+    position = F.floor(safe_ratio(F.col("value") - low, F.lit(width)))
+    position = F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1))
     return (
-        known.groupBy(
-            facet, F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1)).alias("bin")
-        )
-        .agg(F.count("*").alias("n"))
-        .withColumn("bin_start", low + F.col("bin") * width)
+        counts.groupBy(facet, position.alias("bin"))
+        .agg(F.sum("n").alias("n"))
+        .withColumn("bin_start", F.lit(low) + F.col("bin") * F.lit(width))
     )
 
 

@@ -310,18 +310,17 @@ def group_share(spark, folder):
 )
 def stat_denominator(spark, folder):
     """Shares of totals that are taken over differently filtered rows."""
-    people = data.cohort(spark, folder)
-    known = filters.not_null(people, "agegr")
-    return known.groupBy("agegr").agg(
+    groups = data.cohort(spark, folder).groupBy("agegr").agg(
         F.count("*").alias("n"), F.sum("event").alias("cases")
-    ).select(
+    )
+    known = filters.not_null(groups, "agegr")
+    rows, cases = known.agg(F.sum("n")).scalar(), groups.agg(F.sum("cases")).scalar()
+    return known.select(
         "agegr",
         "n",
-        (fn.safe_ratio(F.col("n"), known.agg(F.count("*")).scalar()) * 100).alias("pct"),
+        (fn.safe_ratio(F.col("n"), rows) * 100).alias("pct"),
         "cases",
-        (fn.safe_ratio(F.col("cases"), people.agg(F.sum("event")).scalar()) * 100).alias(
-            "pctcases"
-        ),
+        (fn.safe_ratio(F.col("cases"), cases) * 100).alias("pctcases"),
     )
 
 
