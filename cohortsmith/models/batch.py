@@ -23,6 +23,12 @@ from cohortsmith.session import materialize
 # one distributed aggregation per step.
 MAX_PATTERNS = 500_000
 
+# Tasks that share the small fits.
+MAX_TASKS = 2_000
+
+
+# Keeps exposures apart from adjusters of the same name.
+PREFIX = "exposure_"
 
 # Levels with the reference first, only the reference, or None for sorted levels.
 Levels = Sequence[str] | str | None
@@ -61,24 +67,13 @@ def collapse(
         rows = df.select(*shared, F.lit("model").alias("model"))
     else:
         answers = typed_variables([exposure_term(e, exposures) for e in exposures])
-        picked = [c.alias(f"exposure_{e}") for c, e in zip(answers, exposures)]
-        labels = F.create_map(
-            *[F.lit(x) for e in exposures for x in (f"exposure_{e}", e)]
-        )
-        rows = (
-            df.select(*shared, *picked)
-            .unpivot(
-                [*keys, *response],
-                [f"exposure_{e}" for e in exposures],
-                "picked",
-                "exposure",
-            )
-            .withColumn("model", labels[F.col("picked")])
-            .drop("picked")
+        picked = [c.alias(f"{PREFIX}{e}") for c, e in zip(answers, exposures)]
+        rows = df.select(*shared, *picked).unpivot(
+            [*keys, *response], [f"{PREFIX}{e}" for e in exposures], "model", "exposure"
         )
         keys.append("exposure")
     grouping = ["model", *keys, *[r for r in response if r not in sums.values()]]
-    return (
+    counts = (
         rows.dropna(subset=[*keys, *response])
         .groupBy(*grouping)
         .agg(
@@ -86,6 +81,8 @@ def collapse(
             *[F.sum(source).alias(name) for name, source in sums.items()],
         )
     )
+    # Column names became model names; cut the prefix off the few counted rows.
+    return counts.withColumn("model", F.regexp_replace("model", f"^{PREFIX}", ""))
 
 
 def run_fits(
@@ -106,7 +103,10 @@ def run_fits(
     """
     table = materialize(collapsed, "patterns")
     model_keys = ["model", *strata]
-    sizes = table.groupBy(*model_keys).count().collect()
+    sizes = table.groupBy(*model_keys).count()
+    n_models = sizes.count()
+    # No more rows than the table has times max_patterns.
+    large = sizes.where(F.col("count") > max_patterns).collect()
 
     def model_terms(model: str) -> list[Term]:
         if exposures is None:
@@ -116,10 +116,9 @@ def run_fits(
 
     spark = table.sparkSession
     fields = f"model string, {''.join(f'{s} string, ' for s in strata)}{schema}"
-    small = [r for r in sizes if r["count"] <= max_patterns]
-    large = [r for r in sizes if r["count"] > max_patterns]
+    n_small = n_models - len(large)
     parts = []
-    if small or not large:
+    if n_small or not large:
         of_small = table
         for row in large:
             same = [F.col(k).eqNullSafe(F.lit(row[k])) for k in model_keys]
@@ -136,7 +135,7 @@ def run_fits(
             return out
 
         parts.append(
-            of_small.repartition(max(len(small), 1), *model_keys)
+            of_small.repartition(min(max(n_small, 1), MAX_TASKS), *model_keys)
             .groupBy(*model_keys)
             .applyInPandas(fit, fields)
         )

@@ -30,6 +30,7 @@ ITERATIONS = 20
 
 # Distinct times one task may sort in the distributed fit.
 TIMES_PER_BUCKET = 200_000
+MAX_BUCKETS = 4_096
 
 SCHEMA = (
     "term string, hazard_ratio double, ci_lower double, ci_upper double, "
@@ -88,7 +89,7 @@ def _spark_evaluate(rows: DataFrame, p: int, n_times: int) -> Evaluate:
     in two levels (ranges of times, then times within a range) and sums the tie
     terms.  Only the range totals and p*(p+3)/2 sums reach the driver.
     """
-    n_buckets = math.ceil(n_times / TIMES_PER_BUCKET)
+    n_buckets = min(math.ceil(n_times / TIMES_PER_BUCKET), MAX_BUCKETS)
     inner = sorted(set(
         rows.select("time").distinct().approxQuantile(
             "time", [i / n_buckets for i in range(1, n_buckets)], 0.1 / n_buckets

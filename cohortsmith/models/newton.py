@@ -9,6 +9,10 @@ import numpy as np
 # Log-likelihood, gradient and information matrix at a coefficient vector.
 Evaluate = Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]]
 
+# Steps after convergence, and the gain in log-likelihood that ends them.
+POLISH = 3
+NEGLIGIBLE_GAIN = 1e-20
+
 
 def estimable(gram: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
     """Columns that are no linear combination of the columns before them.
@@ -41,15 +45,23 @@ def maximise(
 ):
     """Newton steps over the ``free`` coefficients, halved while they overshoot.
 
-    Stops on the relative change of the log-likelihood; one more step then
-    polishes the estimate.  Returns coefficients, log-likelihood, information
-    and whether the fit converged.
+    The fit has converged once the relative change of the log-likelihood is
+    below the tolerance.  With very many rows that change says little about the
+    coefficients, so a few more steps follow until the expected gain of a step
+    is negligible.  Returns coefficients, log-likelihood, information and
+    whether the fit converged.
     """
     beta = start.copy()
     value, gradient, information = evaluate(beta)
-    converged = not free.any()
-    for _ in range(0 if converged else iterations):
+    if not free.any():
+        return beta, value, information, True
+    converged, polish = False, POLISH
+    for _ in range(iterations):
         step = _solve(information[np.ix_(free, free)], gradient[free])
+        if converged:
+            if polish == 0 or gradient[free] @ step < NEGLIGIBLE_GAIN:
+                break
+            polish -= 1
         for _ in range(12):
             trial = beta.copy()
             trial[free] += step
@@ -61,9 +73,7 @@ def maximise(
             break
         change = abs(new[0] - value) / (abs(new[0]) + 0.1)
         beta, (value, gradient, information) = trial, new
-        if converged:
-            break
-        converged = change < tolerance
+        converged = converged or change < tolerance
     return beta, value, information, converged
 
 

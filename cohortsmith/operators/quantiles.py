@@ -3,48 +3,60 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortsmith.session import materialize
 
-# Distinct (group, value) pairs one task may sort.
+# Distinct (group, value) pairs one task may sort, and the most value ranges.
 ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 4_096
 
 
 def _ranked(
-    counts: DataFrame, by: list[str], n_pairs: int, rows_per_bucket: int
+    counts: DataFrame,
+    by: list[str],
+    n_pairs: int,
+    rows_per_bucket: int,
+    wanted: Callable[[Column, Column, Column], Column],
 ) -> DataFrame:
-    """Add ``upto`` (rows of the group up to and with this value) and ``size``.
+    """Add ``upto`` (rows of the group up to and with this value) and the group's
+    ``size`` and ``total``.
 
-    Few pairs are ranked in one window per group.  Many are cut into value
-    ranges of about equal size first, so that no group, however large, is
-    ranked in a single task.
+    Few pairs are ranked in one window per group.  Many are first counted in
+    value ranges of about equal size; only the ranges that hold a wanted rank
+    are shuffled and ranked, so no group is sorted in a single task.
     """
+    group = Window.partitionBy(*by)
+    weighted = counts.withColumn("weighted", F.col("value") * F.col("n"))
     if n_pairs <= rows_per_bucket:
-        group = Window.partitionBy(*by)
-        return counts.withColumns({
+        return weighted.withColumns({
             "upto": F.sum("n").over(group.orderBy("value")),
             "size": F.sum("n").over(group),
+            "total": F.sum("weighted").over(group),
         })
-    n_buckets = math.ceil(n_pairs / rows_per_bucket)
+    n_buckets = min(math.ceil(n_pairs / rows_per_bucket), MAX_BUCKETS)
     steps = [i / n_buckets for i in range(1, n_buckets)]
     inner = sorted(set(counts.approxQuantile("value", steps, 0.1 / n_buckets)))
     bucketed = Bucketizer(
         splits=[-math.inf, *inner, math.inf], inputCol="value", outputCol="bucket"
-    ).transform(counts)
-    group = Window.partitionBy(*by)
+    ).transform(weighted)
     ranges = (
         bucketed.groupBy(*by, "bucket")
-        .agg(F.sum("n").alias("in_bucket"))
+        .agg(F.sum("n").alias("inside"), F.sum("weighted").alias("weighted"))
         .withColumns({
-            "before": F.sum("in_bucket").over(group.orderBy("bucket"))
-            - F.col("in_bucket"),
-            "size": F.sum("in_bucket").over(group),
+            "before": F.sum("inside").over(group.orderBy("bucket")) - F.col("inside"),
+            "size": F.sum("inside").over(group),
+            "total": F.sum("weighted").over(group),
         })
+        .where(
+            wanted(F.col("before"), F.col("before") + F.col("inside"), F.col("size"))
+        )
+        .drop("inside", "weighted")
     )
     keys = [*by, "bucket"]
     same = [bucketed[k].eqNullSafe(ranges[k]) for k in keys]
@@ -55,6 +67,7 @@ def _ranked(
         "n",
         (F.col("before") + F.sum("n").over(within)).alias("upto"),
         "size",
+        "total",
     )
 
 
@@ -81,26 +94,37 @@ def quantile_summary(
     counts = materialize(
         source.groupBy(*by, "value").agg(F.count("*").alias("n")), "values"
     )
-    ranked = _ranked(counts, by, counts.count(), rows_per_bucket)
+
+    def positions(p, size):
+        """Fractional position of the quantile and the two ranks around it."""
+        position = (size - 1) * F.lit(float(p))
+        low = F.floor(position)
+        return position, low, F.least(low + 1, size - 1)
+
+    def wanted(start, end, size):
+        ranks = [r for p in probs for r in positions(p, size)[1:]]
+        return reduce(
+            lambda a, b: a | b, [(r >= start) & (r < end) for r in ranks]
+        )
+
+    ranked = _ranked(counts, by, counts.count(), rows_per_bucket, wanted)
 
     def order_statistic(rank):
         """Value at a 0-based rank."""
         here = (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
         return F.max(F.when(here, F.col("value")))
 
-    last = F.col("size") - 1
-    stats = [F.sum(F.col("value") * F.col("n")).alias("total"),
-             F.max("size").alias("size")]
+    stats = [F.max("total").alias("total"), F.max("size").alias("size")]
     for name, p in zip(names, probs):
-        low = F.floor(last * F.lit(float(p)))
+        _, low, high = positions(p, F.col("size"))
         stats.append(order_statistic(low).alias(f"{name}_low"))
-        stats.append(order_statistic(F.least(low + 1, last)).alias(f"{name}_high"))
+        stats.append(order_statistic(high).alias(f"{name}_high"))
     picked = ranked.groupBy(*by).agg(*stats)
 
     def interpolated(name, p):
-        position = last * F.lit(float(p))
+        position, rank, _ = positions(p, F.col("size"))
         low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
-        return (low + (position - F.floor(position)) * (high - low)).alias(name)
+        return (low + (position - rank) * (high - low)).alias(name)
 
     columns = [interpolated(name, p) for name, p in zip(names, probs)]
     if mean:
