@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from cohortsmith.models.design import (
     Cat,
     Term,
+    as_categories,
     resolve,
+    row_variables,
     spark_design,
-    typed_variables,
     variables,
 )
 from cohortsmith.session import materialize
@@ -27,9 +29,6 @@ MAX_PATTERNS = 500_000
 MAX_TASKS = 2_000
 
 
-# Keeps exposures apart from adjusters of the same name.
-PREFIX = "exposure_"
-
 # Levels with the reference first, only the reference, or None for sorted levels.
 Levels = Sequence[str] | str | None
 
@@ -52,37 +51,72 @@ def collapse(
     """Count rows per model and covariate pattern, complete cases only.
 
     With ``exposures`` every exposure makes a model of its own; the rows are
-    unpivoted so that all models come out of one scan and one aggregation.
-    ``response`` names the response columns; those in ``sums`` (new name to
-    response column) are summed, the others join the pattern.
+    unpivoted so that all models come out of one aggregation.  ``response``
+    names the response columns; those in ``sums`` (new name to response column)
+    are summed, the others join the pattern.
     """
-    names = [v.name for v in variables(terms)]
+    keys = [*strata, *[v.name for v in variables(terms)]]
     shared = [
         *[F.col(s) for s in strata],
-        *typed_variables(terms),
+        *row_variables(df, terms),
         *[c.alias(n) for n, c in response.items()],
     ]
-    keys = [*strata, *names]
-    if exposures is None:
-        rows = df.select(*shared, F.lit("model").alias("model"))
-    else:
-        answers = typed_variables([exposure_term(e, exposures) for e in exposures])
-        picked = [c.alias(f"{PREFIX}{e}") for c, e in zip(answers, exposures)]
-        rows = df.select(*shared, *picked).unpivot(
-            [*keys, *response], [f"{PREFIX}{e}" for e in exposures], "model", "exposure"
-        )
-        keys.append("exposure")
-    grouping = ["model", *keys, *[r for r in response if r not in sums.values()]]
-    counts = (
-        rows.dropna(subset=[*keys, *response])
-        .groupBy(*grouping)
-        .agg(
-            F.count("*").alias("n"),
-            *[F.sum(source).alias(name) for name, source in sums.items()],
+
+    def count(rows: DataFrame, *more: str) -> DataFrame:
+        grouping = [*keys, *more, *[r for r in response if r not in sums.values()]]
+        return (
+            rows.dropna(subset=[*keys, *more, *response])
+            .groupBy(*grouping)
+            .agg(
+                F.count("*").alias("n"),
+                *[F.sum(source).alias(name) for name, source in sums.items()],
+            )
         )
-    )
-    # Column names became model names; cut the prefix off the few counted rows.
-    return counts.withColumn("model", F.regexp_replace("model", f"^{PREFIX}", ""))
+
+    if exposures is None:
+        counts = count(df.select(*shared)).withColumn("model", F.lit("model"))
+        return as_categories(counts, terms)
+
+    def per_exposure(answers: Mapping[str, Column], text) -> DataFrame:
+        short = {f"_{i}": e for i, e in enumerate(answers)}
+        rows = df.select(
+            *shared, *[answers[e].alias(s) for s, e in short.items()]
+        ).unpivot([*keys, *response], list(short), "model", "exposure")
+        full_name = F.create_map(*[F.lit(x) for pair in short.items() for x in pair])
+        counts = count(rows, "model", "exposure")
+        counts = counts.withColumn("model", full_name[F.col("model")])
+        return counts.withColumn("exposure", text(F.col("model"), F.col("exposure")))
+
+    # Listed levels travel as their position, which is cheap to group by.
+    own = {e: exposure_term(e, exposures) for e in exposures}
+    listed = {e: t.levels for e, t in own.items() if t.levels is not None}
+    kinds = dict(df.dtypes)
+
+    def level_of(model: Column, position: Column) -> Column:
+        levels = F.create_map(*[
+            x for e, found in listed.items()
+            for x in (F.lit(e), F.array(*[F.lit(v) for v in found]))
+        ])
+        return F.get(levels[model], position)
+
+    parts = []
+    if listed:
+        positions = {
+            e: _position(F.col(e), levels, kinds[e]) for e, levels in listed.items()
+        }
+        parts.append(per_exposure(positions, level_of))
+    if len(listed) < len(own):
+        texts = {e: F.col(e).cast("string") for e in own if e not in listed}
+        parts.append(per_exposure(texts, lambda model, value: value))
+    return as_categories(reduce(DataFrame.unionByName, parts), terms)
+
+
+def _position(answer: Column, levels: Sequence[str], kind: str) -> Column:
+    """Position of a value among the levels, NULL for unlisted values."""
+    chain = F
+    for i, level in enumerate(levels):
+        chain = chain.when(answer == F.lit(level).try_cast(kind), i)
+    return chain
 
 
 def run_fits(
@@ -104,9 +138,10 @@ def run_fits(
     table = materialize(collapsed, "patterns")
     model_keys = ["model", *strata]
     sizes = table.groupBy(*model_keys).count()
-    n_models = sizes.count()
-    # No more rows than the table has times max_patterns.
-    large = sizes.where(F.col("count") > max_patterns).collect()
+    too_large = F.col("count") > max_patterns
+    n_models, n_large = sizes.agg(F.count("*"), F.count_if(too_large)).first()
+    # At most the table's size divided by max_patterns.
+    large = sizes.where(too_large).collect() if n_large else []
 
     def model_terms(model: str) -> list[Term]:
         if exposures is None:
@@ -116,7 +151,7 @@ def run_fits(
 
     spark = table.sparkSession
     fields = f"model string, {''.join(f'{s} string, ' for s in strata)}{schema}"
-    n_small = n_models - len(large)
+    n_small = n_models - n_large
     parts = []
     if n_small or not large:
         of_small = table

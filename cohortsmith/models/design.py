@@ -129,28 +129,47 @@ def spark_design(terms: Sequence[Term]) -> list[tuple[str, Column]]:
     )
 
 
-def typed_variables(terms: Sequence[Term]) -> list[Column]:
-    """The variables in the types the models use; unlisted levels become NULL."""
+def _listed(text: Column, levels: Sequence[str] | None) -> Column:
+    return text if levels is None else F.when(text.isin(*levels), text)
+
+
+def row_variables(df: DataFrame, terms: Sequence[Term]) -> list[Column]:
+    """The variables as grouping keys; unlisted text becomes NULL.
+
+    Numbers and flags used as categories keep their type: they are cheaper to
+    group by and ``as_categories`` turns the few counted rows into text.
+    """
+    kinds = dict(df.dtypes)
     out = []
     for v in variables(terms):
+        key = F.col(v.name)
         if isinstance(v, Num):
-            out.append(F.col(v.name).cast("double").alias(v.name))
-        else:
-            text = F.col(v.name).cast("string")
-            if v.levels is not None:
-                text = F.when(text.isin(*v.levels), text)
-            out.append(text.alias(v.name))
+            key = key.cast("double")
+        elif kinds[v.name] == "string":
+            key = _listed(key, v.levels)
+        out.append(key.alias(v.name))
     return out
 
 
+def as_categories(counts: DataFrame, terms: Sequence[Term]) -> DataFrame:
+    """Categorical variables of counted rows as text, listed levels only."""
+    categories = [v for v in variables(terms) if isinstance(v, Cat)]
+    return counts.withColumns({
+        v.name: _listed(F.col(v.name).cast("string"), v.levels) for v in categories
+    }).dropna(subset=[v.name for v in categories])
+
+
 def design_matrix(df: DataFrame, terms: Sequence[Term], *keep: str) -> DataFrame:
     """Complete cases with one column per design column.
 
     Categorical terms need explicit levels here.
     """
     names = [v.name for v in variables(terms)]
-    complete = df.select(
-        *[F.col(k) for k in keep if k not in names], *typed_variables(terms)
-    ).dropna(subset=names)
+    complete = as_categories(
+        df.select(
+            *[F.col(k) for k in keep if k not in names], *row_variables(df, terms)
+        ).dropna(subset=names),
+        terms,
+    )
     pairs = spark_design(resolve(terms, {}))
     return complete.select(*keep, *[c.alias(label) for label, c in pairs])

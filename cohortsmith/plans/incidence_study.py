@@ -14,7 +14,7 @@ from cohortsmith.operators.joins import cohort_episode_join
 from cohortsmith.operators.quantiles import quantile_summary
 from cohortsmith.plans.covariates import CHILDREN, NO, OUTCOMES, RESULTS, YES
 from cohortsmith.plans.symptom_study import Outputs
-from cohortsmith.session import materialize
+from cohortsmith.session import materialize, tune
 
 # Study calendar of the moving average and map extent.
 SPINE = ("2020-12-15", "2022-01-15")
@@ -49,6 +49,7 @@ agegr10 sex hypertensionbin diabetesbin hivbin SesScoreQnt education
 
 def case_outputs(cases: DataFrame, spine: tuple[str, str] = SPINE) -> Outputs:
     """Epidemic curve, description of the cases, delays and Ct values."""
+    tune(cases.sparkSession)
     cases = materialize(cases, "cases")
     filled = cases.withColumn(
         "testresult", fn.fill_missing_category("testresult", RESULTS[0], RESULTS)
@@ -170,6 +171,7 @@ def cohort_outputs(
     children: str = CHILDREN,
 ) -> Outputs:
     """Description of the cohort, univariable tables, Cox models and rates."""
+    tune(cohort.sparkSession)
     cohort = materialize(cohort, "cohort")
     adult = F.col("agegr") != children
     coded = cohort.withColumns(

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortsmith.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -16,7 +18,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def add(query: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = query
+        QUERIES[name] = lambda spark, folder: query(tune(spark), folder)
         if oracle is not None:
             ORACLES[name] = oracle
         return query

@@ -25,7 +25,7 @@ from cohortsmith.plans.covariates import (
     with_covariates,
 )
 from cohortsmith.plans.symptom_study import Outputs
-from cohortsmith.session import materialize
+from cohortsmith.session import materialize, tune
 from cohortsmith.sources.schemas import SERO_BASELINE
 
 PERSON, DATE, MAIN = "pseudoID", "datacolheita", "seroresultRBD_NP"
@@ -94,6 +94,7 @@ def serosurvey_study(
     survey: DataFrame, order: tuple[str, ...] = (), cutoff: date = CUTOFF
 ) -> Outputs:
     """All tables and models of the study; each is computed when called."""
+    tune(survey.sparkSession)
     samples = materialize(classified_samples(survey, order, cutoff), "samples")
     people = materialize(survival_rows(samples), "survival")
     adult = F.col("agegr") != CHILDREN

@@ -13,7 +13,7 @@ from cohortsmith.operators import filters
 from cohortsmith.operators import frequencies as freq
 from cohortsmith.operators.quantiles import quantile_summary
 from cohortsmith.plans.covariates import ERA_STARTS, ERAS, NO, YES
-from cohortsmith.session import materialize
+from cohortsmith.session import materialize, tune
 
 # Symptoms in the order of the tables.
 TABULATED = """
@@ -49,6 +49,7 @@ def symptom_study(
     The tested cases are written once, so the raw file is parsed a single time
     for all outputs.
     """
+    tune(cases.sparkSession)
     tested = materialize(
         filters.tested_only(cases, "testresult").withColumns({
             "O2under95": fn.threshold_flag("oxygen_saturation", 95),

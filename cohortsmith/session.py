@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
 
+# The JVM does not compile methods beyond this many bytes of bytecode.  Spark's
+# own default lets generated code for wide projections run interpreted instead.
+HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
+COMPILED_METHOD_BYTES = "8000"
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings that wide recodes and unpivots profit from."""
+    if spark.conf.get(HUGE_METHOD) == "65535":
+        spark.conf.set(HUGE_METHOD, COMPILED_METHOD_BYTES)
+    return spark
+
 
 def scratch_path(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as named by the cluster.
