@@ -190,6 +190,25 @@ def test_batch_equals_single_models(frame):
     assert got["wave", "wave=b"] == pytest.approx(wave["wave=b"][0], rel=1e-9)
 
 
+def test_small_and_large_models_of_one_batch(frame):
+    """One model fits the limit, the other one takes the distributed path."""
+
+    def fits(**options):
+        batch = logistic_batch(
+            frame, "sick", {"fever": ["0", "1"], "age": None}, adjust=[Num("years")],
+            strata=["wave"], conf="wald", **options,
+        )
+        return {
+            (r["model"], r["wave"], r["term"]): (r["estimate"], r["std_error"])
+            for r in batch.collect()
+        }
+
+    local, mixed = fits(), fits(max_patterns=130)
+    assert local.keys() == mixed.keys()
+    for key in local:
+        assert mixed[key] == pytest.approx(local[key], rel=1e-8)
+
+
 def test_strata_equal_subsets(frame):
     terms = [Num("fever"), Cat("age", tuple(AGES))]
     stratified = logistic_or(frame, "sick", terms, strata=["wave"], conf="wald")

@@ -70,3 +70,16 @@ def test_scratch_is_the_configured_folder(spark):
 def test_materialize(spark, rows):
     df = spark.createDataFrame([("a b", 1), (None, 2)], "`x=1` string, n int")
     assert rows(session.materialize(df, "check")) == [(None, 2), ("a b", 1)]
+
+
+def test_tuning_keeps_a_limit_the_user_chose(spark):
+    default = spark.conf.get(session.HUGE_METHOD)
+    try:
+        spark.conf.set(session.HUGE_METHOD, "65535")
+        session.tune(spark)
+        assert spark.conf.get(session.HUGE_METHOD) == session.COMPILED_METHOD_BYTES
+        spark.conf.set(session.HUGE_METHOD, "12345")
+        session.tune(spark)
+        assert spark.conf.get(session.HUGE_METHOD) == "12345"
+    finally:
+        spark.conf.set(session.HUGE_METHOD, default)
