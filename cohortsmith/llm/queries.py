@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 
-
-from cohortsmith.llm import exact_dedup, mixing
+from cohortsmith.llm import exact_dedup, mixing, packing
 from cohortsmith.llm.tables import register, table
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 @register("op3_mix_sources")
 def op3_mix_sources(spark, folder):
@@ -27,3 +34,9 @@ def op3_mix_sources(spark, folder):
 )
 def op5_exact_dedup(spark, folder):
     return exact_dedup.mark_copies(table(spark, folder, "documents"))
+
+
+@register("op10_pack_windows")
+def op10_pack_windows(spark, folder):
+    """No SQL: a test compares ids with the tokenizer library and checks every place."""
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path())
