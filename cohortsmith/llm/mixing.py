@@ -221,3 +221,34 @@ def _taken(rounds: Sequence[str]) -> Column:
         for k in rounds
     ]
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def mix(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+    source_column: str = "source", **how,
+) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it has copies.
+
+    All columns stay; arguments are those of :func:`sample_copies`.
+    """
+    own = [column(docs, id_column), column(docs, source_column)]
+    taken = sample_copies(
+        docs, id_column=id_column, text_column=text_column, source_column=source_column, **how
+    ).where("copies > 0")
+    times = taken.select(
+        F.struct(
+            F.col(id_column).alias("id"), F.col(source_column).alias("source"), "size"
+        ).alias("of"),
+        "copies",
+    ).distinct()
+    row = F.struct(*[column(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    key = F.struct(
+        own[0].alias("id"), own[1].alias("source"),
+        word_count(column(docs, text_column)).alias("size"),
+    )
+    return (
+        docs.select(row.alias("row"), key.alias("key"))
+        .join(times, F.col("key").eqNullSafe(F.col("of")))
+        .select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("n"))
+        .select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    )

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 
-from cohortsmith.llm import exact_dedup, mixing, packing
+from pyspark.sql import functions as F
+
+from cohortsmith.llm import exact_dedup, mixing, packing, simhash, toxicity
 from cohortsmith.llm.tables import register, table
 
 TOKENIZER = "word_bpe_49k.json"
+TOXIC = 0.5
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -40,3 +43,25 @@ def op5_exact_dedup(spark, folder):
 def op10_pack_windows(spark, folder):
     """No SQL: a test compares ids with the tokenizer library and checks every place."""
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
+
+
+def toxicity_chain(docs, labels):
+    """The chain of the labelled columns: poor quality first, then toxic."""
+    return toxicity.fit(docs, labels, {
+        "low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1,
+    })
+
+
+@register("op4_toxicity")
+def op4_toxicity(spark, folder):
+    """A trained model has no SQL; a test measures it on labels it did not see."""
+    docs = table(spark, folder, "documents")
+    chain = toxicity_chain(docs, table(spark, folder, "labels"))
+    scored = toxicity.classify(docs, chain)
+    return scored.withColumn("toxic", F.col("p_toxic") >= TOXIC)
+
+
+@register("op8_simhash")
+def op8_simhash(spark, folder):
+    """SQL would compare all pairs; a test does so on a fixture."""
+    return simhash.near_copies(table(spark, folder, "documents"))
