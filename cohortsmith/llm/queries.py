@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortsmith.llm import exact_dedup, mixing, packing, simhash, toxicity
+from cohortsmith.llm import exact_dedup, mixing, packing, quality, simhash, toxicity
 from cohortsmith.llm.tables import register, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -65,3 +65,80 @@ def op4_toxicity(spark, folder):
 def op8_simhash(spark, folder):
     """SQL would compare all pairs; a test does so on a fixture."""
     return simhash.near_copies(table(spark, folder, "documents"))
+
+
+_FURNITURE = " OR ".join(
+    f"contains(lower(line), '{phrase}')" for phrase in quality.BOILERPLATE
+)
+_CLOSING = quality.CLOSING.replace("'", "''")
+
+
+@register(
+    "op7_quality_rules",
+    rf"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+    ),
+    windows AS (
+      SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS w
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)
+    ),
+    repeated AS (
+      SELECT doc_id, i FROM (
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows)
+      WHERE n > 1
+    ),
+    covered AS (
+      SELECT doc_id, count(*) AS n_repeat_words FROM (
+        SELECT doc_id, i FROM repeated UNION SELECT doc_id, i + 1 FROM repeated
+        UNION SELECT doc_id, i + 2 FROM repeated)
+      GROUP BY doc_id
+    ),
+    split_lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+    lines AS (
+      SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+        length(line) - length(translate(line, '#*$%&|<>', '')) AS symbols,
+        len(regexp_extract_all(line, '[|»•·>]')) AS separators,
+        len(regexp_extract_all(line, '!!')) AS shouts,
+        NOT contains('{_CLOSING}',
+          right(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), 1)) AS open_end,
+        ({_FURNITURE}) AS furniture
+      FROM split_lines
+    ),
+    per_doc AS (
+      SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+        sum(CASE WHEN symbols * 100 > {quality.MAX_SYMBOLS} * n
+          OR separators * 100 > {quality.MAX_SEPARATORS} * n
+          OR shouts * 100 > {quality.MAX_SHOUTS} * n OR furniture
+          OR (n <= {quality.SHORT_LINE} AND open_end) THEN n ELSE 0 END) AS words_removed,
+        sum(CASE WHEN symbols * 100 > {quality.MAX_SYMBOLS} * n
+          OR separators * 100 > {quality.MAX_SEPARATORS} * n
+          OR shouts * 100 > {quality.MAX_SHOUTS} * n OR furniture
+          OR (n <= {quality.SHORT_LINE} AND open_end) THEN 1 ELSE 0 END) AS n_lines_removed
+      FROM lines WHERE n > 0 GROUP BY doc_id
+    ),
+    counted AS (
+      SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+        CAST(length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13),
+          '')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+        CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+        CAST(coalesce(n_lines_removed, 0) AS BIGINT) AS n_lines_removed,
+        CAST(coalesce(words_removed, 0) AS BIGINT) AS words_removed
+      FROM d LEFT JOIN per_doc ON d.doc_id = per_doc.doc_id
+        LEFT JOIN covered ON d.doc_id = covered.doc_id
+    ),
+    based AS (
+      SELECT *, n_words < {quality.MIN_WORDS}
+        OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed
+      FROM counted
+    )
+    SELECT *, NOT base_failed
+      AND 100 * words_removed <= {quality.MAX_LOST} * n_words AS kept
+    FROM based
+    """,
+)
+def op7_quality_rules(spark, folder):
+    return quality.judge(table(spark, folder, "documents")).drop("clean_text")
