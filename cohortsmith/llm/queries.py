@@ -5,7 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortsmith.llm import exact_dedup, mixing, packing, quality, simhash, toxicity
+from cohortsmith.llm import (
+    exact_dedup,
+    language,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    toxicity,
+    url_filter,
+)
 from cohortsmith.llm.tables import register, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -142,3 +151,118 @@ _CLOSING = quality.CLOSING.replace("'", "''")
 )
 def op7_quality_rules(spark, folder):
     return quality.judge(table(spark, folder, "documents")).drop("clean_text")
+
+
+def _held_out():
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+
+
+@register("op1_language_id")
+def op1_language_id(spark, folder):
+    """A trained model has no SQL; a test measures it on the held-out fifth."""
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs.where(~_held_out()))
+    found = language.identify(docs, model)
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def list_events(pages):
+    """Dated entries for the domains of the pages, drawn from a hash of the name.
+
+    A quarter of the domains, and those with a tell-tale name, are on a block list
+    that adds, removes and adds them again; an eighth is on an allow list by host.
+    """
+    start = F.lit("2024-01-01").cast("date")
+
+    def number(name, first, digits, below):
+        part = F.substring(F.md5(F.col(name).cast("binary")), first, digits)
+        return F.conv(part, 16, 10).cast("int") % below
+
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host <> ''")
+    hosts = hosts.distinct()
+    domains = hosts.select(
+        F.regexp_replace("host", r"^(www|m|blog)\.", "").alias("domain")
+    ).distinct()
+    added = number("domain", 1, 4, 300)
+    removed = added + 1 + number("domain", 5, 4, 60)
+    again = removed + 1 + number("domain", 9, 4, 90)
+    listed = F.col("domain").rlike("spam|casino|pills") | (number("domain", 13, 2, 256) < 64)
+    blocked = domains.where(listed).select(
+        F.lit("block").alias("list"), F.lit(True).alias("blocks"), "domain",
+        F.explode(F.array(
+            F.struct(F.lit(True).alias("added"), F.date_add(start, added).alias("day")),
+            F.struct(F.lit(False).alias("added"), F.date_add(start, removed).alias("day")),
+            F.struct(F.lit(True).alias("added"), F.date_add(start, again).alias("day")),
+        )).alias("event"),
+    ).select("list", "blocks", "domain", "event.added", "event.day")
+    allowed = hosts.where(number("host", 15, 2, 256) < 32).select(
+        F.lit("allow").alias("list"), F.lit(False).alias("blocks"),
+        F.col("host").alias("domain"), F.lit(True).alias("added"),
+        F.date_add(start, number("host", 1, 4, 200)).alias("day"),
+    )
+    return blocked.unionByName(allowed)
+
+
+_URL_HOST = r"""regexp_replace(lower(regexp_extract(coalesce(url, ''),
+        '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '[.]+$', '')"""
+
+
+def _hashed(name, first, digits, below):
+    return f"(CAST('0x' || substr(md5({name}), {first}, {digits}) AS BIGINT) % {below})"
+
+
+@register(
+    "op6_url_filter",
+    f"""
+    WITH seen AS (
+      SELECT page_id, url, {_URL_HOST} AS host,
+        DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetched FROM pages
+    ),
+    hosts AS (SELECT DISTINCT host FROM seen WHERE host <> ''),
+    names AS (
+      SELECT DISTINCT regexp_replace(host, '^(www|m|blog)[.]', '') AS domain FROM hosts
+    ),
+    days AS (
+      SELECT domain, CAST({_hashed("domain", 1, 4, 300)} AS INTEGER) AS a,
+        CAST({_hashed("domain", 5, 4, 60)} AS INTEGER) + 1 AS b,
+        CAST({_hashed("domain", 9, 4, 90)} AS INTEGER) + 1 AS c
+      FROM names WHERE regexp_matches(domain, 'spam|casino|pills')
+        OR {_hashed("domain", 13, 2, 256)} < 64
+    ),
+    intervals AS (
+      SELECT 'block' AS list, TRUE AS blocks, domain, DATE '2024-01-01' + a AS valid_from,
+        DATE '2024-01-01' + (a + b) AS valid_to FROM days
+      UNION ALL
+      SELECT 'block', TRUE, domain, DATE '2024-01-01' + (a + b + c), CAST(NULL AS DATE)
+      FROM days
+      UNION ALL
+      SELECT 'allow', FALSE, host,
+        DATE '2024-01-01' + CAST({_hashed("host", 1, 4, 200)} AS INTEGER),
+        CAST(NULL AS DATE)
+      FROM hosts WHERE {_hashed("host", 15, 2, 256)} < 32
+    ),
+    active AS (
+      SELECT page_id, list, blocks, domain, valid_from,
+        len(string_split(domain, '.')) AS labels
+      FROM seen JOIN intervals ON (host = domain OR ends_with(host, '.' || domain))
+        AND valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to)
+    ),
+    decided AS (
+      SELECT *, count(*) OVER (PARTITION BY page_id) AS n_active,
+        row_number() OVER (PARTITION BY page_id
+          ORDER BY labels DESC, blocks DESC, valid_from, list DESC, domain DESC) AS place
+      FROM active
+    )
+    SELECT seen.page_id, url, host, fetched,
+      CAST(coalesce(n_active, 0) AS BIGINT) AS n_active, domain AS decided_by, list,
+      valid_from AS listed_since, coalesce(blocks, FALSE) AS blocked
+    FROM seen LEFT JOIN decided ON seen.page_id = decided.page_id AND place = 1
+    """,
+)
+def op6_url_filter(spark, folder):
+    pages = table(spark, folder, "pages")
+    start = F.lit("2024-01-01").cast("date")
+    captures = pages.select("page_id", "url").withColumn(
+        "fetched", F.date_add(start, (F.col("page_id") % 365).cast("int"))
+    )
+    return url_filter.evaluate(captures, list_events(pages))
