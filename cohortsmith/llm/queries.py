@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortsmith.llm import (
     exact_dedup,
+    html_text,
     language,
     mixing,
     packing,
@@ -266,3 +267,9 @@ def op6_url_filter(spark, folder):
         "fetched", F.date_add(start, (F.col("page_id") % 365).cast("int"))
     )
     return url_filter.evaluate(captures, list_events(pages))
+
+
+@register("op2_html_text")
+def op2_html_text(spark, folder):
+    """HTML parsing has no SQL; tests hold the layout against written-out pages."""
+    return html_text.extract(table(spark, folder, "pages"))
