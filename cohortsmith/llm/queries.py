@@ -13,6 +13,7 @@ from cohortsmith.llm import (
     packing,
     quality,
     simhash,
+    suffix_dedup,
     toxicity,
     url_filter,
 )
@@ -273,3 +274,13 @@ def op6_url_filter(spark, folder):
 def op2_html_text(spark, folder):
     """HTML parsing has no SQL; tests hold the layout against written-out pages."""
     return html_text.extract(table(spark, folder, "pages"))
+
+
+@register("op9_suffix_dedup")
+def op9_suffix_dedup(spark, folder):
+    """SQL would need a row per byte; a test compares with brute force."""
+    left = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return left.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans",
+        F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
