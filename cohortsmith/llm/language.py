@@ -138,7 +138,8 @@ def fit(
         column(labelled, text_column).alias("text"),
     ).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
-    drawn = rows.join(sizes, F.col("lang") == F.col("of")).where(
+    # One row per language; the fitted model itself is larger and goes to every task.
+    drawn = rows.join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(
         uniform(11, F.col("id"), F.col("lang")) * F.col("n") < sample
     ).select("lang", "text", F.xxhash64("id", "text").alias("order"))
 
