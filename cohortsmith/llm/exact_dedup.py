@@ -74,10 +74,13 @@ def _mark(docs: DataFrame, id_column: str, text_column: str, carried: Column):
         ),
         "copies",
     )
-    groups = maybe.groupBy("sha").agg(
-        F.max(F.struct("id", "n")).alias("keep"), F.count("*").alias("group_size")
+    groups = materialize(
+        maybe.groupBy("sha").agg(
+            F.max(F.struct("id", "n")).alias("keep"), F.count("*").alias("group_size")
+        ),
+        "groups",
     )
-    # Copies on the left: adaptive execution splits a group with very many.
+    # Copies on the left, groups from a table: adaptive execution splits a large group.
     together = maybe.join(groups, "sha", "left").select(
         "id", "row", "sha", F.col("keep.id").alias("keep_id"), "group_size",
         (F.col("n") == F.col("keep.n")).alias("kept"),
