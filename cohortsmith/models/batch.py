@@ -181,7 +181,7 @@ def run_fits(
         own_terms = model_terms(row["model"])
         present = {
             v.name: [
-                r[0] for r in mine.select(v.name).distinct().limit(1000).collect()
+                r[0] for r in mine.select(v.name).distinct().collect()
             ]
             for v in variables(own_terms)
             if isinstance(v, Cat) and v.levels is None

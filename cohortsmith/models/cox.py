@@ -8,7 +8,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,17 +19,17 @@ from cohortsmith.models.batch import (
     design_rows,
     run_fits,
 )
-from cohortsmith.models.design import Term, local_design
+from cohortsmith.models.design import Term, local_design, own_names
 from cohortsmith.models.efron import tie_sums
 from cohortsmith.models.logistic import _null_for_nan, _upper
 from cohortsmith.models.newton import Evaluate, estimable, maximise
+from cohortsmith.operators.quantiles import ranges_of
 
 TOLERANCE = 1e-9
 ITERATIONS = 20
 
 # Distinct times one task may sort in the distributed fit.
 TIMES_PER_BUCKET = 200_000
-MAX_BUCKETS = 4_096
 
 SCHEMA = (
     "term string, hazard_ratio double, ci_lower double, ci_upper double, "
@@ -89,15 +88,13 @@ def _spark_evaluate(rows: DataFrame, p: int, n_times: int) -> Evaluate:
     in two levels (ranges of times, then times within a range) and sums the tie
     terms.  Only the range totals and p*(p+3)/2 sums reach the driver.
     """
-    n_buckets = min(math.ceil(n_times / TIMES_PER_BUCKET), MAX_BUCKETS)
+    n_buckets = max(1, math.ceil(n_times / TIMES_PER_BUCKET))
     inner = sorted(set(
         rows.select("time").distinct().approxQuantile(
             "time", [i / n_buckets for i in range(1, n_buckets)], 0.1 / n_buckets
         )
     )) if n_buckets > 1 else []
-    in_range = Bucketizer(
-        splits=[-math.inf, *inner, math.inf], inputCol="time", outputCol="bucket"
-    )
+    in_range = ranges_of(inner, "time")
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     at_risk = ["s", *[f"s_{i}" for i in range(p)], *[f"s_{i}_{j}" for i, j in pairs]]
     events = ["e", *[f"e_{i}" for i in range(p)], *[f"e_{i}_{j}" for i, j in pairs]]
@@ -117,9 +114,13 @@ def _spark_evaluate(rows: DataFrame, p: int, n_times: int) -> Evaluate:
 
     def evaluate(beta):
         eta = reduce(lambda a, b: a + b, [c * F.lit(float(b)) for c, b in zip(x, beta)])
-        weighted = rows.withColumn("eta", eta).withColumn("w", F.exp("eta"))
+        scored = rows.withColumn("eta", eta)
+        # Shifted by the largest, so that no exponential overflows.
+        top = scored.agg(F.max("eta")).first()[0]
+        scored = scored.withColumn("eta", F.col("eta") - F.lit(float(top)))
+        weighted = scored.withColumn("w", F.exp("eta"))
         products = [F.lit(1.0), *x, *[x[i] * x[j] for i, j in pairs]]
-        per_time = in_range.transform(
+        per_time = in_range(
             weighted.groupBy("time").agg(
                 F.sum("d").alias("d"),
                 F.sum(F.col("d") * F.col("eta")).alias("d_eta"),
@@ -216,11 +217,22 @@ def _fit(
         })
 
 
+def _nothing_to_fit(n_obs: int, n_events: int) -> pd.DataFrame:
+    """One row without an estimate, for a model without design columns."""
+    numbers = [f.split()[0] for f in SCHEMA.split(", ")[1:8]]
+    return pd.DataFrame({
+        "term": [None], **{c: [np.nan] for c in numbers},
+        "n_obs": n_obs, "n_events": n_events, "converged": False,
+    })
+
+
 def _fitters(confidence: float):
     def fit_local(patterns: pd.DataFrame, terms: list[Term]) -> pd.DataFrame:
         labels, x = local_design(patterns, terms)
         n = patterns["n"].to_numpy(float)
         d = patterns["d"].to_numpy(float)
+        if not labels:
+            return _nothing_to_fit(int(n.sum()), int(d.sum()))
         centred = x - (n @ x) / n.sum()
         return _fit(
             labels,
@@ -237,6 +249,8 @@ def _fitters(confidence: float):
                 F.sum("n"), F.sum("d"), F.count_distinct("time"),
                 *[F.sum(F.col("n") * F.col(f"x{i}")) for i in range(p)],
             ).first()
+            if not labels:
+                return _nothing_to_fit(int(sums[0]), int(sums[1]))
             means = [s / sums[0] for s in sums[3:]]
             centred = rows.select("time", "n", "d", *[
                 (F.col(f"x{i}") - F.lit(m)).alias(f"x{i}") for i, m in enumerate(means)
@@ -273,7 +287,11 @@ def cox_batch(
     confidence: float = 0.95,
     max_patterns: int = MAX_PATTERNS,
 ) -> DataFrame:
-    """One model per exposure, each with the same adjusters."""
+    """One model per exposure, each with the same adjusters.
+
+    An exposure with one level and no adjusters gives a row without an estimate.
+    """
+    df, adjust = own_names(df, adjust)
     collapsed = collapse(
         df, adjust, _response(time, event), {"d": "outcome"}, exposures, strata
     )
@@ -296,6 +314,7 @@ def cox_hr(
     max_patterns: int = MAX_PATTERNS,
 ) -> DataFrame:
     """Hazard ratios of one model, optionally refitted per stratum."""
+    df, terms = own_names(df, terms)
     collapsed = collapse(
         df, terms, _response(time, event), {"d": "outcome"}, None, strata
     )

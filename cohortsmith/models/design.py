@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 200
-
 
 @dataclass(frozen=True)
 class Cat:
@@ -30,8 +28,6 @@ class Cat:
         levels = self.levels
         if levels is None:
             levels = sorted(present)
-            if len(levels) > MAX_LEVELS:
-                raise ValueError(f"{self.name}: {len(levels)} levels are too many")
             if self.ref in levels:
                 levels = [self.ref, *(v for v in levels if v != self.ref)]
         return replace(self, levels=tuple(levels))
@@ -65,6 +61,22 @@ def variables(terms: Sequence[Term]) -> list[Cat | Num]:
     return list(found.values())
 
 
+def own_names(df: DataFrame, terms: Sequence[Term]) -> tuple[DataFrame, list[Term]]:
+    """The variables as new columns whose names no count or key of a fit can clash with.
+
+    Labels keep the names the caller knows.
+    """
+    new = {v.name: f"variable_{v.name}" for v in variables(terms)}
+
+    def renamed(part):
+        return replace(part, name=new[part.name], label=part.label or part.name)
+
+    return df.withColumns({new[n]: F.col(n) for n in new}) if new else df, [
+        Inter(renamed(t.left), renamed(t.right)) if isinstance(t, Inter) else renamed(t)
+        for t in terms
+    ]
+
+
 def resolve(terms: Sequence[Term], present: dict[str, Sequence[str]]) -> list[Term]:
     """Fix the levels of all categorical terms."""
 

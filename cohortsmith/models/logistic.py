@@ -19,7 +19,7 @@ from cohortsmith.models.batch import (
     design_rows,
     run_fits,
 )
-from cohortsmith.models.design import Term, local_design
+from cohortsmith.models.design import Term, local_design, own_names
 from cohortsmith.models.newton import Evaluate, estimable, maximise, profile_bounds
 
 TOLERANCE = 1e-8
@@ -135,11 +135,11 @@ def _fitters(confidence: float, conf: str):
         labels, rows = design_rows(mine, terms, ["n", "k"])
         p = len(labels) + 1
         x = [F.lit(1.0), *[F.col(f"x{i}") for i in range(p - 1)]]
-        gram = rows.agg(*[
-            F.sum(F.col("n") * x[i] * x[j]).alias(f"g{i}_{j}")
-            for i in range(p) for j in range(i, p)
-        ]).first()
         try:
+            gram = rows.agg(*[
+                F.sum(F.col("n") * x[i] * x[j]).alias(f"g{i}_{j}")
+                for i in range(p) for j in range(i, p)
+            ]).first()
             return _fit(
                 ["(Intercept)", *labels], _spark_evaluate(rows, p),
                 _upper(list(gram), p), int(gram[0]), confidence, profile,
@@ -173,6 +173,7 @@ def logistic_batch(
     reference, or to None for the sorted values present.  ``outcome`` is 0/1; rows with NULL in a variable
     of a model are left out of that model.
     """
+    df, adjust = own_names(df, adjust)
     collapsed = collapse(
         df, adjust, {"outcome": F.col(outcome).cast("int")}, {"k": "outcome"},
         exposures, strata,
@@ -199,6 +200,7 @@ def logistic_or(
 
     ``std_error`` and ``statistic`` are on the log-odds scale.
     """
+    df, terms = own_names(df, terms)
     collapsed = collapse(
         df, terms, {"outcome": F.col(outcome).cast("int")}, {"k": "outcome"},
         None, strata,

@@ -33,6 +33,9 @@ def poly_ols(
     data = df.select(
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     ).where(F.col("x").between(*limits) & F.col("y").isNotNull())
+    # Centred, so that squares of a large y do not drown its residuals.
+    mean = data.agg(F.avg("y")).first()[0] or 0.0
+    data = data.withColumn("y", F.col("y") - F.lit(mean))
     power = [F.lit(1.0), u, u * u, u * u * u, u * u * u * u]
     got = data.agg(
         F.min("x"), F.max("x"), F.sum(F.col("y") * F.col("y")),
@@ -54,6 +57,6 @@ def poly_ols(
     rows = []
     for at in np.linspace(low, high, points):
         v = np.array([1.0, at - middle, (at - middle) ** 2])
-        fit, margin = v @ beta, t * math.sqrt(variance * (v @ inverse @ v))
+        fit, margin = mean + v @ beta, t * math.sqrt(variance * (v @ inverse @ v))
         rows.append((float(at), float(fit), float(fit - margin), float(fit + margin)))
     return spark.createDataFrame(rows, fields)

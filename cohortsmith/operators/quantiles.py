@@ -12,9 +12,17 @@ from pyspark.sql import functions as F
 
 from cohortsmith.session import materialize
 
-# Distinct (group, value) pairs one task may sort, and the most value ranges.
+# Distinct (group, value) pairs one task may sort.
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4_096
+
+
+def ranges_of(inner: Sequence[float], col: str) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``bucket``: the range of ``col`` between the inner limits, from 0 on."""
+    if not inner:
+        return lambda df: df.withColumn("bucket", F.lit(0.0))
+    return Bucketizer(
+        splits=[-math.inf, *inner, math.inf], inputCol=col, outputCol="bucket"
+    ).transform
 
 
 def _ranked(
@@ -39,12 +47,10 @@ def _ranked(
             "size": F.sum("n").over(group),
             "total": F.sum("weighted").over(group),
         })
-    n_buckets = min(math.ceil(n_pairs / rows_per_bucket), MAX_BUCKETS)
+    n_buckets = math.ceil(n_pairs / rows_per_bucket)
     steps = [i / n_buckets for i in range(1, n_buckets)]
     inner = sorted(set(counts.approxQuantile("value", steps, 0.1 / n_buckets)))
-    bucketed = Bucketizer(
-        splits=[-math.inf, *inner, math.inf], inputCol="value", outputCol="bucket"
-    ).transform(weighted)
+    bucketed = ranges_of(inner, "value")(weighted)
     ranges = (
         bucketed.groupBy(*by, "bucket")
         .agg(F.sum("n").alias("inside"), F.sum("weighted").alias("weighted"))
@@ -83,12 +89,12 @@ def quantile_summary(
     """Quantiles by linear interpolation between order statistics, per group.
 
     The input is read once and collapsed to counts per distinct value; the
-    order statistics are then found by cumulative counts.
+    order statistics are then found by cumulative counts.  NULL and NaN are left out.
     """
     by = list(by)
     source = df.select(
         *by, F.col(value).cast("double").alias("value")
-    ).where(F.col("value").isNotNull())
+    ).where(F.col("value").isNotNull() & ~F.isnan("value"))
     if not by:
         by, source = ["all"], source.withColumn("all", F.lit(0))
     counts = materialize(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cohortsmith.functions.dates import week_start
 from cohortsmith.functions.stats import safe_ratio
-from cohortsmith.session import materialize
 from cohortsmith.sources.spine import group_spine
 
 
@@ -72,24 +71,22 @@ def stacked_daily(
 def histogram(df: DataFrame, value: str, facet: str, bins: int = 20) -> DataFrame:
     """Counts in equal-width bins over the common range of all facets.
 
-    The first bin starts at the minimum; the maximum falls in the last bin.
-    The input is read once and collapsed to counts per distinct value.
+    The first bin starts at the minimum; the maximum falls in the last bin.  NULL and
+    NaN are left out.  One aggregation finds the range, another counts the bins; rows
+    are never shuffled one by one.
     """
-    counts = materialize(
-        df.where(F.col(value).isNotNull())
-        .groupBy(facet, F.col(value).cast("double").alias("value"))
-        .agg(F.count("*").alias("n")),
-        "values",
-    )
-    low, high = counts.agg(F.min("value"), F.max("value")).first()
+    values = df.select(
+        F.col(facet).alias("facet"), F.col(value).cast("double").alias("value")
+    ).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    low, high = values.agg(F.min("value"), F.max("value")).first()
     if low is None:
         low = high = 0.0
     width = (high - low) / bins
     position = F.floor(safe_ratio(F.col("value") - low, F.lit(width)))
     position = F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1))
     return (
-        counts.groupBy(facet, position.alias("bin"))
-        .agg(F.sum("n").alias("n"))
+        values.groupBy(F.col("facet").alias(facet), position.alias("bin"))
+        .agg(F.count("*").alias("n"))
         .withColumn("bin_start", F.lit(low) + F.col("bin") * F.lit(width))
     )
 

@@ -202,16 +202,15 @@ def episodes_per_visit(spark, folder):
     return freq.freq_table(data.cases(spark, folder), "visitid")
 
 
-# Half of the persons are taken as participants, so both sides have unmatched
-# keys; participants without an id do not match anybody.
+# Persons without an age group have no id here, so both sides have unmatched keys.
 _PARTICIPANTS = (
     "SELECT CASE WHEN agegr IS NOT NULL THEN individualid END AS personid, age "
-    "FROM cohort WHERE sex IS DISTINCT FROM 'F'"
+    "FROM cohort"
 )
 
 
 def joined_people(spark, folder):
-    people = data.cohort(spark, folder).where(~F.col("sex").eqNullSafe("F")).select(
+    people = data.cohort(spark, folder).select(
         F.when(F.col("agegr").isNotNull(), F.col("individualid")).alias("personid"),
         "age",
     )

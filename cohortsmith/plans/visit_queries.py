@@ -390,16 +390,14 @@ def incidence_rate_by_group(spark, folder):
 @register(
     "incidence_rate_episodes",
     sql(
-        _rate_sql("", "cohort", "(SELECT count(*) FROM cases WHERE testresult = "
-                  "'positive' AND oxygen_saturation < 88)"),
+        _rate_sql("", "cohort", "(SELECT count(*) FROM cases)"),
         "cohort", "cases",
     ),
 )
 def incidence_rate_episodes(spark, folder):
-    severe = data.cases(spark, folder).where(
-        (F.col("testresult") == "positive") & (F.col("oxygen_saturation") < 88)
+    table = rates.episode_incidence(
+        data.cohort(spark, folder), data.cases(spark, folder), "time"
     )
-    table = rates.episode_incidence(data.cohort(spark, folder), severe, "time")
     return rounded(table, *_RATES)
 
 

@@ -26,9 +26,12 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """CSV with a header, matched to ``schema`` by column name.
 
     Columns the file lacks come back as NULL, columns the schema lacks are not
-    read.  No type inference: the only look at the data is the header line.
+    read.  Files of one folder need the same header, else the read fails.  No type
+    inference: the only look at the data is the header line.
     """
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', encoding="UTF-8")
+    read = spark.read.options(header=True, quote='"', escape='"', encoding="UTF-8")
+    # Files of a folder must agree in their headers; Spark compares each with the first.
+    raw = read.schema(read.csv(path).schema).option("enforceSchema", False).csv(path)
     present = set(raw.columns)
     return raw.select([
         (

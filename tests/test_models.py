@@ -265,8 +265,9 @@ def test_cox_matches_row_level_fit(frame, people):
         assert got[term][4] == int(p["event"].sum())
 
 
-def test_distributed_cox_equals_local(frame, monkeypatch):
-    monkeypatch.setattr(cox_module, "TIMES_PER_BUCKET", 7)
+@pytest.mark.parametrize("per_bucket", [7, cox_module.TIMES_PER_BUCKET])
+def test_distributed_cox_equals_local(frame, monkeypatch, per_bucket):
+    monkeypatch.setattr(cox_module, "TIMES_PER_BUCKET", per_bucket)
     terms = [Num("fever"), Cat("age"), Num("years")]
     cols = ("coef", "std_error", "ci_lower", "ci_upper")
     local = by_term(cox_hr(frame, "time", "event", terms), *cols)
@@ -275,6 +276,35 @@ def test_distributed_cox_equals_local(frame, monkeypatch):
         assert spread[term] == pytest.approx(local[term], rel=1e-8, abs=1e-10)
 
 
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_covariates_may_have_any_name(frame, most):
+    plain = by_term(cox_hr(frame, "time", "event", [Num("fever"), Cat("age")]), "coef")
+    for a, b in [("model", "n"), ("d", "exposure"), ("k", "outcome"), ("bucket", "s")]:
+        named = frame.withColumnsRenamed({"fever": a, "age": b})
+        got = by_term(
+            cox_hr(named, "time", "event", [Num(a), Cat(b)], max_patterns=most), "coef"
+        )
+        assert got[a][0] == pytest.approx(plain["fever"][0], abs=1e-8)
+        assert got[f"{b}=10-19"][0] == pytest.approx(plain["age=10-19"][0], abs=1e-8)
+
+
+def test_cox_without_design_columns_gives_an_empty_estimate(frame):
+    from pyspark.sql import functions as F
+
+    batch = cox_batch(
+        frame.withColumn("one", F.lit("x")), "time", "event", {"one": None, "fever": None}
+    ).collect()
+    one = [r for r in batch if r["model"] == "one"]
+    assert len(one) == 1 and one[0]["term"] is None and one[0]["coef"] is None
+    assert [r["term"] for r in batch if r["model"] == "fever"] == ["fever=1"]
+
+
+def test_many_levels_are_fitted(spark):
+    data = [(f"g{i % 250:03d}", float(1 + i % 9), int(i % 3 == 0)) for i in range(3000)]
+    frame = spark.createDataFrame(data, "g string, t double, e int")
+    assert cox_hr(frame, "t", "e", [Cat("g")]).count() == 249
+
+
 def test_cox_batch_equals_single_models(frame):
     batch = cox_batch(
         frame, "time", "event", {"fever": ["0", "1"], "wave": None},

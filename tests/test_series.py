@@ -149,3 +149,41 @@ def test_shares_of_a_month_add_up(spark):
     got = rates.prevalence_ci(df, "result", ["month"])
     for r in got.groupBy("month").agg(F.sum("proportion").alias("p")).collect():
         assert r["p"] == pytest.approx(1)
+
+
+def test_nan_is_left_out_of_quantiles_and_histogram(spark):
+    from cohortsmith.operators.quantiles import quantile_summary
+    from cohortsmith.operators.series import histogram
+
+    values = [float(i) for i in range(10)] + [float("nan"), None]
+    df = spark.createDataFrame([("a", v) for v in values], "g string, v double")
+    for rows_per_bucket in (1_000_000, 3):
+        got = quantile_summary(df, "v", ["g"], rows_per_bucket=rows_per_bucket).first()
+        assert got["median"] == 4.5
+    assert histogram(df, "v", "g", 5).toPandas()["n"].tolist() == [2] * 5
+
+
+def test_csv_files_with_other_headers_are_refused(spark, tmp_path):
+    import pytest
+
+    from cohortsmith.sources import read_points
+
+    (tmp_path / "a.csv").write_text("longitude,latitude,n\n1,2,3\n")
+    (tmp_path / "b.csv").write_text("latitude,longitude,n\n2,1,3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_points(spark, str(tmp_path)).collect()
+
+
+def test_band_of_a_large_offset(spark):
+    from pyspark.sql import functions as F
+
+    from cohortsmith.models import ols
+
+    df = spark.range(2000).select(
+        (F.col("id") % 50).cast("double").alias("x"),
+        (F.hash("id") % 1000 / 500.0).alias("y"),
+    )
+    near = ols.poly_ols(df, "x", "y", (0, 49), 5).collect()
+    far = ols.poly_ols(df.withColumn("y", F.col("y") + 1e8), "x", "y", (0, 49), 5).collect()
+    for a, b in zip(near, far):
+        assert abs((b["conf_high"] - b["conf_low"]) - (a["conf_high"] - a["conf_low"])) < 1e-4
