@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cohortsmith.llm.features import parts, presence
 from cohortsmith.llm.tables import WORD, column
 
-SAMPLE = 6_000
+SAMPLE = 4_000
 FEATURES = 400  # per category
 SEEN_IN = 3  # documents of a category or outside that have a feature
 FOLDS = 3
@@ -88,7 +88,7 @@ def _fit_linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     for _ in range(STEPS):
         p = _sigmoid(x @ beta)
         gradient = x.T @ (y - p) - ridge * beta
-        weighted = x * (p * (1 - p) + 1e-9)[:, None]
+        weighted = x * (p * (1 - p) + 1e-9).astype(np.float32)[:, None]
         step = np.linalg.solve(weighted.T @ x + np.diag(ridge), gradient)
         beta += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-4:
@@ -121,7 +121,9 @@ def fit_chain(
     """Fit on ``labels`` (rows x categories); folds go by the ids' hash."""
     n = len(labels)
     chosen = [_select(row, feature, labels[:, k], n) for k in range(len(names))]
-    features = np.unique(np.concatenate([*chosen, np.zeros(0, np.int64)]))
+    features = np.unique(np.concatenate([*chosen, np.zeros(0, np.int64)])).astype(np.int64)
+    use = np.isin(feature, features.astype(np.uint32))
+    row, feature = row[use], feature[use].astype(np.int64)
     links, before = [], np.zeros((n, 0))
     fold = ids % FOLDS
     for k, name in enumerate(names):
@@ -131,7 +133,7 @@ def fit_chain(
         at[at == len(words)] = 0
         hit = np.sort(chosen[k])[at] == feature if len(words) else np.zeros(len(at), bool)
         x[row[hit], at[hit]] = 1
-        x = np.column_stack([x, _log_odds(before), np.ones(n)])
+        x = np.column_stack([x, _log_odds(before), np.ones(n)]).astype(np.float32)
         y = labels[:, k].astype(float)
         if not 0 < y.sum() < n:  # nothing to tell apart
             weights = np.zeros(x.shape[1])
@@ -210,9 +212,9 @@ def fit(
         .combine_chunks()
     )
     lists = found.column("features").combine_chunks()
-    feature = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.int64)
+    feature = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(sizes)), sizes.astype(np.int64))
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     y = np.column_stack([
         found.column(f"y{k}").to_numpy() for k in range(n_marks)
     ]) if n_marks else np.zeros((found.num_rows, 0))
