@@ -3,6 +3,7 @@
 1. Every window of ``length`` bytes has an anchor: the smallest hash among its
    ``GRAM``-byte grams.  Equal windows have equal anchors.  Anchors of all documents
    are exchanged as packed arrays, and an anchor seen in one document only ends there.
+   Equal texts count as one: whatever a later copy has, the first one has.
 2. Runs of windows with the same anchor are cut out as segments.  Equal segments become
    one, with the smallest id that has it.  All segments of an anchor meet in one bucket.
 3. In a bucket the segments are dealt into shards; each shard gets its Burrows-Wheeler
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cohortsmith.llm.bwt import merge
 from cohortsmith.llm.tables import column
-from cohortsmith.session import materialize
+from cohortsmith.session import fresh_path, materialize
 
 LENGTH = 50
 GRAM = 24
@@ -123,7 +124,7 @@ def _address(anchor: np.ndarray, n_ranges: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def repeated_anchors(keyed: DataFrame, length: int, n_ranges: int) -> DataFrame:
-    """``key, found``: per document the anchors that other documents have, too.
+    """``key, found``: per text the anchors that other texts have, too.
 
     Found anchors are 64-bit numbers of range and hash.  A few may be there by chance;
     the comparison of bytes that follows sorts them out.
@@ -133,20 +134,23 @@ def repeated_anchors(keyed: DataFrame, length: int, n_ranges: int) -> DataFrame:
         for batch in batches:
             for part in _slices(batch, "text"):
                 text, _, _, anchor = runs(_texts(part), length, GRAM)
-                keys = part.column("key").to_numpy()
+                # Equal texts have one key and count once.
+                names, which = np.unique(part.column("key").to_numpy(), return_inverse=True)
                 where, bits = _address(anchor, n_ranges)
                 full = where << np.uint64(32) | bits
-                pairs = np.unique(np.stack([full, text.astype(np.uint64)], axis=1), axis=0)
-                full, text = pairs[:, 0], pairs[:, 1].astype(np.int64)
-                # Anchors of several documents of the slice are settled here; one
-                # of them still asks, for the sake of other slices.
+                pairs = np.unique(
+                    np.stack([full, which[text].astype(np.uint64)], axis=1), axis=0
+                )
+                full, keys = pairs[:, 0], names[pairs[:, 1].astype(np.int64)]
+                # Anchors of several texts of the slice are settled here; one of
+                # them still asks, for the sake of other slices.
                 same = np.zeros(len(full), bool)
                 same[1:] = full[1:] == full[:-1]
                 known = same.copy()
                 known[:-1] |= same[1:]
-                yield _asked(full[~same], keys[text[~same]], False)
+                yield _asked(full[~same], keys[~same], False)
                 if known.any():
-                    yield _asked(full[known], keys[text[known]], True)
+                    yield _asked(full[known], keys[known], True)
 
     def _asked(full, keys, known):
         order = np.lexsort((full, keys, full >> np.uint64(32)))
@@ -188,34 +192,47 @@ def repeated_anchors(keyed: DataFrame, length: int, n_ranges: int) -> DataFrame:
         bits, sizes = join("bits", "<u4")
         n_open = sum(sizes[: len(sizes) - n_known])
         owner = np.repeat(keys, counts)
-        open_bits = bits[:n_open]
-        order = np.argsort(open_bits, kind="stable")
-        ranked = open_bits[order]
-        twin = np.zeros(n_open, bool)
-        twin[1:] = ranked[1:] == ranked[:-1]
-        twin[:-1] |= twin[1:]
+        order = np.lexsort((owner[:n_open], bits[:n_open]))
+        ranked, of = bits[order], owner[order]
+        # An anchor counts if its run of entries has more than one text.
+        heads = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))[:n_open]
+        sizes = np.diff(np.append(heads, n_open))
+        mixed = of[heads] != of[heads + sizes - 1] if n_open else np.zeros(0, bool)
+        twin = np.repeat(mixed, sizes)
         hit = np.concatenate([order[twin], np.arange(n_open, len(bits))])
-        hit = hit[np.argsort(owner[hit], kind="stable")]
-        of, bits = owner[hit], bits[hit]
+        # One row per range and reply group: the numbers of a text come together below.
+        group = owner[hit] % n_ranges
+        hit = hit[np.lexsort((owner[hit], group))]
+        group, of, bits = owner[hit] % n_ranges, owner[hit], bits[hit].astype("<u8")
+        bits |= np.uint64(asked.column("range")[0].as_py() << 32)
+        heads = np.flatnonzero(np.append(True, np.diff(group) != 0))[: len(group)]
+        return pa.table({
+            "reply": pa.array(group[heads], pa.int64()),
+            "keys": pa.array([x.tobytes() for x in np.split(of, heads[1:])][: len(heads)],
+                             pa.binary()),
+            "found": pa.array([x.tobytes() for x in np.split(bits, heads[1:])][: len(heads)],
+                              pa.binary()),
+        })
+
+    def per_text(replies: pa.Table) -> pa.Table:
+        of = np.frombuffer(b"".join(replies.column("keys").to_pylist()), "<i8")
+        bits = np.frombuffer(b"".join(replies.column("found").to_pylist()), "<u8")
+        order = np.argsort(of, kind="stable")
+        of, bits = of[order], bits[order]
         heads = np.flatnonzero(np.append(True, np.diff(of) != 0))[: len(of)]
-        where = asked.column("range")[0].as_py()
         return pa.table({
             "key": pa.array(of[heads], pa.int64()),
-            "found": pa.array(
-                [
-                    (b.astype("<u8") | np.uint64(where << 32)).tobytes()
-                    for b in np.split(bits, heads[1:])
-                ] if len(heads) else [], pa.binary(),
-            ),
+            "found": pa.array([x.tobytes() for x in np.split(bits, heads[1:])][: len(heads)],
+                              pa.binary()),
         })
 
     return (
         keyed.select("key", "text")
         .mapInArrow(ask, "range long, keys binary, counts binary, bits binary, known boolean")
         .groupBy("range")
-        .applyInArrow(answer, "key long, found binary")
-        .groupBy("key")
-        .agg(F.collect_list("found").alias("found"))
+        .applyInArrow(answer, "reply long, keys binary, found binary")
+        .groupBy("reply")
+        .applyInArrow(per_text, "key long, found binary")
     )
 
 
@@ -233,7 +250,7 @@ def segments(flagged: DataFrame, length: int, n_ranges: int) -> DataFrame:
                 edges = np.searchsorted(text, np.arange(len(texts) + 1))
                 for t, found in enumerate(part.column("found").to_pylist()):
                     a, b = edges[t], edges[t + 1]
-                    keep[a:b] = np.isin(full[a:b], np.frombuffer(b"".join(found), "<u8"))
+                    keep[a:b] = np.isin(full[a:b], np.frombuffer(found, "<u8"))
                 text, start = text[keep], start[keep]
                 size = windows[keep] + length - 1
                 data = np.frombuffer(b"".join(texts), np.uint8)
@@ -262,7 +279,7 @@ def segments(flagged: DataFrame, length: int, n_ranges: int) -> DataFrame:
 
 
 def earliest_in_buckets(distinct: DataFrame, length: int, n_buckets: int) -> DataFrame:
-    """``segment, lows``: per window of a segment the smallest id that has it."""
+    """``anchor, name, lows``: per window of a segment the smallest id that has it."""
 
     def resolve(bucket: pa.Table) -> pa.Table:
         bucket = bucket.sort_by("anchor")
@@ -287,64 +304,84 @@ def earliest_in_buckets(distinct: DataFrame, length: int, n_buckets: int) -> Dat
                 flat[ends[owner] - [len(lows[o]) for o in owner] + position] = least
                 lows = np.split(flat, ends[:-1])
         return pa.table({
-            "segment": bucket.column("segment"),
+            "anchor": bucket.column("anchor"), "name": bucket.column("name"),
             "lows": pa.array(lows, pa.list_(pa.int64())),
         })
 
     return (
-        distinct.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(n_buckets)))
+        distinct.select(
+            "anchor", "segment", "low", F.xxhash64("segment").alias("name"),
+            F.pmod(F.xxhash64("anchor"), F.lit(n_buckets)).alias("bucket"),
+        )
         .groupBy("bucket")
-        .applyInArrow(resolve, "segment binary, lows array<long>")
+        .applyInArrow(resolve, "anchor long, name long, lows array<long>")
     )
 
 
 def earliest_by_window(distinct: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many segments: one row per window."""
     n = F.length("segment") - F.lit(length) + 1
-    windows = distinct.select("segment", "low", F.explode(F.sequence(F.lit(1), n)).alias("at"))
+    windows = distinct.select(
+        "anchor", "segment", F.xxhash64("segment").alias("name"), "low",
+        F.explode(F.sequence(F.lit(1), n)).alias("at"),
+    )
     windows = windows.withColumn(
         "window", F.sha2(F.substring(F.col("segment"), F.col("at"), F.lit(length)), 256)
-    )
+    ).drop("segment")
     least = windows.groupBy("window").agg(F.min("low").alias("least"))
-    back = windows.join(least, "window").groupBy("segment").agg(
+    back = windows.join(least, "window").groupBy("anchor", "name").agg(
         F.sort_array(F.collect_list(F.struct("at", "least"))).alias("all")
     )
-    return back.select("segment", F.col("all.least").alias("lows"))
+    return back.select("anchor", "name", F.col("all.least").alias("lows"))
+
+
+def _table(df: DataFrame, label: str) -> DataFrame:
+    """Like ``materialize``, packed tighter: segments of a text overlap."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def repeated_windows(
-    docs: DataFrame, length: int, per_bucket: int = SEGMENTS_PER_BUCKET
+    docs: DataFrame, lows: DataFrame, length: int, per_bucket: int = SEGMENTS_PER_BUCKET
 ) -> DataFrame:
     """``key, start, mask``: windows of documents that a document with a smaller id has.
 
-    A set bit ``i`` of the mask is the window at ``start + i``.  ``docs``: ``key``, ``id`` (NULL replaced by ``NO_ID``) and binary ``text``.
+    A set bit ``i`` of the mask is the window at ``start + i``.  ``docs``: ``key`` (of
+    the text), ``id`` (NULL replaced by ``NO_ID``) and binary ``text``; ``lows``: the
+    smallest id (``low``) of each text.
     """
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     per_anchor = (length - GRAM + 2) / 2
     n_ranges = max(1, math.ceil(total / per_anchor / ANCHORS_PER_RANGE))
     found = repeated_anchors(docs, length, n_ranges)
-    flagged = docs.join(found.withColumnRenamed("key", "of"), F.col("key") == F.col("of"))
-    cut = materialize(segments(flagged, length, n_ranges), "segments")
-    distinct = materialize(
-        cut.groupBy("anchor", "segment").agg(F.min("id").alias("low"), F.max("id").alias("high")),
-        "distinct",
+    # Of equal texts only the one with the smallest id goes on.
+    first = found.join(lows, "key").withColumnsRenamed({"key": "of", "low": "of_id"})
+    flagged = docs.join(
+        first, (F.col("key") == F.col("of")) & (F.col("id") == F.col("of_id"))
+    )
+    cut = _table(segments(flagged, length, n_ranges), "segments")
+    distinct = _table(
+        cut.groupBy("anchor", "segment").agg(F.min("id").alias("low")), "distinct"
+    )
+    busy = materialize(
+        distinct.groupBy("anchor").agg(F.count("*").alias("n"))
+        .where(F.col("n") > per_bucket).select("anchor"),
+        "busy",
     )
-    crowds = distinct.groupBy("anchor").agg(
-        F.count("*").alias("n"), F.min("low").alias("first"), F.max("high").alias("last")
+    n_buckets = max(1, math.ceil(distinct.count() / per_bucket))
+    found_lows = earliest_in_buckets(
+        distinct.join(busy, "anchor", "left_anti"), length, n_buckets
+    ).unionByName(
+        earliest_by_window(distinct.join(busy, "anchor", "left_semi"), length)
     )
-    n_segments = distinct.count()
-    busy = crowds.where(F.col("n") > per_bucket).select("anchor")
-    n_buckets = max(1, math.ceil(n_segments / per_bucket))
-    low = earliest_in_buckets(
-        distinct.join(busy, "anchor", "left_anti").select("anchor", "segment", "low"),
-        length, n_buckets,
-    ).unionByName(earliest_by_window(distinct.join(busy, "anchor", "left_semi"), length))
     bits = F.transform("lows", lambda low, i: F.when(
         low < F.col("id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)
     ).otherwise(F.lit(0).cast("long")))
     mask = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
     return (
-        cut.select("segment", "key", "id", "start").join(low, "segment")
+        cut.select("anchor", F.xxhash64("segment").alias("name"), "key", "id", "start")
+        .join(found_lows, ["anchor", "name"])
         .select("key", "start", mask.alias("mask"))
         .where("mask <> 0")
     )
@@ -370,25 +407,31 @@ def remove_repeats(
         column(docs, id_column).alias("own_id"),
         F.coalesce(column(docs, id_column).cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(column(docs, text_column), F.lit("")).cast("binary").alias("text"),
-    ).withColumn("key", F.xxhash64("id", F.sha2("text", 256)))
-    cover = (
-        repeated_windows(keyed, length, per_bucket)
-        .groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("gone"))
-        .withColumnRenamed("key", "of")
+    ).withColumn("key", F.xxhash64(F.sha2("text", 256)))
+    lows = materialize(keyed.groupBy("key").agg(F.min("id").alias("low")), "lows")
+    cover = materialize(
+        repeated_windows(keyed, lows, length, per_bucket)
+        .groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("gone")),
+        "cover",
     )
-    joined = keyed.join(cover, F.col("key") == F.col("of"), "left").select(
-        "own_id", "text", F.col("gone.start").alias("starts"), F.col("gone.mask").alias("masks")
+    of_text = lows.join(cover, "key", "left").withColumnRenamed("key", "of")
+    joined = keyed.join(of_text, F.col("key") == F.col("of")).select(
+        "own_id", "text", (F.col("id") > F.col("low")).alias("copy"),
+        F.col("gone.start").alias("starts"), F.col("gone.mask").alias("masks"),
     )
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, "text"):
                 n, gone, spans, kept = [], [], [], []
-                for text, starts, masks in zip(
-                    _texts(part), part.column("starts"), part.column("masks")
+                for text, copy, starts, masks in zip(
+                    _texts(part), part.column("copy").to_pylist(),
+                    part.column("starts"), part.column("masks"),
                 ):
                     left, removed, runs_ = text, 0, 0
-                    if starts.is_valid and len(starts):
+                    if copy and len(text) >= length:
+                        left, removed, runs_ = b"", len(text), 1
+                    elif starts.is_valid and len(starts):
                         change = np.zeros(len(text) + 1, np.int64)
                         mask = masks.values.to_numpy()[:, None] >> np.arange(length) & 1
                         row, step = np.nonzero(mask)
