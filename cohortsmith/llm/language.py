@@ -63,7 +63,7 @@ def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     value, inside = np.zeros(len(symbol), np.uint64), np.ones(len(symbol), bool)
     for k in range(ORDERS):
         # The sequence of k + 1 symbols that ends here.
-        shifted = symbol if k == 0 else np.concatenate([np.zeros(k, np.uint64), symbol[:-k]])
+        shifted = np.concatenate([np.zeros(k, np.uint64), symbol])[: len(symbol)]
         value = value * np.uint64(0x9E3779B97F4A7C15) + shifted + np.uint64(1)
         inside &= shifted != 0
         use = inside & (symbol != 32) if k == 0 else inside

@@ -8,7 +8,7 @@ def categories():
     return {"odd": F.col("odd") == 1, "toxic": F.col("toxic") == 1}
 
 
-def labelled(spark, n=400):
+def labelled(spark, n=1200):
     chance = random.Random(6)
     docs, labels = [], []
     for i in range(n):
@@ -28,8 +28,8 @@ def labelled(spark, n=400):
 
 def test_chain_on_unseen_labels(spark):
     docs, labels = labelled(spark)
-    chain = toxicity.fit(docs, labels.where("doc_id < 250"), categories())
-    got = toxicity.classify(docs, chain).join(labels, "doc_id").where("doc_id >= 250")
+    chain = toxicity.fit(docs, labels.where("doc_id < 1000"), categories())
+    got = toxicity.classify(docs, chain).join(labels, "doc_id").where("doc_id >= 1000")
     wrong = got.where((F.col("p_toxic") >= 0.5) != (F.col("toxic") == 1)).count()
     assert wrong <= 2
     kept = toxicity.reject(docs, chain)
