@@ -9,31 +9,43 @@ import numpy as np
 
 SHARD_BYTES = 1 << 16
 
+# Symbols of the first key of a shard: seven of nine bits fit a whole number.
+FIRST = 7
+
 
 def shard_transform(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` sorted by their first ``depth`` bytes (prefix doubling).
+    """Suffixes of ``text`` sorted by at least their first ``depth`` symbols.
 
-    Zero bytes end a string and sort first; ties keep the order of positions.
+    Symbol zero ends a string and sorts first; suffixes that agree up to there are
+    equal and come in any order.  Prefix doubling from seven symbols on.
     """
     n = len(text)
-    rank = text.astype(np.int64)
-    step = 1
+    key = np.zeros(n, np.int64)
+    open_ = np.ones(n, bool)
+    for k in range(FIRST):
+        symbol = np.zeros(n, np.int64)
+        symbol[: max(n - k, 0)] = text[k:]
+        symbol[~open_] = 0  # nothing behind the end of a string counts
+        open_ &= symbol != 0
+        key = key << 9 | symbol
+    # A suffix that ends inside its key equals all with that key.
+    step = FIRST
     while True:
+        order = np.argsort(key)
+        ranked = key[order]
+        fresh = np.concatenate([[1], 1 + np.cumsum(ranked[1:] != ranked[:-1])])[:n]
+        if step >= depth or not n or fresh[-1] == n:
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = fresh
         after = np.zeros(n, np.int64)
-        if step < n:
-            after[: n - step] = rank[step:] + 1
-        after[rank == 0] = 0  # nothing behind the end of a string counts
-        key = rank * (int(rank.max(initial=0)) + 2) + after
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        new = np.empty(n, np.int64)
-        # Ends of strings stay rank zero, so that they keep comparing equal.
-        new[order] = fresh + (1 if n and sorted_key[0] != 0 else 0)
-        rank = new
+        after[: max(n - step, 0)] = rank[step:]
+        after[~open_] = 0
+        further = np.zeros(n, bool)
+        further[: max(n - step, 0)] = open_[step:]
+        open_ &= further
+        key = rank * (n + 1) + after
         step *= 2
-        if step >= min(depth, n) or fresh[-1] == n - 1:
-            return order
 
 
 def merge(strings: list[bytes], depth: int, shard_bytes: int = SHARD_BYTES):
@@ -41,66 +53,71 @@ def merge(strings: list[bytes], depth: int, shard_bytes: int = SHARD_BYTES):
 
     The strings are dealt into shards, each with its own transform.  The transforms
     are then interleaved: in every round the rows, in their present order, are dealt
-    out by the byte before them, which sorts the merged rows by one byte more.  A
-    border between rows that appears in round ``k`` means a common prefix of ``k - 1``
-    bytes; rows without a border after ``depth`` rounds share ``depth`` bytes.
+    out by the two bytes before them, which sorts the merged rows by two bytes more.
+    After ``depth / 2`` rounds rows that share ``depth`` bytes are neighbours, and
+    comparing neighbours gives the intervals.
 
     Returns for every start of a suffix of ``depth`` bytes: the string's number, the
     position inside it, and the number of the interval of equal prefixes.
     """
     sizes = np.array([len(s) + 1 for s in strings], np.int64)
-    text = np.frombuffer(b"\x00".join([*strings, b""]), np.uint8).astype(np.int64)
-    # Zero is the end mark; bytes of the text move up by one.
-    marks = np.cumsum(sizes) - 1
-    text = text + 1
-    text[marks] = 0
+    raw = np.frombuffer(b"\x00".join([*strings, b""]), np.uint8)
+    # The bytes there are, numbered from one on; zero is the end mark.
+    there = np.zeros(256, bool)
+    there[raw] = True
+    number = np.cumsum(there)
+    text = number[raw]
+    text[np.cumsum(sizes) - 1] = 0
+    n_symbols = int(number[-1]) + 1
+    pair_kind = np.uint16 if n_symbols**2 <= 1 << 16 else np.uint32
     cut = np.concatenate([[0], 1 + np.flatnonzero(
         np.diff((np.cumsum(sizes) - 1) // shard_bytes)
     ), [len(sizes)]])
     starts = np.concatenate([[0], np.cumsum(sizes)])
+    n_shards = len(cut) - 1
+    shard_kind = np.uint8 if n_shards <= 1 << 8 else np.uint32
     rows, before, shard = [], [], []
     for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
         lo, hi = starts[a], starts[b]
-        order = shard_transform(text[lo:hi], depth + 1) + lo
-        rows.append(order)
-        before.append(text[order - 1])  # position -1 is the last end mark
-        shard.append(np.full(hi - lo, k, np.int32))
+        own = text[lo:hi]
+        order = shard_transform(own, depth + 1)
+        rows.append(order + lo)
+        # A shard is a ring: the bytes before its first one are its last ones.
+        pairs = np.roll(own, 2) * n_symbols + np.roll(own, 1)
+        before.append(pairs[order].astype(pair_kind))
+        shard.append(np.full(hi - lo, k, shard_kind))
     rows, before = np.concatenate(rows), np.concatenate(before)
-    base = np.cumsum([0, *[len(s) for s in shard]])
     interleave = np.concatenate(shard)
-    if len(base) > 2:
-        kind = np.uint16 if len(base) < 1 << 16 else np.int64
-        interleave = interleave.astype(kind)
-        before16 = before.astype(np.uint16)
-        for _ in range(depth):
-            # Row numbers in the present order: the i-th row of a shard is its i-th.
-            at = np.empty(len(interleave), np.int64)
-            at[np.argsort(interleave, kind="stable")] = np.arange(len(interleave))
-            turn = np.argsort(before16[at], kind="stable")
-            following = interleave[turn]
+    if n_shards > 1:
+        pairs = np.empty(len(before), pair_kind)
+        for _ in range(-(-depth // 2)):
+            # The i-th row of a shard in the present order is its i-th.
+            pairs[np.argsort(interleave, kind="stable")] = before
+            following = interleave[np.argsort(pairs, kind="stable")]
             if np.array_equal(following, interleave):
                 break
             interleave = following
-        at = np.empty(len(interleave), np.int64)
-        at[np.argsort(interleave, kind="stable")] = np.arange(len(interleave))
+        merged = np.empty(len(rows), np.int64)
+        merged[np.argsort(interleave, kind="stable")] = rows
     else:
-        at = np.arange(len(interleave))
-    merged = rows[at]
-    return _intervals(merged, text, starts, depth)
+        merged = rows
+    return _intervals(merged, raw, sizes, starts, depth)
 
 
-def _intervals(merged, text, starts, depth):
+def _intervals(merged, raw, sizes, starts, depth):
     """Number the runs of merged rows that share ``depth`` bytes."""
-    owner = np.searchsorted(starts, merged, side="right") - 1
-    room = starts[owner + 1] - 1 - merged
-    long = room >= depth
+    owner = np.repeat(np.arange(len(sizes)), sizes)[merged]
+    long = starts[owner + 1] - 1 - merged >= depth
     merged, owner = merged[long], owner[long]
     if not len(merged):
         return owner, merged, merged
+    # Words of up to eight bytes from every position on; the last one may overlap.
+    words, size = raw.astype(np.uint64), 1
+    while size < 8 and size * 2 <= depth:
+        words = words[:-size] << np.uint64(8 * size) | words[size:]
+        size *= 2
     border = np.zeros(len(merged), bool)
-    open_rows = np.arange(1, len(merged))
-    for k in range(depth):  # stops early for all rows that already differ
-        differ = text[merged[open_rows] + k] != text[merged[open_rows - 1] + k]
-        border[open_rows[differ]] = True
-        open_rows = open_rows[~differ]
+    for k in [*range(0, depth - size, size), depth - size]:
+        word = words[merged + k]
+        border[1:] |= word[1:] != word[:-1]
     return owner, merged - starts[owner], np.cumsum(border)
