@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortsmith.session import materialize
 
-# Distinct (group, value) pairs one task may sort.
+# Rows of a value range; at most so many values are sorted together.
 ROWS_PER_BUCKET = 1_000_000
 
 
@@ -26,55 +26,57 @@ def ranges_of(inner: Sequence[float], col: str) -> Callable[[DataFrame], DataFra
 
 
 def _ranked(
-    counts: DataFrame,
+    source: DataFrame,
     by: list[str],
-    n_pairs: int,
     rows_per_bucket: int,
     wanted: Callable[[Column, Column, Column], Column],
 ) -> DataFrame:
-    """Add ``upto`` (rows of the group up to and with this value) and the group's
-    ``size`` and ``total``.
+    """Counted values with ``upto`` (rows of the group up to and with this value) and
+    the group's ``size`` and ``total``.
 
-    Few pairs are ranked in one window per group.  Many are first counted in
-    value ranges of about equal size; only the ranges that hold a wanted rank
-    are shuffled and ranked, so no group is sorted in a single task.
+    Few rows are counted by value and ranked at once.  Many are first counted in value
+    ranges of about equal size; only values from ranges that hold a wanted rank are
+    counted one by one and ranked, so no group is sorted in a single task.
     """
     group = Window.partitionBy(*by)
-    weighted = counts.withColumn("weighted", F.col("value") * F.col("n"))
-    if n_pairs <= rows_per_bucket:
-        return weighted.withColumns({
+    n_buckets = math.ceil(source.count() / rows_per_bucket)
+    if n_buckets <= 1:
+        counts = source.groupBy(*by, "value").agg(F.count("*").alias("n"))
+        return counts.withColumns({
             "upto": F.sum("n").over(group.orderBy("value")),
             "size": F.sum("n").over(group),
-            "total": F.sum("weighted").over(group),
+            "total": F.sum(F.col("value") * F.col("n")).over(group),
         })
-    n_buckets = math.ceil(n_pairs / rows_per_bucket)
     steps = [i / n_buckets for i in range(1, n_buckets)]
-    inner = sorted(set(counts.approxQuantile("value", steps, 0.1 / n_buckets)))
-    bucketed = ranges_of(inner, "value")(weighted)
-    ranges = (
+    limits = source.approxQuantile("value", steps, 0.1 / n_buckets)
+    inner = sorted({v for v in limits if math.isfinite(v)})
+    bucketed = ranges_of(inner, "value")(source)
+    # A few ranges per group; written, so that Spark knows the size when it joins.
+    ranges = materialize(
         bucketed.groupBy(*by, "bucket")
-        .agg(F.sum("n").alias("inside"), F.sum("weighted").alias("weighted"))
+        .agg(F.count("*").alias("inside"), F.sum("value").alias("sum"))
         .withColumns({
             "before": F.sum("inside").over(group.orderBy("bucket")) - F.col("inside"),
             "size": F.sum("inside").over(group),
-            "total": F.sum("weighted").over(group),
+            "total": F.sum("sum").over(group),
         })
         .where(
             wanted(F.col("before"), F.col("before") + F.col("inside"), F.col("size"))
         )
-        .drop("inside", "weighted")
+        .drop("inside", "sum"),
+        "ranges",
     )
     keys = [*by, "bucket"]
     same = [bucketed[k].eqNullSafe(ranges[k]) for k in keys]
-    within = Window.partitionBy(*[bucketed[k] for k in keys]).orderBy("value")
-    return bucketed.join(ranges, same).select(
-        *[bucketed[k] for k in by],
-        "value",
-        "n",
-        (F.col("before") + F.sum("n").over(within)).alias("upto"),
-        "size",
-        "total",
+    of_range = ["before", "size", "total"]
+    counts = (
+        bucketed.join(ranges, same)
+        .select(*[bucketed[k] for k in keys], "value", *of_range)
+        .groupBy(*keys, "value", *of_range)
+        .agg(F.count("*").alias("n"))
     )
+    within = Window.partitionBy(*keys).orderBy("value")
+    return counts.withColumn("upto", F.col("before") + F.sum("n").over(within))
 
 
 def quantile_summary(
@@ -88,8 +90,9 @@ def quantile_summary(
 ) -> DataFrame:
     """Quantiles by linear interpolation between order statistics, per group.
 
-    The input is read once and collapsed to counts per distinct value; the
-    order statistics are then found by cumulative counts.  NULL and NaN are left out.
+    The call counts the input.  Beyond ``rows_per_bucket`` rows it also counts value
+    ranges and writes a few of them per group; then only values near a wanted rank are
+    shuffled, as counts.  NULL and NaN are left out.
     """
     by = list(by)
     source = df.select(
@@ -97,9 +100,6 @@ def quantile_summary(
     ).where(F.col("value").isNotNull() & ~F.isnan("value"))
     if not by:
         by, source = ["all"], source.withColumn("all", F.lit(0))
-    counts = materialize(
-        source.groupBy(*by, "value").agg(F.count("*").alias("n")), "values"
-    )
 
     def positions(p, size):
         """Fractional position of the quantile and the two ranks around it."""
@@ -113,7 +113,7 @@ def quantile_summary(
             lambda a, b: a | b, [(r >= start) & (r < end) for r in ranks]
         )
 
-    ranked = _ranked(counts, by, counts.count(), rows_per_bucket, wanted)
+    ranked = _ranked(source, by, rows_per_bucket, wanted)
 
     def order_statistic(rank):
         """Value at a 0-based rank."""
