@@ -61,9 +61,12 @@ def allocate(sources: DataFrame, weights: Sequence[float], most: float) -> DataF
     weight_left = F.sum("weight").over(everything) - F.coalesce(
         F.sum("weight").over(before), F.lit(0.0)
     )
-    levels = weighted.withColumn("level", left / weight_left)
+    levels = weighted.withColumn("level", left / weight_left).withColumn(
+        "place", F.row_number().over(by_level)
+    )
     fits = F.col("level") * F.col("weight") <= F.col("limit")
-    shared = F.min(F.when(fits, F.struct(F.col("limit") / F.col("weight"), "level")))
+    # The level of the first source that fits; later ones, ties too, have lower levels.
+    shared = F.min(F.when(fits, F.struct("place", "level")))
     return levels.withColumn("shared", shared.over(everything)).select(
         "source", "source_size",
         F.least(

@@ -58,6 +58,29 @@ def test_targets_equal_repeated_sharing(mixed):
         assert got[i]["target"] == pytest.approx(expected[source], abs=1e-6)
 
 
+@pytest.mark.parametrize("sizes", [
+    {"a": 100, "b": 200},
+    {"a": 100, "b": 200, "c": 300},
+    dict.fromkeys("abcdef", 100),
+    {"a": 10, "b": 20, "c": 30, "d": 500},
+    {"a": 500, "b": 20, "c": 30, "d": 10, None: 0},
+])
+def test_targets_of_sources_that_tie(spark, sizes):
+    """Equal sizes by weight, at the first level that fits and below it."""
+    sources = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    for most in (3.0, 1.5):
+        got = mixing.allocate(sources, (1.0, 2.0, 3.0), most).collect()
+        expected = fair_targets(sizes, most=most)
+        assert {r["source"]: r["target"] for r in got} == pytest.approx(expected)
+        assert sum(r["target"] for r in got) == pytest.approx(sum(sizes.values()))
+
+
+def test_equal_sources_are_taken_whole(spark):
+    docs = [(i, "w " * 10, "abcdef"[i % 6], "x") for i in range(60)]
+    got = mixing.sample_copies(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert sum(r["taken"] for r in got) >= 0.95 * 600
+
+
 def test_taken_words_come_near_the_targets(mixed):
     docs, got = mixed
     taken = defaultdict(int)
