@@ -6,8 +6,10 @@ come from models that did not see the row (out of fold), so that a later model d
 not learn to trust probabilities better than it will get.
 
 The models are fitted on a bounded sample: at most ``SAMPLE`` labelled documents
-with a category and as many without, in the order of a hash of their ids.  Everything
-else reads whole texts of all documents.
+with a category and as many without, in the order of a hash of their ids.  A side that
+does not fit counts as much as all its labels do, so that probabilities keep to the
+shares of the whole table at any size.  Everything else reads whole texts of all
+documents.
 """
 
 from __future__ import annotations
@@ -78,17 +80,17 @@ def _log_odds(p):
     return np.log(p / (1 - p))
 
 
-def _fit_linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last column is the constant."""
+def _fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted ridge logistic regression by Newton steps; last comes the constant."""
     ridge = np.full(x.shape[1], RIDGE)
     ridge[-1] = 1e-6
     beta = np.zeros(x.shape[1])
-    rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    rate = np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3)
     beta[-1] = np.log(rate / (1 - rate))
     for _ in range(STEPS):
         p = _sigmoid(x @ beta)
-        gradient = x.T @ (y - p) - ridge * beta
-        weighted = x * (p * (1 - p) + 1e-9).astype(np.float32)[:, None]
+        gradient = x.T @ (weight * (y - p)) - ridge * beta
+        weighted = x * (weight * p * (1 - p) + 1e-9).astype(np.float32)[:, None]
         step = np.linalg.solve(weighted.T @ x + np.diag(ridge), gradient)
         beta += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-4:
@@ -116,10 +118,14 @@ def _select(row, feature, y, n) -> np.ndarray:
 
 def fit_chain(
     ids: np.ndarray, row: np.ndarray, feature: np.ndarray, labels: np.ndarray,
-    names: Sequence[str],
+    names: Sequence[str], weight: np.ndarray | None = None,
 ) -> Chain:
-    """Fit on ``labels`` (rows x categories); folds go by the ids' hash."""
+    """Fit on ``labels`` (rows x categories); folds go by the ids' hash.
+
+    ``weight``: how many labelled documents each row stands for, default 1.
+    """
     n = len(labels)
+    weight = np.ones(n) if weight is None else weight * n / max(weight.sum(), 1e-12)
     chosen = [_select(row, feature, labels[:, k], n) for k in range(len(names))]
     features = np.unique(np.concatenate([*chosen, np.zeros(0, np.int64)])).astype(np.int64)
     use = np.isin(feature, features.astype(np.uint32))
@@ -141,13 +147,14 @@ def fit_chain(
             links.append(Link(name, words, weights))
             before = np.column_stack([before, np.full(n, float(n > 0 and y.all()))])
             continue
-        links.append(Link(name, words, _fit_linear(x, y)))
+        links.append(Link(name, words, _fit_linear(x, y, weight)))
         if k + 1 < len(names):
-            unseen = np.full(n, y.mean())
+            unseen = np.full(n, np.average(y, weights=weight))
             for f in range(FOLDS):
                 held = fold == f
                 if held.any() and 0 < y[~held].sum() < (~held).sum():
-                    unseen[held] = _sigmoid(x[held] @ _fit_linear(x[~held], y[~held]))
+                    seen = _fit_linear(x[~held], y[~held], weight[~held])
+                    unseen[held] = _sigmoid(x[held] @ seen)
             before = np.column_stack([before, unseen])
     return Chain(features, links)
 
@@ -180,6 +187,7 @@ def fit(
     drawn = [
         known.where(side).orderBy("order", "id").limit(sample) for side in (some, ~some)
     ]
+    sides = known.agg(F.count_if(some).alias("some"), F.count_if(~some).alias("none")).first()
     # Never more than twice the sample.
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]).withColumnRenamed("id", "key"))
     texts = docs.select(
@@ -218,8 +226,11 @@ def fit(
     y = np.column_stack([
         found.column(f"y{k}").to_numpy() for k in range(n_marks)
     ]) if n_marks else np.zeros((found.num_rows, 0))
+    # A drawn row stands for so many labels of its side.
+    stands_for = [max(size / max(sample, 1), 1.0) for size in (sides["some"], sides["none"])]
+    weight = np.where(y.any(axis=1), *stands_for)
     return fit_chain(
-        found.column("order").to_numpy(), row, feature, y, list(categories)
+        found.column("order").to_numpy(), row, feature, y, list(categories), weight
     )
 
 

@@ -37,6 +37,22 @@ def test_chain_on_unseen_labels(spark):
     assert kept.count() == docs.count() - toxicity.classify(docs, chain).where("p_toxic >= 0.5").count()
 
 
+def test_bounded_sample_keeps_the_shares_of_the_labels(spark):
+    """Labels that words do not explain: probabilities near the share, at any sample."""
+    chance = random.Random(8)
+    docs, labels = [], []
+    for i in range(2000):
+        docs.append((i, " ".join(chance.choices([f"word{k}" for k in range(30)], k=5)), "x", "y"))
+        labels.append((i, int(i % 10 < 2), int(i % 10 == 0)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string, p_toxic string, id string")
+    labels = spark.createDataFrame(labels, "doc_id long, odd int, toxic int")
+    for sample in (2000, 300):
+        chain = toxicity.fit(docs, labels, categories(), sample=sample)
+        share = toxicity.classify(docs, chain).agg(F.avg("p_odd"), F.avg("p_toxic")).first()
+        assert abs(share[0] - 0.2) < 0.06
+        assert abs(share[1] - 0.1) < 0.04
+
+
 def test_odd_rows_and_missing_labels(spark):
     docs, labels = labelled(spark, 30)
     odd = spark.createDataFrame(
