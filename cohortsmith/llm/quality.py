@@ -64,10 +64,16 @@ def n_repeat_words(text: Column) -> Column:
 
     A window is a hash shifted up to make room for its position; one sort of these
     numbers brings equal windows together.  With ``b`` bits for positions the hash
-    keeps ``64 - b``, at least 40 for any text of up to 16 million words.
+    keeps ``64 - b``, so windows of equal hash are sorted again by their words, and
+    only equal words count.
     """
 
-    def of_hashes(hashes: Column) -> Column:
+    def of_words(words: Column) -> Column:
+        return let(
+            F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: of_hashes(words, hashes)
+        )
+
+    def of_hashes(words: Column, hashes: Column) -> Column:
         n = F.size(hashes)
         bits = F.ceil(F.log2(n + F.lit(1))).cast("int")
 
@@ -92,17 +98,39 @@ def n_repeat_words(text: Column) -> Column:
                 | F.when(i > 0, same(k, F.get(keys, F.greatest(i - 1, F.lit(0))))).otherwise(False),
             )
             low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-            at = F.sort_array(F.transform(repeated, lambda k: k.bitwiseAND(low)))
-            return let(at, lambda at: F.aggregate(
+            spelled = F.sort_array(F.transform(repeated, lambda k: let(
+                k.bitwiseAND(low).cast("int"),
+                lambda p: F.struct(
+                    *[F.get(words, p + j).alias(f"w{j}") for j in range(3)], p.alias("p")
+                ),
+            )))
+            return let(let(spelled, equal), added_up)
+
+        def equal(found: Column) -> Column:
+            def same(a: Column, b: Column) -> Column:
+                return F.coalesce(
+                    (a["w0"] == b["w0"]) & (a["w1"] == b["w1"]) & (a["w2"] == b["w2"]),
+                    F.lit(False),
+                )
+
+            repeated = F.filter(
+                found,
+                lambda x, i: same(x, F.get(found, i + 1))
+                | F.when(i > 0, same(x, F.get(found, F.greatest(i - 1, F.lit(0))))).otherwise(False),
+            )
+            return F.sort_array(F.transform(repeated, lambda x: x["p"].cast("long")))
+
+        def added_up(at: Column) -> Column:
+            return F.aggregate(
                 F.transform(at, lambda p, i: F.least(
                     F.lit(3).cast("long"), F.coalesce(F.get(at, i + 1) - p, F.lit(3).cast("long"))
                 )),
                 F.lit(0).cast("long"), lambda total, more: total + more,
-            ))
+            )
 
         return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(bits, keyed))
 
-    return let(F.transform(_words(text), lambda w: F.xxhash64(w)), of_hashes)
+    return let(_words(text), of_words)
 
 
 def bad_line(line: Column) -> Column:

@@ -47,6 +47,17 @@ def test_counts_equal_brute_force(spark):
         )
 
 
+def test_windows_of_equal_hash_are_told_apart_by_their_words(spark, monkeypatch):
+    hashed = quality.F.xxhash64
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: hashed(*c) % 5)
+    chance = random.Random(4)
+    texts = [" ".join(chance.choices("abcdefgh", k=n)) for n in (3, 4, 40, 200)]
+    texts.append(" ".join(f"w{i}" for i in range(500)))
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    for row in quality.judge(docs).collect():
+        assert counts(row) == by_hand(texts[row["doc_id"]])
+
+
 def test_lines_go_and_documents_that_lose_too_much(spark):
     prose = "\n".join(
         " ".join(f"word{i}x{j}" for j in range(12)) + "." for i in range(8)
