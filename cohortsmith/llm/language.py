@@ -40,21 +40,25 @@ BATCH_CHARS = 1_000_000
 UNKNOWN = "und"
 
 
-def is_letter(char: str) -> bool:
+def in_sequences(char: str) -> bool:
+    """Letters and the marks that combine with them; a mark alone is no letter."""
     return char.isalpha() or unicodedata.category(char).startswith("M")
 
 
 def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Counts of hashed character sequences, one row per text, and who has a letter.
 
-    Everything that is no letter becomes one space; sequences do not cross texts.
+    Everything that is no letter or combining mark becomes one space; sequences do not cross texts.
     """
     texts = [" " + t.replace("\x00", " ").lower() + " " for t in texts]
     codes = np.frombuffer("\x00".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     known, which = np.unique(codes, return_inverse=True)
-    letters = np.array([is_letter(chr(c)) for c in known], bool)
+    stays = np.array([in_sequences(chr(c)) for c in known], bool)
+    alpha = np.array([chr(c).isalpha() for c in known], bool)[which]
     ends = known == 0
-    symbol = np.where(letters, known, np.where(ends, 0, 32))[which]
+    has_letter = np.zeros(len(texts), bool)
+    has_letter[np.cumsum(codes == 0)[alpha]] = True
+    symbol = np.where(stays, known, np.where(ends, 0, 32))[which]
     keep = np.ones(len(symbol), bool)
     keep[1:] = (symbol[1:] != 32) | (symbol[:-1] != 32)
     symbol = symbol[keep].astype(np.uint64)
@@ -69,8 +73,6 @@ def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         use = inside & (symbol != 32) if k == 0 else inside
         bucket = (value[use] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(52)
         counts += np.bincount(row[use] * BUCKETS + bucket.astype(np.int64), minlength=len(counts))
-    has_letter = np.zeros(len(texts), bool)
-    has_letter[row[(symbol != 32) & (symbol != 0)]] = True
     return counts.reshape(len(texts), BUCKETS), has_letter
 
 

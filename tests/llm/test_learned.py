@@ -92,3 +92,13 @@ def test_language(spark):
     untaught = language.fit(docs.limit(0))
     assert language.identify(docs.limit(2), untaught).first()["lang_pred"] == "und"
     assert language.identify(odd.limit(0), model).collect() == []
+
+
+def test_a_mark_without_a_letter_has_no_language(spark):
+    _, has_letter = language.sequences(["❤\ufe0f", "12 \u0301 !", "", "❤\ufe0f kla", "e\u0301"])
+    assert has_letter.tolist() == [False, False, False, True, True]
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([(i, "kla mori tes", "aa") for i in range(9)], schema)
+    model = language.fit(docs)
+    odd = spark.createDataFrame([(1, "❤\ufe0f", None)], schema)
+    assert tuple(language.identify(odd, model).first())[:3] == (1, "und", 0.0)
