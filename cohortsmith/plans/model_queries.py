@@ -132,22 +132,35 @@ def logistic_univariable(spark, folder):
 )
 def logistic_adjusted(spark, folder):
     """Every symptom adjusted for age group; the exposure's own effect."""
-    fits = logistic_batch(
+    fits = logistic_adjusted_terms(spark, folder)
+    own = fits.where(F.col("term") == F.concat("model", F.lit("=1")))
+    return rounded(own, *EFFECT).select("model", *EFFECT)
+
+
+@register("model_batch_adjusted_terms")
+def logistic_adjusted_terms(spark, folder):
+    """The same fits with every term and column; SQL solves the own effects only."""
+    return logistic_batch(
         coded_cases(spark, folder), "testresult", {s: BINARY for s in EXPOSURES},
         adjust=[Cat("agegr10", AGES)], conf="wald",
     )
-    own = fits.where(F.col("term") == F.concat("model", F.lit("=1")))
-    return rounded(own, *EFFECT).select("model", *EFFECT)
 
 
 @register("profile_ci", sql(model_sql.profile_two_by_two(_long("cases")), "cases"))
 def profile_ci(spark, folder):
-    fits = logistic_batch(
+    """Profile bounds of the exposure's own effect."""
+    fits = profile_ci_terms(spark, folder)
+    own = fits.where(F.col("term") == F.concat("model", F.lit("=1")))
+    return rounded(own, "conf_low", "conf_high").select("model", "conf_low", "conf_high")
+
+
+@register("profile_ci_terms")
+def profile_ci_terms(spark, folder):
+    """The same fits with every term and column."""
+    return logistic_batch(
         coded_cases(spark, folder, person=False), "testresult",
         {s: BINARY for s in EXPOSURES},
     )
-    own = fits.where(F.col("term") == F.concat("model", F.lit("=1")))
-    return rounded(own, "conf_low", "conf_high").select("model", "conf_low", "conf_high")
 
 
 _PER_ERA = f"""
@@ -215,14 +228,20 @@ def logistic_interaction_adjusted(spark, folder):
     ),
 )
 def logistic_stratified(spark, folder):
-    """Adjusted symptom effects within every era."""
+    """Adjusted symptom effects within every era; the exposure's own effect."""
+    fits = logistic_stratified_terms(spark, folder)
+    own = fits.where(F.col("term") == F.concat("model", F.lit("=1")))
+    return rounded(own, *EFFECT).select("model", "variant", *EFFECT)
+
+
+@register("logistic_stratified_terms")
+def logistic_stratified_terms(spark, folder):
+    """The same fits with every term and column."""
     symptoms = ["anosmia", "ageusia", "appitite_loss", "chills"]
-    fits = logistic_batch(
+    return logistic_batch(
         coded_cases(spark, folder), "testresult", {s: BINARY for s in symptoms},
         adjust=[Cat("agegr10", AGES)], strata=["variant"], conf="wald",
     )
-    own = fits.where(F.col("term") == F.concat("model", F.lit("=1")))
-    return rounded(own, *EFFECT).select("model", "variant", *EFFECT)
 
 
 @register(

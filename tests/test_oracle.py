@@ -30,3 +30,17 @@ def test_query_without_sql_has_rows(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name, adjusted", [
+    ("model_batch_adjusted", True), ("profile_ci", False), ("logistic_stratified", True),
+])
+def test_every_term_of_the_fits_is_there(spark, name, adjusted):
+    fits = entry.queries()[f"{name}_terms"](spark, FOLDER)
+    assert {"estimate", "std_error", "p_value", "n_obs", "converged"} <= set(fits.columns)
+    terms = [(r["model"], r["term"]) for r in fits.select("model", "term").collect()]
+    own = {r["model"] for r in entry.queries()[name](spark, FOLDER).select("model").collect()}
+    for model in own:
+        found = {term for m, term in terms if m == model}
+        assert {"(Intercept)", f"{model}=1"} <= found
+        assert any(term.startswith("agegr10=") for term in found) == adjusted
