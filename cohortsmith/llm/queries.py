@@ -9,13 +9,16 @@ from cohortsmith.llm import (
     exact_dedup,
     html_text,
     language,
+    license_scan,
     mixing,
     packing,
     quality,
+    ranked_search,
     simhash,
     suffix_dedup,
     toxicity,
     url_filter,
+    vector_codes,
 )
 from cohortsmith.llm.tables import register, table
 
@@ -284,3 +287,168 @@ def op9_suffix_dedup(spark, folder):
         "doc_id", "n_bytes", "n_removed", "n_spans",
         F.sha2("kept_text", 256).alias("kept_sha256"),
     )
+
+
+def _wording(nodes) -> str:
+    """A template as a regular expression over words that each end in a space."""
+    out = ""
+    for node in nodes:
+        if isinstance(node, license_scan.Word):
+            out += f"{node.text} "
+        elif isinstance(node, license_scan.Optional):
+            out += f"(?:{_wording(node.inner)})?"
+        else:
+            out += f"(?:{node.match or '[^ ]+'} ){{{node.low},{node.high}}}"
+    return out
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PHRASES = " UNION ALL ".join(
+    f"SELECT doc_id, '{label}' AS label, i FROM (SELECT doc_id, ws, "
+    f"unnest(range(len(ws))) AS i FROM d) WHERE "
+    + " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(phrase.split(), 1))
+    for phrase, label in license_scan.PHRASES.items()
+)
+_ACCEPTED = " UNION ".join(
+    f"SELECT doc_id, '{label}' AS label FROM d "
+    f"WHERE regexp_matches(plain, ' {_wording(license_scan.parse(markup))}')"
+    for label, markup in license_scan.TEMPLATES
+)
+
+
+@register(
+    "op11_license_scan",
+    rf"""
+    WITH d AS MATERIALIZED (
+      SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS plain FROM (
+        SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")},
+          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents)
+    ),
+    places AS ({_PHRASES}),
+    base AS (
+      SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+      FROM places GROUP BY doc_id
+    ),
+    accepted AS MATERIALIZED ({_ACCEPTED}),
+    named AS (
+      SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (
+        SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM accepted)
+      GROUP BY doc_id
+    )
+    SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+      CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+      first_word, last_word, coalesce(base_labels, '') AS base_labels,
+      coalesce(labels, '') AS labels,
+      CAST(CASE WHEN a.doc_id IS NOT NULL THEN {license_scan.SURE}
+        WHEN n_base > 0 THEN {license_scan.HINT} ELSE 0 END AS DOUBLE) AS score
+    FROM d LEFT JOIN base ON d.doc_id = base.doc_id
+      LEFT JOIN named ON d.doc_id = named.doc_id
+      LEFT JOIN (SELECT DISTINCT doc_id FROM accepted) a ON d.doc_id = a.doc_id
+    """,
+)
+def op11_license_scan(spark, folder):
+    return license_scan.digest(license_scan.scan(table(spark, folder, "documents")))
+
+
+_TERMS = (
+    r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+
+@register(
+    "op12_ranked_search",
+    f"""
+    WITH d AS (SELECT doc_id, {_TERMS.format(_LOWER.format("coalesce(text, '')"))} AS ws
+      FROM documents),
+    stats AS (SELECT count(*) FILTER (WHERE len(ws) > 0) AS n_docs,
+        CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d),
+    wanted AS (
+      SELECT item_id, term, count(*) AS repeats FROM (
+        SELECT item_id, unnest({_TERMS.format(_LOWER.format("text"))}) AS term
+        FROM benchmark)
+      GROUP BY ALL
+    ),
+    posted AS (
+      SELECT doc_id, term, n, count(*) AS tf FROM (
+        SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d)
+      WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+    ),
+    weighed AS (
+      SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE
+        / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM posted, stats GROUP BY term
+    ),
+    scored AS (
+      SELECT item_id, doc_id, CAST(sum(repeats * w * (1000000000 * tf
+        // (1000 * tf + 12 * (75 + 25 * n * n_docs // n_terms)))) AS BIGINT) AS score
+      FROM wanted JOIN posted USING (term) JOIN weighed USING (term), stats
+      GROUP BY item_id, doc_id
+    )
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+      FROM scored WHERE score > 0)
+    WHERE rank <= {ranked_search.TOP}
+    """,
+)
+def op12_ranked_search(spark, folder):
+    return ranked_search.rank(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
+def _codebook_rounds() -> str:
+    out = """
+    e0 AS MATERIALIZED (
+      SELECT part, entry, place, x AS c FROM points JOIN (
+        SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept)
+        USING (vec_id) WHERE entry < 256)"""
+    for k in range(vector_codes.ROUNDS + 1):
+        out += f""",
+    a{k} AS MATERIALIZED (
+      SELECT vec_id, part, min_by(entry, (d, entry)) AS entry, min(d) AS d FROM (
+        SELECT vec_id, part, entry, sum((x - c) * (x - c)) AS d
+        FROM points JOIN e{k} USING (part, place) GROUP BY ALL)
+      GROUP BY vec_id, part)"""
+        if k < vector_codes.ROUNDS:
+            out += f""",
+    e{k + 1} AS MATERIALIZED (
+      SELECT part, entry, place, coalesce((s - (s % n + n) % n) // n, c) AS c
+      FROM e{k} LEFT JOIN (
+        SELECT part, entry, place, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+        FROM a{k} JOIN points USING (vec_id, part) GROUP BY ALL)
+        USING (part, entry, place))"""
+    return out
+
+
+@register(
+    "op13_vector_codes",
+    f"""
+    WITH kept AS MATERIALIZED (
+      SELECT vec_id, label, list_transform(embedding,
+        lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    points AS MATERIALIZED (
+      SELECT vec_id, i // (len(v) // 4) AS part, i % (len(v) // 4) AS place, v[i + 1] AS x
+      FROM (SELECT vec_id, v, unnest(range(len(v))) AS i FROM kept)
+    ),
+    {_codebook_rounds()},
+    coded AS (
+      SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code,
+        CAST(sum(d) AS BIGINT) AS error
+      FROM a{vector_codes.ROUNDS} GROUP BY vec_id
+    ),
+    books AS (
+      SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, place)) AS sha
+      FROM e{vector_codes.ROUNDS}
+    )
+    SELECT vec_id, code, error,
+      CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+      sha AS codebooks_sha256
+    FROM kept JOIN coded USING (vec_id), books
+    """,
+)
+def op13_vector_codes(spark, folder):
+    return vector_codes.compress(table(spark, folder, "embeddings"))
