@@ -30,10 +30,12 @@ ENTRIES = 256
 ROUNDS = 4
 SCALE = 1024
 
-# Coefficients that all entries are compared in, and those added at a time after that.
-FIRST = 4
+# Coefficients added at a time.
 STEP = 4
 
+# Entries are dealt with one by one once this share of them is left.
+FEW = 0.2
+
 # Vectors compared at a time.
 CHUNK = 2048
 
@@ -75,14 +77,20 @@ def nearest(points: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.nda
     """
     width = points.shape[1]
     sums = np.zeros((len(points), len(entries)), points.dtype)
-    for k in range(min(FIRST, width)):
-        d = points[:, k, None] - entries[None, :, k]
-        sums += d * d
-    guess = sums.argmin(axis=1)
-    limit = _squares(points, entries[guess])
-    row, entry = np.nonzero(sums <= limit[:, None])
+    limit = None
+    for at in range(0, width, STEP):
+        for k in range(at, min(at + STEP, width)):
+            d = points[:, k, None] - entries[None, :, k]
+            sums += d * d
+        # The entry that is ahead gives a distance nothing farther has to be kept for.
+        ahead = _squares(points, entries[sums.argmin(axis=1)])
+        limit = ahead if limit is None else np.minimum(limit, ahead)
+        stays = sums <= limit[:, None]
+        if stays.sum() <= FEW * stays.size:
+            break
+    row, entry = np.nonzero(stays)
     left = sums[row, entry]
-    for k in range(FIRST, width, STEP):
+    for k in range(at + STEP, width, STEP):
         left = left + _squares(points[row, k : k + STEP], entries[entry, k : k + STEP])
         stay = left <= limit[row]
         row, entry, left = row[stay], entry[stay], left[stay]
