@@ -1,9 +1,16 @@
 from cohortsmith.models.cox import cox_batch, cox_hr
-from cohortsmith.models.design import Cat, Inter, Num, design_matrix
+from cohortsmith.models.design import (
+    Cat,
+    Inter,
+    Num,
+    design_matrix,
+    level_dictionary,
+    sparse_design,
+)
 from cohortsmith.models.logistic import logistic_batch, logistic_or
 from cohortsmith.models.ols import poly_ols
 
 __all__ = [
     "Cat", "Inter", "Num", "cox_batch", "cox_hr", "design_matrix",
-    "logistic_batch", "logistic_or", "poly_ols",
+    "level_dictionary", "logistic_batch", "logistic_or", "poly_ols", "sparse_design",
 ]

@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 from cohortsmith.models.design import (
     Cat,
     Term,
+    absent_reference,
     as_categories,
-    resolve,
     row_variables,
-    spark_design,
     variables,
 )
+from cohortsmith.models.large import Large, gather
 from cohortsmith.session import materialize
 
-# Covariate patterns one Python task may hold; larger models are fitted with
-# one distributed aggregation per step.
+# Covariate patterns one Python task may hold; larger models are fitted together, with
+# one distributed aggregation per step of all of them.
 MAX_PATTERNS = 500_000
 
 # Tasks that share the small fits.
@@ -119,6 +119,21 @@ def _position(answer: Column, levels: Sequence[str], kind: str) -> Column:
     return chain
 
 
+def _references(
+    terms: Sequence[Term], exposures: Mapping[str, Levels] | None
+) -> list[tuple[str, str, str | None, str]]:
+    """Categories that only name their reference: variable, name shown, model, reference."""
+    found = [
+        (v.name, v.label or v.name, None, v.ref) for v in variables(terms)
+        if isinstance(v, Cat) and v.levels is None and v.ref is not None
+    ]
+    for name in exposures or {}:
+        own = exposure_term(name, exposures)
+        if own.levels is None and own.ref is not None:
+            found.append(("exposure", name, name, own.ref))
+    return found
+
+
 def run_fits(
     collapsed: DataFrame,
     terms: Sequence[Term],
@@ -126,22 +141,41 @@ def run_fits(
     strata: Sequence[str],
     schema: str,
     fit_local: Callable[[pd.DataFrame, list[Term]], pd.DataFrame],
-    fit_spark: Callable[[DataFrame, list[Term]], pd.DataFrame],
+    fit_large: Callable[[Large], list[pd.DataFrame]],
     max_patterns: int,
 ) -> DataFrame:
     """Fit every model of a collapsed table.
 
-    Models of up to ``max_patterns`` patterns are fitted inside one grouped
-    task each; their size is checked first.  Larger ones are fitted one after
-    the other on the distributed table.
+    The patterns are written and counted when this is called.  Models of up to
+    ``max_patterns`` patterns are fitted inside one grouped task each, once the result is
+    used.  Larger ones are fitted at once and together: ``fit_large`` reads the
+    distributed table as often as the slowest of them needs, whatever their number.
     """
     table = materialize(collapsed, "patterns")
     model_keys = ["model", *strata]
-    sizes = table.groupBy(*model_keys).count()
-    too_large = F.col("count") > max_patterns
-    n_models, n_large = sizes.agg(F.count("*"), F.count_if(too_large)).first()
+    refs = _references(terms, exposures)
+    sizes = table.groupBy(*model_keys).agg(F.count("*").alias("patterns"), *[
+        F.bool_or(F.col(variable) == ref).alias(f"ref_{i}")
+        for i, (variable, _, _, ref) in enumerate(refs)
+    ])
+    too_large = F.col("patterns") > max_patterns
+
+    def mine(model):
+        return F.lit(True) if model is None else F.col("model") == model
+
+    counted = sizes.agg(
+        F.count("*"), F.count_if(too_large),
+        *[F.bool_or(F.when(mine(model), F.col(f"ref_{i}")))
+          for i, (_, _, model, _) in enumerate(refs)],
+    ).first()
+    n_models, n_large = counted[0], counted[1]
+    for (_, shown, _, ref), there in zip(refs, counted[2:]):
+        if there is False:  # NULL: there are no rows
+            raise absent_reference(shown, ref)
     # At most the table's size divided by max_patterns.
-    large = sizes.where(too_large).collect() if n_large else []
+    large = sizes.where(too_large).select(*model_keys, "patterns").orderBy(
+        *model_keys
+    ).collect() if n_large else []
 
     def model_terms(model: str) -> list[Term]:
         if exposures is None:
@@ -152,57 +186,41 @@ def run_fits(
     spark = table.sparkSession
     fields = f"model string, {''.join(f'{s} string, ' for s in strata)}{schema}"
     n_small = n_models - n_large
+
+    def with_keys(out: pd.DataFrame, key: Sequence) -> pd.DataFrame:
+        for position, name in enumerate(model_keys):
+            value = key[position]
+            out.insert(position, name, None if value is None else str(value))
+        return out
+
     parts = []
     if n_small or not large:
         of_small = table
-        for row in large:
-            same = [F.col(k).eqNullSafe(F.lit(row[k])) for k in model_keys]
-            condition = same[0]
-            for other in same[1:]:
-                condition &= other
-            of_small = of_small.where(~condition)
+        if large:
+            names = spark.createDataFrame(
+                [tuple(row)[:-1] for row in large],
+                ", ".join(f"large_{k} {dict(table.dtypes)[k]}" for k in model_keys),
+            )
+            same = reduce(lambda a, b: a & b, [
+                F.col(k).eqNullSafe(F.col(f"large_{k}")) for k in model_keys
+            ])
+            of_small = table.join(F.broadcast(names), same, "left_anti")
 
         def fit(key, patterns):
-            out = fit_local(patterns, model_terms(key[0]))
-            for position, name in enumerate(model_keys):
-                value = key[position]
-                out.insert(position, name, None if value is None else str(value))
-            return out
+            return with_keys(fit_local(patterns, model_terms(key[0])), key)
 
         parts.append(
             of_small.repartition(min(max(n_small, 1), MAX_TASKS), *model_keys)
             .groupBy(*model_keys)
             .applyInPandas(fit, fields)
         )
-    for row in large:
-        mine = table
-        for k in model_keys:
-            mine = mine.where(F.col(k).eqNullSafe(F.lit(row[k])))
-        own_terms = model_terms(row["model"])
-        present = {
-            v.name: [
-                r[0] for r in mine.select(v.name).distinct().collect()
-            ]
-            for v in variables(own_terms)
-            if isinstance(v, Cat) and v.levels is None
-        }
-        out = fit_spark(mine, resolve(own_terms, present))
-        for position, name in enumerate(model_keys):
-            value = row[name]
-            out.insert(position, name, None if value is None else str(value))
-        parts.append(spark.createDataFrame(out, fields))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def design_rows(
-    mine: DataFrame, terms: Sequence[Term], keep: Sequence[str]
-) -> tuple[list[str], DataFrame]:
-    """Pattern rows with design columns ``x0, x1, ...``, persisted for the loop."""
-    pairs = spark_design(terms)
-    rows = mine.select(
-        *keep, *[c.alias(f"x{i}") for i, (_, c) in enumerate(pairs)]
-    ).persist()
-    return [label for label, _ in pairs], rows
+    if large:
+        gathered = gather(
+            table, model_keys, [(tuple(row)[:-1], row["patterns"]) for row in large],
+            model_terms,
+        )
+        found = [
+            with_keys(out, key) for key, out in zip(gathered.keys, fit_large(gathered))
+        ]
+        parts.append(spark.createDataFrame(pd.concat(found, ignore_index=True), fields))
+    return reduce(DataFrame.unionByName, parts)

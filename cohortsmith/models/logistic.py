@@ -4,23 +4,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortsmith.functions.stats import wald_z
-from cohortsmith.models.batch import (
-    MAX_PATTERNS,
-    Levels,
-    collapse,
-    design_rows,
-    run_fits,
+from cohortsmith.models.batch import MAX_PATTERNS, Levels, collapse, run_fits
+from cohortsmith.models.design import Term, labels_of, local_design, own_names
+from cohortsmith.models.large import Large, added_up, arrow_design, upper
+from cohortsmith.models.newton import (
+    Fit,
+    Likelihood,
+    answered,
+    answered_together,
+    estimable,
+    maximise,
+    profile_bounds,
+    together,
 )
-from cohortsmith.models.design import Term, local_design, own_names
-from cohortsmith.models.newton import Evaluate, estimable, maximise, profile_bounds
 
 TOLERANCE = 1e-8
 ITERATIONS = 25
@@ -32,75 +36,31 @@ SCHEMA = (
 )
 
 
-def _local_evaluate(x: np.ndarray, n: np.ndarray, k: np.ndarray) -> Evaluate:
-    def evaluate(beta):
-        eta = x @ beta
-        with np.errstate(over="ignore"):
-            mu = 1 / (1 + np.exp(-eta))
-        value = float(k @ eta - n @ np.logaddexp(0, eta))
-        gradient = x.T @ (k - n * mu)
-        information = (x * (n * mu * (1 - mu))[:, None]).T @ x
-        return value, gradient, information
-
-    return evaluate
-
-
-def _upper(matrix_sums: Sequence[float], p: int) -> np.ndarray:
-    """Symmetric matrix from its upper triangle, row by row."""
-    out = np.zeros((p, p))
-    out[np.triu_indices(p)] = matrix_sums
-    return out + np.triu(out, 1).T
-
-
-def _spark_evaluate(rows: DataFrame, p: int) -> Evaluate:
-    """One distributed aggregation per evaluation; only p*(p+3)/2 sums return."""
-    x = [F.lit(1.0), *[F.col(f"x{i}") for i in range(p - 1)]]
-
-    def evaluate(beta):
-        eta = reduce(lambda a, b: a + b, [c * F.lit(float(b)) for c, b in zip(x, beta)])
-        staged = rows.withColumn("eta", eta).withColumn(
-            "mu", 1 / (1 + F.exp(-F.col("eta")))
-        )
-        softplus = F.greatest(F.col("eta"), F.lit(0.0)) + F.log1p(
-            F.exp(-F.abs("eta"))
-        )
-        weight = F.col("n") * F.col("mu") * (1 - F.col("mu"))
-        residual = F.col("k") - F.col("n") * F.col("mu")
-        sums = [
-            F.sum(F.col("k") * F.col("eta") - F.col("n") * softplus),
-            *[F.sum(residual * c) for c in x],
-            *[F.sum(weight * x[i] * x[j]) for i in range(p) for j in range(i, p)],
-        ]
-        got = staged.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
-        return (
-            got[0],
-            np.array(got[1 : p + 1], float),
-            _upper(list(got[p + 1 :]), p),
-        )
-
-    return evaluate
+def _likelihood(x: np.ndarray, n: np.ndarray, k: np.ndarray, beta: np.ndarray) -> Likelihood:
+    eta = x @ beta
+    with np.errstate(over="ignore"):
+        mu = 1 / (1 + np.exp(-eta))
+    return Likelihood(
+        float(k @ eta - n @ np.logaddexp(0, eta)),
+        x.T @ (k - n * mu),
+        (x * (n * mu * (1 - mu))[:, None]).T @ x,
+    )
 
 
-def _fit(
-    labels: Sequence[str],
-    evaluate: Evaluate,
-    gram: np.ndarray,
-    n_obs: int,
-    confidence: float,
-    profile: bool,
-) -> pd.DataFrame:
+def _fit(labels: Sequence[str], n_obs: int, confidence: float, profile: bool) -> Fit:
     z = wald_z(confidence)
-    free = estimable(gram)
-    beta, value, information, converged = maximise(
-        evaluate, np.zeros(len(labels)), free, TOLERANCE, ITERATIONS
-    )
+    zero = np.zeros(len(labels))
+    (start,) = yield [zero]
+    # At zero every row weighs a quarter: the information is that of the cross products.
+    free = estimable(4 * start.information)
+    ((beta, best, converged),) = yield from together([
+        maximise(zero, free, TOLERANCE, ITERATIONS, start)
+    ])
     errors = np.full(len(labels), np.nan)
-    inverse = np.linalg.pinv(information[np.ix_(free, free)])
+    inverse = np.linalg.pinv(best.information[np.ix_(free, free)])
     errors[free] = np.sqrt(np.clip(np.diag(inverse), 0, None))
     if profile:
-        bounds = profile_bounds(
-            evaluate, beta, value, errors, free, z, TOLERANCE, ITERATIONS
-        )
+        bounds = yield from profile_bounds(beta, best, free, z, TOLERANCE, ITERATIONS)
     else:
         bounds = np.column_stack([beta - z * errors, beta + z * errors])
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
@@ -118,36 +78,63 @@ def _fit(
         })
 
 
+def _with_intercept(columns: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(columns)), columns])
+
+
+def _likelihoods(
+    large: Large, asked: Sequence[tuple[int, np.ndarray]]
+) -> list[Likelihood]:
+    """The likelihoods of any vectors of any models, from one pass over the models' rows."""
+    of_model: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for trial, (model, beta) in enumerate(asked):
+        of_model.setdefault(model, []).append((trial, beta))
+    terms = large.terms
+
+    def sums(model: int, part: pa.RecordBatch):
+        x = _with_intercept(arrow_design(part, terms[model]))
+        n = part.column("n").to_numpy(zero_copy_only=False).astype(float)
+        k = part.column("k").to_numpy(zero_copy_only=False).astype(float)
+        above = np.triu_indices(x.shape[1])
+        for trial, beta in of_model[model]:
+            found = _likelihood(x, n, k, beta)
+            yield (trial,), np.concatenate([
+                [found.value], found.gradient, found.information[above]
+            ])
+
+    found = added_up(large.active(list(of_model)), sums, {"trial": "int"})
+    out = []
+    for trial, (_, beta) in enumerate(asked):
+        p, got = len(beta), found[trial,]
+        out.append(Likelihood(got[0], got[1 : p + 1], upper(got[p + 1 :], p)))
+    return out
+
+
 def _fitters(confidence: float, conf: str):
     profile = conf == "profile"
 
     def fit_local(patterns: pd.DataFrame, terms: list[Term]) -> pd.DataFrame:
         labels, columns = local_design(patterns, terms)
-        x = np.column_stack([np.ones(len(patterns)), columns])
+        x = _with_intercept(columns)
         n = patterns["n"].to_numpy(float)
         k = patterns["k"].to_numpy(float)
-        return _fit(
-            ["(Intercept)", *labels], _local_evaluate(x, n, k),
-            (x * n[:, None]).T @ x, int(n.sum()), confidence, profile,
+        return answered(
+            _fit(["(Intercept)", *labels], int(n.sum()), confidence, profile),
+            lambda beta: _likelihood(x, n, k, beta),
         )
 
-    def fit_spark(mine: DataFrame, terms: list[Term]) -> pd.DataFrame:
-        labels, rows = design_rows(mine, terms, ["n", "k"])
-        p = len(labels) + 1
-        x = [F.lit(1.0), *[F.col(f"x{i}") for i in range(p - 1)]]
-        try:
-            gram = rows.agg(*[
-                F.sum(F.col("n") * x[i] * x[j]).alias(f"g{i}_{j}")
-                for i in range(p) for j in range(i, p)
-            ]).first()
-            return _fit(
-                ["(Intercept)", *labels], _spark_evaluate(rows, p),
-                _upper(list(gram), p), int(gram[0]), confidence, profile,
-            )
-        finally:
-            rows.unpersist()
-
-    return fit_local, fit_spark
+    def fit_large(large: Large) -> list[pd.DataFrame]:
+        n_obs = {
+            r["at"]: r["n"]
+            for r in large.rows.groupBy("at").agg(F.sum("n").alias("n")).collect()
+        }
+        fits = [
+            _fit(["(Intercept)", *labels_of(terms)], n_obs[i], confidence, profile)
+            for i, terms in enumerate(large.terms)
+        ]
+        return answered_together(fits, lambda asked: _likelihoods(large, asked))
+
+    return fit_local, fit_large
 
 
 def _null_for_nan(df: DataFrame) -> DataFrame:
@@ -178,10 +165,10 @@ def logistic_batch(
         df, adjust, {"outcome": F.col(outcome).cast("int")}, {"k": "outcome"},
         exposures, strata,
     )
-    fit_local, fit_spark = _fitters(confidence, conf)
+    fit_local, fit_large = _fitters(confidence, conf)
     return _null_for_nan(
         run_fits(
-            collapsed, adjust, exposures, strata, SCHEMA, fit_local, fit_spark,
+            collapsed, adjust, exposures, strata, SCHEMA, fit_local, fit_large,
             max_patterns,
         )
     )
@@ -205,8 +192,8 @@ def logistic_or(
         df, terms, {"outcome": F.col(outcome).cast("int")}, {"k": "outcome"},
         None, strata,
     )
-    fit_local, fit_spark = _fitters(confidence, conf)
+    fit_local, fit_large = _fitters(confidence, conf)
     fits = run_fits(
-        collapsed, terms, None, strata, SCHEMA, fit_local, fit_spark, max_patterns
+        collapsed, terms, None, strata, SCHEMA, fit_local, fit_large, max_patterns
     )
     return _null_for_nan(fits.drop("model"))

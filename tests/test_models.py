@@ -265,9 +265,9 @@ def test_cox_matches_row_level_fit(frame, people):
         assert got[term][4] == int(p["event"].sum())
 
 
-@pytest.mark.parametrize("per_bucket", [7, cox_module.TIMES_PER_BUCKET])
-def test_distributed_cox_equals_local(frame, monkeypatch, per_bucket):
-    monkeypatch.setattr(cox_module, "TIMES_PER_BUCKET", per_bucket)
+@pytest.mark.parametrize("per_range", [7, 90, cox_module.ROWS_PER_RANGE])
+def test_distributed_cox_equals_local(frame, monkeypatch, per_range):
+    monkeypatch.setattr(cox_module, "ROWS_PER_RANGE", per_range)
     terms = [Num("fever"), Cat("age"), Num("years")]
     cols = ("coef", "std_error", "ci_lower", "ci_upper")
     local = by_term(cox_hr(frame, "time", "event", terms), *cols)
