@@ -25,38 +25,36 @@ def poly_ols(
 ) -> DataFrame:
     """Fit ``y ~ x + x^2`` within the limits of ``x`` and predict on a grid.
 
-    The data are reduced to power sums about the middle of the limits in one
-    aggregation; the grid spans the observed range of ``x``.
+    One aggregation gives means, variances and covariances of x, x^2 and y, which Spark
+    merges about their means; so a large offset of ``y`` costs no digits.  The grid spans
+    the observed range of ``x``.
     """
     middle = (limits[0] + limits[1]) / 2
-    u = F.col("x") - F.lit(float(middle))
     data = df.select(
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     ).where(F.col("x").between(*limits) & F.col("y").isNotNull())
-    # Centred, so that squares of a large y do not drown its residuals.
-    mean = data.agg(F.avg("y")).first()[0] or 0.0
-    data = data.withColumn("y", F.col("y") - F.lit(mean))
-    power = [F.lit(1.0), u, u * u, u * u * u, u * u * u * u]
+    u = F.col("x") - F.lit(float(middle))
     got = data.agg(
-        F.min("x"), F.max("x"), F.sum(F.col("y") * F.col("y")),
-        *[F.sum(c) for c in power],
-        *[F.sum(c * F.col("y")) for c in power[:3]],
+        F.min("x"), F.max("x"), F.count("*"), F.avg(u), F.avg(u * u), F.avg("y"),
+        F.var_pop(u), F.covar_pop(u, u * u), F.var_pop(u * u),
+        F.covar_pop(u, F.col("y")), F.covar_pop(u * u, F.col("y")), F.var_pop("y"),
     ).first()
     fields = "x double, fit double, conf_low double, conf_high double"
     spark = df.sparkSession
-    if not got[3] or got[3] <= 3:
+    low, high, n = got[:3]
+    if n <= 3:
         return spark.createDataFrame([], fields)
-    low, high, yy = got[0], got[1], got[2]
-    moments, cross = got[3:8], np.array(got[8:11])
-    normal = np.array([[moments[i + j] for j in range(3)] for i in range(3)])
-    inverse = np.linalg.pinv(normal)
-    beta = inverse @ cross
-    freedom = int(moments[0]) - 3
-    variance = max(yy - beta @ cross, 0.0) / freedom
-    t = _t_quantile(spark, 0.5 + confidence / 2, freedom)
+    centre, mean = np.array(got[3:5]), got[5]
+    spread = np.array([[got[6], got[7]], [got[7], got[8]]])
+    shared = np.array(got[9:11])
+    inverse = np.linalg.pinv(spread)
+    slopes = inverse @ shared
+    variance = max(got[11] - slopes @ shared, 0.0) * n / (n - 3)
+    t = _t_quantile(spark, 0.5 + confidence / 2, n - 3)
     rows = []
     for at in np.linspace(low, high, points):
-        v = np.array([1.0, at - middle, (at - middle) ** 2])
-        fit, margin = mean + v @ beta, t * math.sqrt(variance * (v @ inverse @ v))
+        v = np.array([at - middle, (at - middle) ** 2]) - centre
+        fit = mean + v @ slopes
+        margin = t * math.sqrt(variance * (1 + v @ inverse @ v) / n)
         rows.append((float(at), float(fit), float(fit - margin), float(fit + margin)))
     return spark.createDataFrame(rows, fields)

@@ -34,6 +34,7 @@ EXPOSURES = [*[s for s in RECODED if s != "conjunctivitis"], "O2under95"]
 BINARY = ["0", "1"]
 EFFECT = ["estimate", "std_error", "statistic", "conf_low", "conf_high"]
 HAZARD = ["hazard_ratio", "std_error", "statistic", "ci_lower", "ci_upper"]
+ALL_EFFECT, ALL_HAZARD = [*EFFECT, "p_value"], [*HAZARD, "coef", "p_value"]
 
 
 def coded_cases(spark, folder, person=True):
@@ -132,14 +133,42 @@ def logistic_univariable(spark, folder):
 )
 def logistic_adjusted(spark, folder):
     """Every symptom adjusted for age group; the exposure's own effect."""
-    fits = logistic_adjusted_terms(spark, folder)
+    fits = _adjusted_fits(spark, folder)
     own = fits.where(F.col("term") == F.concat("model", F.lit("=1")))
     return rounded(own, *EFFECT).select("model", *EFFECT)
 
 
-@register("model_batch_adjusted_terms")
+def _symptom_models(names, view, *adjust, strata=("",)):
+    """Rows and design columns of one model per symptom (and stratum)."""
+    columns = {k: v for part in adjust for k, v in part.items()}
+    return {
+        s + (f"|{stratum}" if stratum else ""): (
+            f"SELECT * FROM ({_coded(view, 'agegr10,' if adjust else '')})"
+            + (f" WHERE variant = '{stratum}'" if stratum else ""),
+            {f"{s}=1": s, **columns},
+        )
+        for stratum in strata for s in names
+    }
+
+
+_AGE_COLUMNS = model_sql.indicators("agegr10", AGES)
+
+
+@register(
+    "model_batch_adjusted_terms",
+    sql(
+        model_sql.logistic_fits(
+            _symptom_models(EXPOSURES, "cases_with_person", _AGE_COLUMNS)
+        ),
+        "cases_with_person",
+    ),
+)
 def logistic_adjusted_terms(spark, folder):
-    """The same fits with every term and column; SQL solves the own effects only."""
+    """The same fits with every term and column."""
+    return rounded(_adjusted_fits(spark, folder), *ALL_EFFECT)
+
+
+def _adjusted_fits(spark, folder):
     return logistic_batch(
         coded_cases(spark, folder), "testresult", {s: BINARY for s in EXPOSURES},
         adjust=[Cat("agegr10", AGES)], conf="wald",
@@ -149,14 +178,23 @@ def logistic_adjusted_terms(spark, folder):
 @register("profile_ci", sql(model_sql.profile_two_by_two(_long("cases")), "cases"))
 def profile_ci(spark, folder):
     """Profile bounds of the exposure's own effect."""
-    fits = profile_ci_terms(spark, folder)
+    fits = _profile_fits(spark, folder)
     own = fits.where(F.col("term") == F.concat("model", F.lit("=1")))
     return rounded(own, "conf_low", "conf_high").select("model", "conf_low", "conf_high")
 
 
-@register("profile_ci_terms")
+@register(
+    "profile_ci_terms",
+    sql(
+        model_sql.logistic_fits(_symptom_models(EXPOSURES, "cases"), profile=True), "cases"
+    ),
+)
 def profile_ci_terms(spark, folder):
     """The same fits with every term and column."""
+    return rounded(_profile_fits(spark, folder), *ALL_EFFECT)
+
+
+def _profile_fits(spark, folder):
     return logistic_batch(
         coded_cases(spark, folder, person=False), "testresult",
         {s: BINARY for s in EXPOSURES},
@@ -205,14 +243,32 @@ def logistic_interaction(spark, folder):
     return rounded(fit, *EFFECT).select("term", *EFFECT)
 
 
-@register("logistic_interaction_adjusted")
+_ERA_COLUMNS = model_sql.indicators("variant", study.ERAS)
+
+
+@register(
+    "logistic_interaction_adjusted",
+    sql(
+        model_sql.logistic_fits(
+            {"ageusia": (
+                _coded("cases_with_person", "agegr10,"),
+                {"ageusia": "ageusia", **_AGE_COLUMNS, **_ERA_COLUMNS, **{
+                    f"ageusia:{label}": f"ageusia * ({e})" for label, e in _ERA_COLUMNS.items()
+                }},
+            )},
+            profile=True, key="",
+        ),
+        "cases_with_person",
+    ),
+)
 def logistic_interaction_adjusted(spark, folder):
     """The study's interaction model, adjusted for age group."""
     symptom, era = Num("ageusia"), Cat("variant", study.ERAS)
-    return logistic_or(
+    fit = logistic_or(
         coded_cases(spark, folder), "testresult",
         [symptom, Cat("agegr10", AGES), era, Inter(symptom, era)],
     )
+    return rounded(fit, *ALL_EFFECT)
 
 
 @register(
@@ -229,17 +285,34 @@ def logistic_interaction_adjusted(spark, folder):
 )
 def logistic_stratified(spark, folder):
     """Adjusted symptom effects within every era; the exposure's own effect."""
-    fits = logistic_stratified_terms(spark, folder)
+    fits = _stratified_fits(spark, folder)
     own = fits.where(F.col("term") == F.concat("model", F.lit("=1")))
     return rounded(own, *EFFECT).select("model", "variant", *EFFECT)
 
 
-@register("logistic_stratified_terms")
+_STRATIFIED = ["anosmia", "ageusia", "appitite_loss", "chills"]
+
+
+@register(
+    "logistic_stratified_terms",
+    sql(
+        model_sql.logistic_fits(
+            _symptom_models(
+                _STRATIFIED, "cases_with_person", _AGE_COLUMNS, strata=study.ERAS
+            ),
+            key="split_part(model, '|', 1) AS model, split_part(model, '|', 2) AS variant,",
+        ),
+        "cases_with_person",
+    ),
+)
 def logistic_stratified_terms(spark, folder):
     """The same fits with every term and column."""
-    symptoms = ["anosmia", "ageusia", "appitite_loss", "chills"]
+    return rounded(_stratified_fits(spark, folder), *ALL_EFFECT)
+
+
+def _stratified_fits(spark, folder):
     return logistic_batch(
-        coded_cases(spark, folder), "testresult", {s: BINARY for s in symptoms},
+        coded_cases(spark, folder), "testresult", {s: BINARY for s in _STRATIFIED},
         adjust=[Cat("agegr10", AGES)], strata=["variant"], conf="wald",
     )
 
@@ -301,37 +374,74 @@ def cox_exposures(spark, folder):
     return rounded(fits, *HAZARD).select("model", "term", *HAZARD)
 
 
-@register("cox_batch_adjusted")
+TRANSPORT = ("none", "bus/train", "moto taxi/shared taxi")
+ROOMS = ("1 a 2", "3 a 5", "6 ou mais")
+_COX_EXPOSED = {
+    **{e: ("no", "yes") for e in _COX_EXPOSURES},
+    "publictransport_pastweek": TRANSPORT, "bedroom_sharing": ROOMS,
+}
+_SEX_COLUMNS = model_sql.indicators("sex", ("M", "F"))
+_FOLLOWED = "SELECT *, time AS t FROM cohort"
+
+
+@register(
+    "cox_batch_adjusted",
+    sql(
+        model_sql.cox_fits({
+            e: (_FOLLOWED, {
+                **model_sql.indicators(e, levels), **_AGE_COLUMNS, **_SEX_COLUMNS,
+            })
+            for e, levels in _COX_EXPOSED.items()
+        }),
+        "cohort",
+    ),
+)
 def cox_exposures_adjusted(spark, folder):
     """The study's loop: every exposure adjusted for age group and sex."""
-    exposures = {
-        **{e: ["no", "yes"] for e in _COX_EXPOSURES},
-        "publictransport_pastweek": ["none", "bus/train", "moto taxi/shared taxi"],
-        "bedroom_sharing": None,
-    }
-    return cox_batch(
+    exposures = {**_COX_EXPOSED, "bedroom_sharing": None}
+    fits = cox_batch(
         data.cohort(spark, folder), "time", "event", exposures,
         adjust=[Cat("agegr10", AGES), Cat("sex", ("M", "F"))],
     )
+    return rounded(fits, *ALL_HAZARD)
 
 
-@register("cox_adjusted")
+@register(
+    "cox_adjusted",
+    sql(
+        model_sql.cox_fits({"all": (_FOLLOWED, {
+            **_AGE_COLUMNS, **_SEX_COLUMNS, **model_sql.indicators("SesScoreQnt", SES),
+        })}, key=""),
+        "cohort",
+    ),
+)
 def cox_adjusted(spark, folder):
     """Age group, sex and socio-economic status together."""
-    return cox_hr(
+    fit = cox_hr(
         data.cohort(spark, folder), "time", "event",
         [Cat("agegr10", AGES), Cat("sex", ("M", "F")), Cat("SesScoreQnt", SES)],
     )
+    return rounded(fit, *ALL_HAZARD)
 
 
-@register("cox_numeric_age")
+@register(
+    "cox_numeric_age",
+    sql(
+        model_sql.cox_fits({"all": (_FOLLOWED + " WHERE age > 15.99", {
+            "age": "age", **_SEX_COLUMNS,
+            **model_sql.indicators("publictransport_pastweek", TRANSPORT),
+        })}, key=""),
+        "cohort",
+    ),
+)
 def cox_numeric_age(spark, folder):
     """Age in years as a number, adults only."""
     adults = data.cohort(spark, folder).where(F.col("age") > 15.99)
-    return cox_hr(
+    fit = cox_hr(
         adults, "time", "event",
         [Num("age"), Cat("sex", ("M", "F")), Cat("publictransport_pastweek", ref="none")],
     )
+    return rounded(fit, *ALL_HAZARD)
 
 
 _POLY = """
@@ -370,11 +480,32 @@ def quadratic_trend(spark, folder):
     )
 
 
-@register("poly_ols_band")
+# The inverse of the normal equations by cofactors, the t quantile by its expansion
+# about the normal one.
+_BAND = _POLY.split("SELECT round(x, 6)")[0].rstrip() + f""",
+r AS (SELECT sum((y - c0 - c1 * u - c2 * u * u) ** 2) AS rss FROM d, c),
+t AS (SELECT m0 - 3 AS f, z + (z ** 3 + z) / (4 * f)
+    + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * f ** 2)
+    + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * f ** 3) AS q
+  FROM m, (SELECT {model_sql.Z} AS z)),
+g AS (SELECT x, x - 9 AS v, c0 + c1 * (x - 9) + c2 * (x - 9) ** 2 AS fit
+  FROM (SELECT *, low + (high - low) * i / 79 AS x FROM c, range(80) AS r(i))),
+b AS (SELECT x, fit, q * sqrt(rss / f / det * ((m2 * m4 - m3 * m3)
+    + 2 * v * (m2 * m3 - m1 * m4) + v ** 2 * (m0 * m4 - m2 * m2)
+    + 2 * v ** 2 * (m1 * m3 - m2 * m2) + 2 * v ** 3 * (m1 * m2 - m0 * m3)
+    + v ** 4 * (m0 * m2 - m1 * m1))) AS margin FROM g, s, t, r)
+SELECT round(x, 6) AS x, round(fit, 6) AS fit, round(fit - margin, 6) AS conf_low,
+  round(fit + margin, 6) AS conf_high FROM b
+"""
+
+
+@register("poly_ols_band", sql(_BAND, "swabs"))
 def quadratic_band(spark, folder):
     """The same fit with its confidence band."""
     confirmed = data.swabs(spark, folder).where(F.col("testresult") == "positive")
     measured = confirmed.withColumns(
         {"delay": clamped_delay(), "ct": fn.to_number("valorct")}
     )
-    return poly_ols(measured, "delay", "ct", (0, 18))
+    return rounded(
+        poly_ols(measured, "delay", "ct", (0, 18)), "x", "fit", "conf_low", "conf_high"
+    )

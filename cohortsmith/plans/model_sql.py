@@ -1,8 +1,9 @@
-"""SQL that solves small regression models, to check the estimators.
+"""SQL that solves regression models, to check the estimators.
 
-Each Newton step is one common table expression.  Logistic models have one 0/1
-exposure next to stratum intercepts, which keeps the system solvable by hand;
-Cox models have one or two 0/1 covariates.
+Each Newton step is one common table expression or a few.  The first functions solve
+small systems by hand: one 0/1 exposure next to stratum intercepts, Cox models with one
+or two 0/1 covariates.  ``logistic_fits`` and ``cox_fits`` take any columns and solve
+by elimination.
 """
 
 from __future__ import annotations
@@ -184,3 +185,240 @@ def cox_two(long: str, steps: int = 10) -> str:
       FROM g{i})
         """)
     return "WITH " + ",".join(parts) + f"SELECT * FROM b{steps}"
+
+
+def indicators(name: str, levels: tuple[str, ...], label: str | None = None) -> dict[str, str]:
+    """Design columns of a category, reference first; NULL for other values."""
+    listed = ", ".join(f"'{v}'" for v in levels)
+    return {
+        f"{label or name}={v}": f"CASE WHEN {name} IN ({listed}) THEN ({name} = '{v}')::INT END"
+        for v in levels[1:]
+    }
+
+
+def _cells(models: dict[str, tuple[str, dict[str, str]]], keep: str, sums: str) -> str:
+    """Rows with equal design, counted per model, and the names of the columns.
+
+    ``models``: a name to its rows and its design columns; rows with NULL in a column
+    are left out.
+    """
+    cells = " UNION ALL ".join(
+        f"SELECT '{name}' AS model, x, {keep} {sums} FROM (SELECT *, "
+        f"[{', '.join(f'({e})::DOUBLE' for e in columns.values())}]::DOUBLE[] AS x "
+        f"FROM ({rows})) WHERE len(list_filter(x, lambda v: v IS NULL)) = 0 GROUP BY ALL"
+        for name, (rows, columns) in models.items()
+    )
+    names = ", ".join(
+        f"('{name}', {j}, '{term}')"
+        for name, (_, columns) in models.items() for j, term in enumerate(columns, 1)
+    )
+    return (
+        f"cells AS MATERIALIZED ({cells}), "
+        f"names AS (SELECT * FROM (VALUES {names}) AS v(model, j, term))"
+    )
+
+
+def _eliminated(source: str, name: str, keys: str, size: int) -> str:
+    """Gauss-Jordan elimination of systems (keys, i, j, v); smaller systems end earlier."""
+    parts, last = [], source
+    for k in range(1, size + 1):
+        own = name if k == size else f"{name}_{k}"
+        parts.append(f"""
+    {own} AS {"MATERIALIZED" if k == size else ""} (SELECT {keys}, i, j,
+        CASE WHEN lead_v IS NULL THEN v WHEN i = {k} THEN v / lead_v
+          ELSE v - of_row / lead_v * of_column END AS v
+      FROM (SELECT *,
+          max(v) FILTER (WHERE i = {k} AND j = {k}) OVER (PARTITION BY {keys}) AS lead_v,
+          max(v) FILTER (WHERE j = {k}) OVER (PARTITION BY {keys}, i) AS of_row,
+          max(v) FILTER (WHERE i = {k}) OVER (PARTITION BY {keys}, j) AS of_column
+        FROM {last}))""")
+        last = own
+    return ",".join(parts)
+
+
+def _moved(source: str, solved: str, keys: str, beta: str = "beta") -> str:
+    """Vectors of ``source`` plus the solutions of their systems (column 0)."""
+    return (
+        f"SELECT s.* REPLACE ([{beta}[q] + step[q] for q in range(1, len({beta}) + 1)] "
+        f"AS {beta}) FROM {source} s JOIN (SELECT {keys}, list(v ORDER BY i) AS step "
+        f"FROM {solved} WHERE j = 0 GROUP BY {keys}) USING ({keys})"
+    )
+
+
+def _p_value(z: str) -> str:
+    """Two-sided normal p-value by the power series of the error function."""
+    series = "1"
+    for k in range(90, 0, -1):
+        series = f"1 + s / {2 * k + 1} * ({series})"
+    return (
+        f"(SELECT CASE WHEN s > 32 THEN 0 ELSE 1 - 2 / sqrt(pi()) * exp(-s / 2) "
+        f"* sqrt(s / 2) * ({series}) END FROM (SELECT ({z}) * ({z}) AS s))"
+    )
+
+
+def _logistic_system(trials: str, keys: str, beta: str, size: int) -> str:
+    """Information (i, j) and scores (i, 0) of every trial vector."""
+    return f"""
+      SELECT {keys}, i, j, sum(n * mu * (1 - mu) * x[i] * x[j]) AS v
+      FROM (SELECT {trials}.*, x, n, k,
+          1 / (1 + exp(-list_dot_product(x, {beta}))) AS mu
+        FROM {trials} JOIN cells USING (model)),
+        range(1, {size + 1}) AS r(i), range(1, {size + 1}) AS c(j)
+      WHERE i <= len(x) AND j <= len(x) GROUP BY ALL
+      UNION ALL
+      SELECT {keys}, i, 0 AS j, sum((k - n * mu) * x[i]) AS v
+      FROM (SELECT {trials}.*, x, n, k,
+          1 / (1 + exp(-list_dot_product(x, {beta}))) AS mu
+        FROM {trials} JOIN cells USING (model)), range(1, {size + 1}) AS r(i)
+      WHERE i <= len(x) GROUP BY ALL"""
+
+
+def _identity(size: int) -> str:
+    return f"""
+      UNION ALL SELECT model, i, {size} + j, (i = j)::INT::DOUBLE FROM
+        (SELECT model, j AS i FROM names) JOIN (SELECT model, j FROM names) USING (model)"""
+
+
+def _newton(size: int, steps: int, system) -> str:
+    parts = ["""
+    b0 AS MATERIALIZED (SELECT model, [0::DOUBLE for q in range(count(*))] AS beta
+      FROM names GROUP BY model)"""]
+    for t in range(steps):
+        # The last step's system also gives the inverse information.
+        more = _identity(size) if t == steps - 1 else ""
+        parts.append(f"h{t} AS MATERIALIZED ({system(t)}{more})")
+        parts.append(_eliminated(f"h{t}", f"a{t}", "model", size))
+        parts.append(f"b{t + 1} AS MATERIALIZED ({_moved(f'b{t}', f'a{t}', 'model')})")
+    parts.append(f"""
+    fitted AS MATERIALIZED (SELECT model, j, term, beta[j] AS beta, sqrt(v) AS se
+      FROM b{steps} JOIN names USING (model)
+        JOIN (SELECT model, i AS j, v FROM a{steps - 1} WHERE j = {size} + i)
+        USING (model, j))""")
+    return ",".join(parts)
+
+
+def logistic_fits(
+    models: dict[str, tuple[str, dict[str, str]]], profile: bool = False,
+    steps: int = 12, key: str = "model,",
+) -> str:
+    """Logistic models with any columns, every term; rows have the outcome ``y``.
+
+    With ``profile`` the bounds solve for the drop of the likelihood and the other
+    coefficients' scores together.  ``key``: the SQL of the columns that name a model.
+    """
+    models = {
+        name: (f"SELECT * FROM ({rows}) WHERE y IS NOT NULL", {"(Intercept)": "1", **columns})
+        for name, (rows, columns) in models.items()
+    }
+    size = max(len(columns) for _, columns in models.values())
+    parts = [
+        _cells(models, "", "count(*)::DOUBLE AS n, sum(y)::DOUBLE AS k"),
+        _newton(size, steps, lambda t: _logistic_system(f"b{t}", "model", "beta", size)),
+        "counted AS (SELECT model, sum(n)::BIGINT AS n_obs FROM cells GROUP BY model)",
+    ]
+    low, high = f"beta - {Z} * se", f"beta + {Z} * se"
+    source = "fitted"
+    if profile:
+        value = """
+      SELECT {t}.model, {keys} sum(k * eta - n * (greatest(eta, 0) + ln(1 + exp(-abs(eta)))))
+        AS value FROM (SELECT {t}.*, n, k, list_dot_product(x, {beta}) AS eta
+          FROM {t} JOIN cells USING (model)) {t} GROUP BY ALL"""
+        parts.append(f"best AS MATERIALIZED ({value.format(t=f'b{steps}', keys='', beta='beta')})")
+        parts.append(f"""
+    p0 AS MATERIALIZED (SELECT model, term, side, m.j AS slot,
+        [whole[q] + side * {Z} * line[q] / se for q in range(1, len(whole) + 1)] AS theta
+      FROM fitted f JOIN (SELECT model, beta AS whole FROM b{steps}) USING (model)
+        JOIN (SELECT model, j - {size} AS j, list(v ORDER BY i) AS line FROM a{steps - 1}
+          WHERE j > {size} GROUP BY ALL) m USING (model, j),
+        (VALUES (-1), (1)) AS s(side))""")
+        keys = "model, term, side, slot"
+        for t in range(9):
+            trial_value = value.format(t=f"p{t}", keys="term, side, slot,", beta="theta")
+            parts.append(f"""
+    q{t} AS MATERIALIZED ({_logistic_system(f"p{t}", keys, "theta", size)}),
+    v{t} AS MATERIALIZED ({trial_value}),
+    w{t} AS MATERIALIZED (
+      SELECT {keys}, i, j, v FROM q{t} WHERE i <> slot
+      UNION ALL SELECT {keys}, slot AS i, i AS j, -v FROM q{t} WHERE j = 0
+      UNION ALL SELECT {keys}, slot AS i, 0 AS j, v{t}.value - best.value + {Z} * {Z} / 2
+        FROM v{t} JOIN best USING (model))""")
+            parts.append(_eliminated(f"w{t}", f"e{t}", keys, size))
+            parts.append(
+                f"p{t + 1} AS MATERIALIZED ({_moved(f'p{t}', f'e{t}', keys, 'theta')})"
+            )
+        parts.append("""
+    bounded AS (SELECT f.*, below.theta[f.j] AS low, above.theta[f.j] AS high
+      FROM fitted f JOIN p9 below ON f.model = below.model AND f.j = below.slot
+          AND below.side = -1
+        JOIN p9 above ON f.model = above.model AND f.j = above.slot AND above.side = 1)""")
+        low, high, source = "low", "high", "bounded"
+    return (
+        "WITH " + ",".join(parts) + f"""
+    SELECT {key} term, round(exp(beta), 6) AS estimate, round(se, 6) AS std_error,
+      round(beta / se, 6) AS statistic, round({_p_value("beta / se")}, 6) AS p_value,
+      round(exp({low}), 6) AS conf_low, round(exp({high}), 6) AS conf_high,
+      n_obs, TRUE AS converged
+    FROM {source} JOIN counted USING (model)"""
+    )
+
+
+def cox_fits(
+    models: dict[str, tuple[str, dict[str, str]]], steps: int = 9, key: str = "model,"
+) -> str:
+    """Cox models with Efron ties and any columns, every term; rows have ``t``, ``event``."""
+    size = max(len(columns) for _, columns in models.values())
+    parts = [
+        _cells(
+            models, "round(t, 9) AS t,",
+            "count(*)::DOUBLE AS n, sum(event)::DOUBLE AS d",
+        ),
+        """
+    ties AS MATERIALIZED (SELECT model, t, d, unnest(range(d::BIGINT)) / d AS f
+      FROM (SELECT model, t, sum(d) AS d FROM cells GROUP BY ALL) WHERE d > 0),
+    counted AS (SELECT model, sum(n)::BIGINT AS n_obs, sum(d)::BIGINT AS n_events
+      FROM cells GROUP BY model)""",
+        f"""
+    totals AS (SELECT model, i, sum(d * x[i]) AS v FROM cells, range(1, {size + 1}) AS r(i)
+      WHERE i <= len(x) GROUP BY ALL)""",
+    ]
+
+    def system(t: int) -> str:
+        return f"SELECT model, i, j, v FROM s{t}"
+
+    newton = _newton(size, steps, system)
+    for t in range(steps):
+        own = f"""
+    r{t} AS MATERIALIZED (
+      SELECT model, t, i, j, sum(sum(n * w * z[i] * z[j])) OVER
+          (PARTITION BY model, i, j ORDER BY t DESC) AS risk, sum(d * w * z[i] * z[j]) AS dead
+      FROM (SELECT model, t, n, d, list_prepend(1::DOUBLE, x) AS z,
+          exp(list_dot_product(x, beta)) AS w FROM cells JOIN b{t} USING (model)),
+        range(1, {size + 2}) AS r(i), range(1, {size + 2}) AS c(j)
+      WHERE i <= j AND j <= len(z) GROUP BY model, t, i, j),
+    o{t} AS MATERIALIZED (SELECT model, t, f, risk - f * dead AS q0
+      FROM r{t} JOIN ties USING (model, t) WHERE i = 1 AND j = 1),
+    u{t} AS MATERIALIZED (SELECT model, t, f, j - 1 AS i, (risk - f * dead) / q0 AS m
+      FROM r{t} JOIN o{t} USING (model, t) WHERE i = 1 AND j > 1),
+    k{t} AS MATERIALIZED (
+      SELECT model, i, j, sum(v) AS v FROM (
+        SELECT model, i - 1 AS i, j - 1 AS j, sum((risk - f * dead) / q0) AS v
+        FROM r{t} JOIN o{t} USING (model, t) WHERE i > 1 GROUP BY ALL
+        UNION ALL
+        SELECT p.model, p.i, q.i AS j, -sum(p.m * q.m) FROM u{t} p JOIN u{t} q
+          ON p.model = q.model AND p.t = q.t AND p.f = q.f AND p.i <= q.i GROUP BY ALL)
+      GROUP BY ALL),
+    s{t} AS MATERIALIZED (
+      SELECT model, i, j, v FROM k{t}
+      UNION ALL SELECT model, j, i, v FROM k{t} WHERE i <> j
+      UNION ALL SELECT model, i, 0, totals.v - g FROM totals JOIN
+        (SELECT model, i, sum(m) AS g FROM u{t} GROUP BY ALL) USING (model, i)),"""
+        newton = newton.replace(f"h{t} AS MATERIALIZED", own + f"\n    h{t} AS MATERIALIZED", 1)
+    parts.append(newton)
+    return (
+        "WITH " + ",".join(parts) + f"""
+    SELECT {key} term, round(exp(beta), 6) AS hazard_ratio,
+      round(exp(beta - {Z} * se), 6) AS ci_lower, round(exp(beta + {Z} * se), 6) AS ci_upper,
+      round(beta, 6) AS coef, round(se, 6) AS std_error, round(beta / se, 6) AS statistic,
+      round({_p_value("beta / se")}, 6) AS p_value, n_obs, n_events, TRUE AS converged
+    FROM fitted JOIN counted USING (model)"""
+    )
