@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,9 +80,20 @@ def crosstab(
 def share_within(
     counts: DataFrame, by: Sequence[str], n: str = "n", name: str = "pct"
 ) -> DataFrame:
-    """Percentage of ``n`` within the groups of an already counted table."""
-    total = F.sum(n).over(Window.partitionBy(*by))
-    return counts.withColumn(name, safe_ratio(F.col(n), total) * 100)
+    """Percentage of ``n`` within the groups of an already counted table.
+
+    Totals are added up per task first and joined back, so that no group's rows have to
+    meet in one task, however many there are.
+    """
+    totals = counts.groupBy(*[F.col(k).alias(f"of_{i}") for i, k in enumerate(by)]).agg(
+        F.sum(n).alias("total_of_group")
+    )
+    same = reduce(
+        lambda a, b: a & b,
+        [F.col(k).eqNullSafe(F.col(f"of_{i}")) for i, k in enumerate(by)],
+    )
+    share = (safe_ratio(F.col(n), F.col("total_of_group")) * 100).alias(name)
+    return counts.join(totals, same).select(*counts.columns, share)
 
 
 def crosstab_row_share(df: DataFrame, row: str, col: str, **options) -> DataFrame:

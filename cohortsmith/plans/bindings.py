@@ -101,6 +101,20 @@ COHORT = {
     **{name: _yes_no(p) for name, p in COHORT_BINARY.items()},
     "mean_n_contactos": "CASE WHEN c_acctbal < 9800 THEN CAST(c_nationkey AS DOUBLE) "
     "END",
+    "overweight": _spread(
+        "(c_custkey * 23 + c_nationkey) % 6", (3, "normal"), (4, "overweight"),
+        (5, "obesity"),
+    ),
+    "pregnant": _spread("(c_custkey * 29 + c_nationkey) % 5", (1, "pregnant"), (4, "not")),
+    "tbbin": _spread(
+        "(c_custkey * 31 + c_nationkey) % 6", (4, "not"), (5, "(history of) tuberculosis")
+    ),
+    "lungdisease": _spread(
+        "(c_custkey * 37 + c_nationkey) % 7", (4, "not"), (5, "asthma"),
+        (6, "chronic pulmonary disease"),
+    ),
+    "heart": _spread("(c_custkey * 41 + c_nationkey) % 6", (4, "not"), (5, "heart disease")),
+    "leukemia": _spread("(c_custkey * 43 + c_nationkey) % 9", (7, "not"), (8, "leukemia")),
 }
 
 FOLLOW_UP = {
@@ -178,6 +192,69 @@ SERO = {
     "WHEN 2 THEN '>=50 years' END",
 }
 
+def _panel(prime: int, parts: int, *cases: tuple[int, str]) -> str:
+    """An answer that may change from sample to sample; NULL beyond the last limit."""
+    return _spread(f"(o_orderkey * {prime} + o_custkey) % {parts}", *cases)
+
+
+def _of_order(expr: str) -> str:
+    return expr.replace("c_custkey", "o_orderkey").replace("c_nationkey", "o_custkey")
+
+
+# A sero-survey of persons with several samples and every baseline answer.
+SERO_PANEL = {
+    "pseudoID": "CAST(floor(o_orderkey / 16) AS BIGINT)",
+    "datacolheita": "CAST(o_orderdate AS DATE)",
+    "sampleid": "o_orderkey",
+    "analyte25_RBD": "(o_custkey % 17) / CAST(10 AS DOUBLE)",
+    "analyte26_NP": "CASE WHEN o_totalprice < 470000 THEN "
+    "((o_orderkey * 3 + o_custkey) % 13) / CAST(8 AS DOUBLE) END",
+    "analyte21_S1S2": "(o_custkey % 11) / CAST(5 AS DOUBLE)",
+    "vacinated": "CASE WHEN o_custkey % 6 = 0 THEN 'Sim, 1 dose' "
+    "WHEN o_custkey % 6 < 5 THEN 'Não' END",
+    "hiv": _of_order(BASELINE["hiv"]),
+    "BMI": "CASE WHEN o_totalprice < 480000 THEN "
+    "CAST(14 + o_orderkey % 28 AS DOUBLE) END",
+    "age": "CAST(floor(o_orderkey / 16) * 7 % 90 AS DOUBLE)",
+    "mean_n_contactos": "CASE WHEN o_totalprice < 460000 THEN "
+    "CAST(o_custkey % 12 AS DOUBLE) END",
+    "sex": "CASE WHEN floor(o_orderkey / 16) % 2 = 0 THEN 'M' ELSE 'F' END",
+    "agegr": "CASE WHEN floor(o_orderkey / 16) * 7 % 90 < 18 THEN '0-17 years' "
+    "WHEN floor(o_orderkey / 16) * 7 % 90 < 50 THEN '18-49 years' ELSE '>=50 years' END",
+    "agegr10": "CASE WHEN o_totalprice >= 490000 THEN NULL "
+    "WHEN floor(o_orderkey / 16) * 7 % 90 < 20 THEN '0-19' "
+    "WHEN floor(o_orderkey / 16) * 7 % 90 < 40 THEN '20-39' "
+    "WHEN floor(o_orderkey / 16) * 7 % 90 < 60 THEN '40-59' ELSE '>=60' END",
+    **{
+        name: _of_order(BASELINE[name]) for name in (
+            "SesScoreQnt", "ednivel_educacao", "mass_bus", "main_bus", "tb", "smoking",
+            "bedroom_sharing", "hypertension", "diabet", "cancer", "hearth_diseases",
+            "chronic_lung_disease",
+        )
+    },
+    "water_availability": _panel(31, 5, (3, "Disponivel"), (4, "Nao disponivel")),
+    **{
+        name: _panel(prime, 5, (2, "yes"), (4, "no")) for name, prime in {
+            "toylet_sharing": 37, "handwash": 41, "soap_availability": 43,
+            "health_worker": 47, "did_work": 53, "would_stay_home": 59,
+            "wore_mask_yesterday": 61, "inside_outside_city": 67,
+        }.items()
+    },
+    **{
+        name: _panel(prime, 4, (1, "Sim"), (3, "Não")) for name, prime in {
+            "bus_use": 71, "type_cancer": 73, "cancer_histories": 79,
+            "other_imunodef": 83, "specify_other_imunodef": 89,
+            "if_diagnosed_hypert": 97, "if_diagnosed_heart_diseases": 101,
+            "hospitalized_avc": 103, "specify_chronic_lung_disease": 107,
+            "specify_other_hemat": 109, "chronic_kidney_disease": 113,
+            "chronic_neuro_disease": 127, "specify_chronic_neuro_disease": 131,
+            "other_health_condition": 137, "health_care_preference": 139,
+            "health_care_preference_other": 149, "pregnancy_history": 151,
+            "chronic_liver_disease": 157, "chronic_hematological_disease": 163,
+        }.items()
+    },
+}
+
 # A second sero-survey with many months.
 SERO_MONTHS = {
     "pseudoID": "l_suppkey",
@@ -260,6 +337,10 @@ def sero(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "events").selectExpr(*_columns(SERO))
 
 
+def sero_panel(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "orders").selectExpr(*_columns(SERO_PANEL))
+
+
 def sero_months(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "lineitem").selectExpr(*_columns(SERO_MONTHS))
 
@@ -306,6 +387,7 @@ SQL_VIEWS = {
     f"WHERE {FIRST_EVENT_FILTER} GROUP BY o_custkey) ON c_custkey = o_custkey",
     "baseline": f"SELECT {_list(BASELINE)} FROM customer",
     "sero": f"SELECT {_list(SERO)} FROM events",
+    "sero_panel": f"SELECT {_list(SERO_PANEL)} FROM orders",
     "sero_months": f"SELECT {_list(SERO_MONTHS)} FROM lineitem",
     "swabs": f"SELECT {_list(SWABS)} FROM lineitem JOIN orders "
     "ON l_orderkey = o_orderkey",

@@ -81,13 +81,17 @@ def classified_samples(
 
 def survival_rows(samples: DataFrame) -> DataFrame:
     """One row per unvaccinated participant, with the analysis variables."""
+    return with_covariates(raw_survival_rows(samples))
+
+
+def raw_survival_rows(samples: DataFrame) -> DataFrame:
+    """Event, time and the answers of the first sample of every unvaccinated participant."""
     first = [c for c in [*SERO_BASELINE, "BMI"] if c in samples.columns]
     extra = [c for c in ("mean_n_contactos", "age") if c in samples.columns]
-    people = visits.survival_table(
+    return visits.survival_table(
         filters.unvaccinated(samples, "vacinated", VACCINATED),
         PERSON, DATE, MAIN, INFECTED, first=[*first, *extra], last=["hiv"],
     )
-    return with_covariates(people)
 
 
 def serosurvey_study(

@@ -361,7 +361,7 @@ _MODES = {
 }
 
 
-def _univariable_sql(names, mode, scope="TRUE"):
+def univariable_sql(names, mode, scope="TRUE", view="cohort"):
     rows, cases, shown = _MODES[mode]
     texts = ", ".join(f"CAST({v} AS STRING) AS {v}" for v in names)
     return f"""
@@ -371,7 +371,7 @@ def _univariable_sql(names, mode, scope="TRUE"):
       SELECT variable, category, count(*) AS total, sum(event)::BIGINT AS cases,
         sum(count(*)) FILTER (WHERE {rows}) OVER (PARTITION BY variable) AS rows_n,
         sum(sum(event)) FILTER (WHERE {cases}) OVER (PARTITION BY variable) AS cases_n
-      FROM {unpivoted(f"SELECT event, {texts} FROM cohort WHERE {scope}", names,
+      FROM {unpivoted(f"SELECT event, {texts} FROM {view} WHERE {scope}", names,
                       "variable", "category")}
       GROUP BY variable, category)
     WHERE {shown}
@@ -388,7 +388,7 @@ _ADULT = ["SesScoreQnt", "education", "health_worker"]
 
 
 @register(
-    "univariable_table", sql(_univariable_sql(_HEALTH, "known_only"), "cohort")
+    "univariable_table", sql(univariable_sql(_HEALTH, "known_only"), "cohort")
 )
 def univariable_known(spark, folder):
     return freq.univariable_table(data.cohort(spark, folder), _HEALTH, "event")
@@ -396,7 +396,7 @@ def univariable_known(spark, folder):
 
 @register(
     "univariable_table_keep_null",
-    sql(_univariable_sql(_DEMOGRAPHY, "keep_null"), "cohort"),
+    sql(univariable_sql(_DEMOGRAPHY, "keep_null"), "cohort"),
 )
 def univariable_keep_null(spark, folder):
     specs = [Exposure(v, "keep_null") for v in _DEMOGRAPHY]
@@ -405,19 +405,30 @@ def univariable_keep_null(spark, folder):
 
 @register(
     "univariable_table_all_rows",
-    sql(_univariable_sql(_DEMOGRAPHY, "all_rows"), "cohort"),
+    sql(univariable_sql(_DEMOGRAPHY, "all_rows"), "cohort"),
 )
 def univariable_all_rows(spark, folder):
     specs = [Exposure(v, "all_rows") for v in _DEMOGRAPHY]
     return freq.univariable_table(data.cohort(spark, folder), specs, "event")
 
 
+_COMORBIDITIES = ["overweight", "pregnant", "tbbin", "lungdisease", "heart", "leukemia"]
+
+
+@register(
+    "univariable_table_comorbidities",
+    sql(univariable_sql(_COMORBIDITIES, "known_only"), "cohort"),
+)
+def univariable_comorbidities(spark, folder):
+    return freq.univariable_table(data.cohort(spark, folder), _COMORBIDITIES, "event")
+
+
 _ADULTS = "agegr <> '0-17 years'"
 
 
 @register(
     "univariable_table_adults",
-    sql(_univariable_sql(_ADULT, "known_only", _ADULTS), "cohort"),
+    sql(univariable_sql(_ADULT, "known_only", _ADULTS), "cohort"),
 )
 def univariable_adults(spark, folder):
     specs = [Exposure(v, scoped=True) for v in _ADULT]
@@ -428,9 +439,9 @@ def univariable_adults(spark, folder):
 
 
 _STACK_PARTS = [
-    _univariable_sql(_DEMOGRAPHY, "keep_null"),
-    _univariable_sql(_ADULT, "known_only", _ADULTS),
-    _univariable_sql(_HEALTH, "known_only"),
+    univariable_sql(_DEMOGRAPHY, "keep_null"),
+    univariable_sql(_ADULT, "known_only", _ADULTS),
+    univariable_sql(_HEALTH, "known_only"),
 ]
 
 
