@@ -374,3 +374,20 @@ def test_design_matrix(spark, rows):
     got = design_matrix(df, [age, v, Inter(v, age)], "id")
     assert got.columns == ["id", "age=10-19", "v", "v:age=10-19"]
     assert rows(got) == [(1, 0.0, 1.0, 0.0), (2, 1.0, 2.0, 2.0)]
+
+
+def test_poly_ols_keeps_its_digits_at_a_large_offset(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 19, 400).astype(float)
+    y = 20 + 0.8 * x - 0.02 * x * x + rng.normal(0, 2, 400)
+
+    def band(offset):
+        df = spark.createDataFrame(
+            [(a, float(b) + offset) for a, b in zip(x.tolist(), y)], "x double, y double")
+        return [
+            (r["fit"] - offset, r["conf_high"] - r["conf_low"])
+            for r in poly_ols(df.repartition(3), "x", "y", (0, 18), points=9).collect()
+        ]
+
+    for plain, moved in zip(band(0.0), band(1e8)):
+        assert moved == pytest.approx(plain, abs=1e-6)

@@ -9,6 +9,9 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 
+# Some category has nobody in the smallest tables, so that its effect does not exist.
+LARGER = {"sero_cox_health": "/root/testdata/sf0.01"}
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
 
@@ -19,8 +22,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
-    df = entry.queries()[name](spark, FOLDER)
-    assert differences(df, con, entry.oracle_sql()[name]) is None
+    folder = LARGER.get(name, FOLDER)
+    df = entry.queries()[name](spark, folder)
+    tables = con if folder == FOLDER else connect(folder)
+    assert differences(df, tables, entry.oracle_sql()[name]) is None
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))

@@ -187,3 +187,38 @@ def test_band_of_a_large_offset(spark):
     far = ols.poly_ols(df.withColumn("y", F.col("y") + 1e8), "x", "y", (0, 49), 5).collect()
     for a, b in zip(near, far):
         assert abs((b["conf_high"] - b["conf_low"]) - (a["conf_high"] - a["conf_low"])) < 1e-4
+
+
+@pytest.mark.parametrize("margin", [0.0022, -0.2])
+def test_a_sketch_that_misses_a_rank_is_made_good(spark, monkeypatch, margin):
+    """With limits that hold no rank every group is ranked whole."""
+    from cohortsmith.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "MARGIN", margin)
+    rng = np.random.default_rng(4)
+    values = {"a": rng.normal(size=3000), "b": np.round(rng.normal(size=2500), 1), None: np.ones(9)}
+    df = spark.createDataFrame(
+        [(g, float(v)) for g, vs in values.items() for v in vs], "g string, v double"
+    ).repartition(3)
+    probs, names = (0.9, 0.0, 0.5, 1.0, 0.001), ("p90", "low", "median", "high", "p01")
+    got = quantiles.quantile_summary(
+        df, "v", ["g"], probs, names, mean=True, rows_per_bucket=100).collect()
+    assert len(got) == 3
+    for r in got:
+        assert [r[n] for n in names] == pytest.approx(np.quantile(values[r["g"]], probs), abs=1e-12)
+        assert r["mean"] == pytest.approx(values[r["g"]].mean())
+
+
+def test_quantiles_read_the_input_twice(spark, tmp_path):
+    from cohortsmith.operators import quantiles
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    df = spark.range(20_000, numPartitions=1).selectExpr("id % 3 AS g", "rand(1) AS v").mapInArrow(
+        counted, "g long, v double")
+    assert quantiles.quantile_summary(df, "v", ["g"]).count() == 3
+    assert reads.value == 2

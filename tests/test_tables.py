@@ -146,3 +146,16 @@ def test_results_do_not_depend_on_partitioning(people, rows):
     one = rows(freq.symptom_profile(people.coalesce(1), ["g", "sex"], "age"))
     many = rows(freq.symptom_profile(people.repartition(5), ["g", "sex"], "age"))
     assert one == many
+
+
+def test_shares_of_many_values_use_no_window(spark):
+    from cohortsmith.operators.frequencies import crosstab_col_share
+
+    df = spark.range(1_000_000).select(
+        F.col("id").alias("row"), F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("col"))
+    got = crosstab_col_share(df, "row", "col", use_na=True)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    sums = {r["col"]: (r["n"], r["s"]) for r in got.groupBy("col").agg(
+        F.count("*").alias("n"), F.sum("pct").alias("s")).collect()}
+    assert {k: v[0] for k, v in sums.items()} == {None: 333_334, 0: 333_333, 1: 333_333}
+    assert all(abs(v[1] - 100) < 1e-6 for v in sums.values())
