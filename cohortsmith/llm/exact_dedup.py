@@ -1,14 +1,14 @@
 """Exact duplicates with a Bloom filter in two passes.
 
 Pass one counts filter slots: every text sets ``HASHES`` slots, and only slots
-that were set twice stay.  They fit a table of at most ``2 ** SLOT_BITS`` bits,
-kept as one BIGINT per 64 slots, which is broadcast.  Pass two reads the texts
+that were set twice stay.  They are kept as one BIGINT per 64 slots, which is broadcast.  Pass two reads the texts
 again.  A text with a slot that was set once has no copy and passes straight
 through; only the others, true copies and a few false positives, are shuffled by
 their SHA-256 and counted.
 
-The filter is small by construction (its bits are fixed), not by luck.  With very
-many texts it fills up, more texts take the shuffle, and the result is the same.
+The filter has about 16 slots per text, between two fixed sizes, so that its broadcast
+is bounded.  With more texts than the larger size has room for it fills up, more texts
+take the shuffle, and the result is the same.
 """
 
 from __future__ import annotations
@@ -19,20 +19,27 @@ from pyspark.sql import functions as F
 from cohortsmith.llm.tables import column
 from cohortsmith.session import materialize
 
-# 2**26 slots are at most 2**20 rows of 16 bytes: 16 MB to broadcast.
-SLOT_BITS = 26
+# 2**26 slots are at most 2**20 rows of 16 bytes: 16 MB to broadcast; 2**30 are 256 MB.
+SLOT_BITS = (26, 30)
+SLOTS_PER_TEXT = 16
 HASHES = 2
 
 
-def _slots(text: Column) -> list[Column]:
+def slot_bits(n_texts: int) -> int:
+    """Bits of a slot number for so many texts."""
+    least, most = SLOT_BITS
+    return min(max((n_texts * SLOTS_PER_TEXT).bit_length(), least), most)
+
+
+def _slots(text: Column, bits: int) -> list[Column]:
     """Independent slots, cut out of 64-bit hashes with different seeds."""
-    last = F.lit((1 << SLOT_BITS) - 1).cast("long")
+    last = F.lit((1 << bits) - 1).cast("long")
     return [F.xxhash64(F.lit(k), text).bitwiseAND(last) for k in range(HASHES)]
 
 
-def repeated_slots(texts: DataFrame, text: str) -> DataFrame:
+def repeated_slots(texts: DataFrame, text: str, bits: int) -> DataFrame:
     """Filter words ``(word, bits)`` of the slots that at least two rows set."""
-    slots = texts.select(F.explode(F.array(*_slots(F.col(text)))).alias("slot"))
+    slots = texts.select(F.explode(F.array(*_slots(F.col(text), bits))).alias("slot"))
     twice = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.expr("int(slot & 63)"))
     return twice.groupBy(F.shiftright("slot", 6).alias("word")).agg(
@@ -47,10 +54,11 @@ def _mark(docs: DataFrame, id_column: str, text_column: str, carried: Column):
         carried.alias("row"),
         F.coalesce(column(docs, text_column), F.lit("")).alias("text"),
     )
-    bloom = materialize(repeated_slots(texts, "text"), "bloom")
+    bits = slot_bits(docs.count())
+    bloom = materialize(repeated_slots(texts, "text", bits), "bloom")
     seen, passes = texts, F.lit(True)
-    for k, slot in enumerate(_slots(F.col("text"))):
-        # At most 2**(SLOT_BITS - 6) rows whatever the input.
+    for k, slot in enumerate(_slots(F.col("text"), bits)):
+        # At most 2**24 rows of 16 bytes whatever the input.
         words = F.broadcast(bloom.select(
             F.col("word").alias(f"word{k}"), F.col("bits").alias(f"bits{k}")
         ))

@@ -64,10 +64,16 @@ IN_HEAD = frozenset(
 )
 # An end tag does not reach beyond these.
 SCOPE = frozenset("table td th caption html template".split())
-# Deeper elements become siblings, so that broken pages stay flat; no text is lost.
+# Elements nested deeper are not part of the tree; their text is, in its order, with
+# line breaks where they are blocks and without what they hide.
 DEEPEST = 200
 
-_INVISIBLE_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+# A table whose aligned lines would be so many times longer than its text is written
+# without alignment, cells two spaces apart.
+PADDING = 50
+
+_NOT_DISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -79,23 +85,35 @@ class Node:
 
 
 class TreeBuilder(HTMLParser):
-    """Builds a tree of nodes and strings."""
+    """Builds a tree of nodes and strings.
+
+    ``open`` holds all open elements, ``places`` where those of a tag are in it, so that
+    no search takes longer on a deeper page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}
+        # For elements below the tree: whether they are displayed, and visible.
+        self.below: list[tuple[bool, bool | None]] = []
+
+    def _last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _cut(self, size: int) -> None:
+        while len(self.open) > size:
+            self.places[self.open.pop().tag].pop()
+            if len(self.open) > DEEPEST:
+                self.below.pop()
 
     def _close_to(self, tags, stop) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in stop:
+        while (at := self._last(tags)) > self._last(stop):
+            tag = self.open[at].tag
+            self._cut(at)
+            if tags == {tag}:
                 return
-            if tag in tags:
-                del self.open[i:]
-                if not tags - {tag}:
-                    return
-                return self._close_to(tags, stop)
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
@@ -107,46 +125,69 @@ class TreeBuilder(HTMLParser):
         if tag in IMPLIED:
             self._close_to(*IMPLIED[tag])
         if tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            self._push("tr", {})
+            self._push(Node("tr", {}))
         node = Node(tag, dict(attrs))
         if tag in VOID:
-            self.open[-1].children.append(node)
+            self._add(node)
         else:
-            self._push_node(node)
+            self._push(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
-    def _push(self, tag, attrs):
-        self._push_node(Node(tag, attrs))
-
-    def _push_node(self, node):
-        if len(self.open) > DEEPEST:
-            self.open.pop()
-        self.open[-1].children.append(node)
+    def _push(self, node):
+        if len(self.open) <= DEEPEST:
+            self.open[-1].children.append(node)
+        else:
+            displayed, seen = self.below[-1] if self.below else (True, None)
+            own = visibility(node)
+            self.below.append((
+                displayed and is_displayed(node), seen if own is None else own
+            ))
+            if node.tag in BLOCK and displayed:
+                self._holder().children.append(Node("div", {}))
+        self.places.setdefault(node.tag, []).append(len(self.open))
         self.open.append(node)
 
+    def _holder(self) -> Node:
+        return self.open[min(len(self.open) - 1, DEEPEST)]
+
+    def _add(self, child) -> None:
+        """A string or an empty element into the innermost open one."""
+        if not self.below:
+            self.open[-1].children.append(child)
+            return
+        displayed, seen = self.below[-1]
+        if not displayed:
+            return
+        if seen is not None:
+            style = "visible" if seen else "hidden"
+            outer = Node("span", {"style": f"visibility:{style}"})
+            outer.children.append(child)
+            child = outer
+        self._holder().children.append(child)
+
     def handle_endtag(self, tag):
         if tag in ("html", "body"):
             return
         if tag == "br":
-            self.open[-1].children.append(Node("br", {}))
+            self._add(Node("br", {}))
             return
         stop = {"table"} if tag in ("tr", "tbody", "thead", "tfoot", "td", "th") else SCOPE - {tag}
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in stop:
-                return
+        at = self._last({tag})
+        if at > self._last(stop - {tag}):
+            deep = len(self.open) > DEEPEST + 1 and tag in BLOCK and self.below[-1][0]
+            self._cut(at)
+            if deep:
+                self._holder().children.append(Node("div", {}))
 
     def handle_data(self, data):
         if self.open[-1].tag == "head" and data.strip():
-            self.open.pop()
-        self.open[-1].children.append(data)
+            self._cut(len(self.open) - 1)
+        self._add(data)
 
 
-def visible(node: Node) -> bool:
+def is_displayed(node: Node) -> bool:
     attrs = node.attrs
     if node.tag in HIDDEN or "hidden" in attrs:
         return False
@@ -155,7 +196,14 @@ def visible(node: Node) -> bool:
     if node.tag == "dialog" and "open" not in attrs:
         return False
     style = attrs.get("style")
-    return not (style and _INVISIBLE_STYLE.search(style))
+    return not (style and _NOT_DISPLAYED.search(style))
+
+
+def visibility(node: Node) -> bool | None:
+    """Whether the element's own style shows or hides it; None if it inherits that."""
+    style = node.attrs.get("style")
+    found = _VISIBILITY.findall(style) if style else None
+    return found[-1].lower() == "visible" if found else None
 
 
 def width(text: str) -> int:
@@ -274,7 +322,8 @@ def _marker(kind: str | None, n: int) -> str:
     return (text.upper() if kind in ("A", "I") else text) + ". "
 
 
-def render(node: Node, page: Page, pre: bool = False) -> None:
+def render(node: Node, page: Page, pre: bool = False, shown: bool = True) -> None:
+    """Write what a node shows; ``shown`` is the visibility it inherits or has."""
     number, step = 1, 1
     if node.tag == "ol":
         items = sum(not isinstance(c, str) and c.tag == "li" for c in node.children)
@@ -286,20 +335,24 @@ def render(node: Node, page: Page, pre: bool = False) -> None:
         if isinstance(child, str):
             if closed or node.tag in ("table", "tbody", "thead", "tfoot", "tr") and not child.strip():
                 continue
-            page.verbatim(child) if pre else page.words(child)
+            if shown:
+                page.verbatim(child) if pre else page.words(child)
             continue
-        if not visible(child) or closed and child.tag != "summary":
+        if not is_displayed(child) or closed and child.tag != "summary":
             continue
         tag = child.tag
+        own = visibility(child)
+        seen = shown if own is None else own
         if tag == "br":
-            page.newline()
+            if seen:
+                page.newline()
         elif tag == "input":
             kind = (child.attrs.get("type") or "text").lower()
-            if kind in ("submit", "button", "reset", "text", "search"):
+            if seen and kind in ("submit", "button", "reset", "text", "search"):
                 page.words(f" {child.attrs.get('value') or ''} ")
         elif tag == "table":
             page.block(2)
-            _table(child, page)
+            _table(child, page, seen)
             page.block(2)
         elif tag == "li":
             if node.tag == "ol":
@@ -308,13 +361,15 @@ def render(node: Node, page: Page, pre: bool = False) -> None:
                 number += step
             else:
                 mark = "- "
+            if not seen:
+                mark = " " * len(mark)
             page.block(1)
             page._settle()
             page.edge()
             outer, outer_marker = page.indent, page.marker
             page.marker = (outer_marker or outer) + mark
             page.indent = outer + " " * len(mark)
-            render(child, page, pre)
+            render(child, page, pre, seen)
             page.edge()
             page.indent = outer
             page.marker = ""
@@ -328,93 +383,157 @@ def render(node: Node, page: Page, pre: bool = False) -> None:
                 page.edge()
                 outer = page.indent
                 page.indent = outer + "  "
-                render(child, page, pre)
+                render(child, page, pre, seen)
                 page.edge()
                 page.indent = outer
             else:
-                render(child, page, pre or tag == "pre")
+                render(child, page, pre or tag == "pre", seen)
             page.block(breaks)
         elif tag == "textarea":
-            page.verbatim("".join(c for c in child.children if isinstance(c, str)))
+            if seen:
+                page.verbatim("".join(c for c in child.children if isinstance(c, str)))
         elif tag in ("img", "wbr", "col"):
             continue
         else:
-            render(child, page, pre)
+            render(child, page, pre, seen)
+
 
+def _rows(table: Node) -> tuple[list[Node], list[tuple[Node, bool | None]]]:
+    """Captions (and whatever else has no cell) and rows, in the order they show.
 
-def _rows(table: Node) -> tuple[list[Node], list[Node]]:
-    """Captions (and whatever else has no cell) and rows, in the order they show."""
+    A row comes with the visibility that its part of the table gives it.
+    """
     captions, head, body, foot = [], [], [], []
     for child in table.children:
         if isinstance(child, str):
             if child.strip():
                 captions.append(Node("div", {}))
                 captions[-1].children.append(child)
-        elif not visible(child):
+        elif not is_displayed(child):
             continue
         elif child.tag == "tr":
-            body.append(child)
+            body.append((child, None))
         elif child.tag in ("thead", "tbody", "tfoot"):
             into = {"thead": head, "tbody": body, "tfoot": foot}[child.tag]
+            own = visibility(child)
+            style = {} if own is None else {"style": f"visibility:{'visible' if own else 'hidden'}"}
             for row in child.children:
                 if isinstance(row, str):
                     if row.strip():
-                        captions.append(Node("div", {}))
+                        captions.append(Node("div", style))
                         captions[-1].children.append(row)
-                elif visible(row):
-                    (into if row.tag == "tr" else captions).append(row)
+                elif not is_displayed(row):
+                    continue
+                elif row.tag == "tr":
+                    into.append((row, own))
+                else:
+                    captions.append(Node("div", style))
+                    captions[-1].children.append(row)
         elif child.tag not in ("col", "colgroup"):
             captions.append(child)
     return captions, head + body + foot
 
 
-def _table(table: Node, page: Page) -> None:
+class Taken:
+    """Columns that cells of earlier rows reach down into, as ranges."""
+
+    def __init__(self):
+        self.ranges: list[list[int]] = []  # first column, last + 1, row they end before
+        self.new: list[list[int]] = []
+        self.at = 0
+
+    def next_row(self, row: int) -> None:
+        merged: list[list[int]] = []
+        for first, last, until in sorted([r for r in self.ranges + self.new if r[2] > row]):
+            if merged and merged[-1][1] == first and merged[-1][2] == until:
+                merged[-1][1] = last
+            else:
+                merged.append([first, last, until])
+        self.ranges, self.new, self.at = merged, [], 0
+
+    def free(self, column: int) -> int:
+        """The first free column from ``column`` on; columns only grow inside a row."""
+        while self.at < len(self.ranges) and self.ranges[self.at][0] <= column:
+            column = max(column, self.ranges[self.at][1])
+            self.at += 1
+        return column
+
+    def put(self, column: int, columns: int, until: int) -> None:
+        self.new.append([column, column + columns, until])
+
+
+def _table(table: Node, page: Page, shown: bool = True) -> None:
     captions, rows = _rows(table)
     holder = Node("div", {})
     holder.children = captions
-    render(holder, page)
+    render(holder, page, False, shown)
     grid: list[dict[int, list[str]]] = []
-    busy: dict[tuple[int, int], bool] = {}
-    for r, row in enumerate(rows):
+    taken = Taken()
+    for r, (row, of_part) in enumerate(rows):
+        taken.next_row(r)
+        own = visibility(row)
+        row_shown = own if own is not None else shown if of_part is None else of_part
         cells, c = {}, 0
         for cell in row.children:
             if isinstance(cell, str):
                 if not cell.strip():
                     continue
-                text = " ".join(cell.split())
+                text = " ".join(cell.split()) if row_shown else ""
                 spans = (1, 1)
-            elif not visible(cell):
+            elif not is_displayed(cell):
                 continue
             else:
                 inner = Page()
                 one = Node("div", {})
-                one.children = cell.children if cell.tag in ("td", "th") else [cell]
-                render(one, inner)
+                is_cell = cell.tag in ("td", "th")
+                one.children = cell.children if is_cell else [cell]
+                own = visibility(cell) if is_cell else None
+                render(one, inner, False, row_shown if own is None else own)
                 text = inner.text()
                 spans = (
                     min(max(_whole(cell.attrs.get("colspan"), 1), 1), 1000),
                     min(max(_whole(cell.attrs.get("rowspan"), 1), 1), len(rows) - r),
                 )
-            while busy.get((r, c)):
-                c += 1
-            for dr in range(1, spans[1]):
-                for dc in range(spans[0]):
-                    busy[r + dr, c + dc] = True
+            c = taken.free(c)
+            if spans[1] > 1:
+                taken.put(c, spans[0], r + spans[1])
             cells[c] = text.split("\n") if text else [""]
             c += spans[0]
         grid.append(cells)
     columns = sorted({c for cells in grid for c, text in cells.items() if any(text)})
-    widths = {
-        c: max(width(line) for cells in grid for line in cells.get(c, [""])) for c in columns
-    }
+    widths = dict.fromkeys(columns, 0)
+    for cells in grid:
+        for c, text in cells.items():
+            if c in widths:
+                widths[c] = max(widths[c], max(map(width, text)))
+    order = {c: k for k, c in enumerate(columns)}
+    # Where each column starts in an aligned line.
+    begins, through = {}, 0
+    for c in columns:
+        begins[c] = through
+        through += widths[c] + 2
+    aligned = text = 0
     for cells in grid:
+        height = max((len(t) for t in cells.values()), default=0)
+        last = max((c for c in cells if c in order), default=None)
+        if last is not None:
+            aligned += height * (begins[last] + widths[last])
+        text += sum(len(line) + 2 for t in cells.values() for line in t)
+    pad = aligned <= PADDING * (text + 1000)
+    for cells in grid:
+        filled = sorted(c for c in cells if c in order)
         height = max((len(t) for t in cells.values()), default=0)
         for k in range(height):
-            line = ""
-            for c in columns:
-                text = (cells.get(c) or [])[k : k + 1]
-                value = text[0] if text else ""
-                line += value + " " * (widths[c] - width(value) + 2)
+            line, at = "", 0
+            for c in filled:
+                value = cells[c][k] if k < len(cells[c]) else ""
+                if not value:
+                    continue
+                if pad:
+                    line += " " * (begins[c] - at) + value
+                    at = begins[c] + width(value)
+                else:
+                    line += ("  " if line else "") + value
             if line.strip():
                 page.block(1)
                 page._settle()

@@ -131,7 +131,7 @@ def fit(
 ) -> Centroids:
     """Learn from rows with a text, a letter and a language; others are left out.
 
-    A language with up to ``sample`` texts is used whole.  Vectors of the sample are
+    A language with up to ``sample`` texts is used whole, of others about as many are drawn.  Vectors of the sample are
     written to the shared folder; each language is clustered in a task of its own.
     """
     rows = labelled.select(
@@ -141,9 +141,11 @@ def fit(
     ).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
     # One row per language; the fitted model itself is larger and goes to every task.
+    # The text decides, too, so that rows without ids are drawn like others; a row that is
+    # there again and again counts once.
     drawn = rows.join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(
-        uniform(11, F.col("id"), F.col("lang")) * F.col("n") < sample
-    ).select("lang", "text", F.xxhash64("id", "text").alias("order"))
+        uniform(11, F.col("id"), F.col("lang"), F.col("text")) * F.col("n") < sample
+    ).groupBy("lang", F.xxhash64("id", "text").alias("order")).agg(F.min("text").alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):

@@ -4,7 +4,8 @@ Every document is taken ``target / size of its source`` times on average.  The
 whole part of that is certain.  For the rest each document gets a random number
 ``u`` and the rank ``odds(u) / odds(inclusion probability)``; a source takes its
 documents in rank order until its words are used up, so the size of the sample is
-fixed and only its members are random.  ``u`` is a hash of the document, so that
+fixed and only its members are random; what the first document that no longer fits
+leaves goes to the next ones that do.  ``u`` is a hash of the document, so that
 reruns and recomputed tasks agree.
 
 No source is sorted as a whole.  Words are summed per rank range; only the range
@@ -15,7 +16,7 @@ in which a source reaches its words is sorted, and it holds about
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,10 +27,6 @@ from cohortsmith.session import materialize
 
 ROWS_PER_RANGE = 2_000
 
-# What is left after the document that no longer fits goes to the next smaller
-# ones, so many times.
-FILL_ROUNDS = 4
-
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
@@ -122,98 +119,125 @@ def _largest_prefix(open_rows: DataFrame, rows_total: int) -> DataFrame:
     )
 
 
-def sample_copies(
-    docs: DataFrame,
-    weights: Sequence[float] = (1.0, 2.0, 3.0),
-    most: float = 3.0,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    source_column: str = "source",
-    appeal: Column | None = None,
-    seed: int = 20,
-) -> DataFrame:
-    """How often the mix takes each document.
+def substance(size: Column) -> Column:
+    """An appeal that grows slowly with a document's words."""
+    return F.log2(size + F.lit(2.0))
 
-    Returns ``id_column``, ``source_column``, ``size`` (words, NULL text 0),
-    ``source_size``, ``target``, ``copies`` and ``taken`` (``copies * size``), one
-    row per input row.  All targets together are as large as the input.
 
-    ``appeal`` (positive, default 1) makes inclusion odds differ inside a source:
-    a document with odds of 2 is about twice as likely to get the extra copy.  The
-    size of the sample stays the same.
+Appeal = Column | Callable[[Column], Column] | None
 
-    NULL sources form one source that comes last.  Documents without words are
-    never taken.  Rows equal in id, size and source share their fate.  An empty
-    table gives an empty result.  The words per document are counted once and
-    written to the shared folder.
+
+def _ranks(rows: DataFrame, seed: int) -> DataFrame:
+    """``rank`` in (0, 1) of sized rows with their source's ``odds``."""
+    u = uniform(seed, F.col("id"), F.col("size"), F.col("source"))
+    odds = F.try_divide(F.try_divide(u, 1 - u), F.col("appeal") * F.col("odds"))
+    return rows.withColumn("rank", F.when(F.col("odds") > 0, odds / (1 + odds)))
+
+
+def _copies(rounds: Sequence[str]) -> Column:
+    copies = F.col("whole") + _taken(rounds).cast("long")
+    return F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("long"))
+
+
+def _mixture(
+    sized: DataFrame, weights: Sequence[float], most: float, seed: int
+) -> tuple[DataFrame, list[str]]:
+    """What every source takes: one row per source, with the edges of every round.
+
+    A round takes documents in rank order until the next one is larger than what is left.
+    Rounds go on, each with the documents that still fit, until no source takes any.
     """
-    own = docs.select(
-        column(docs, id_column).alias("id"),
-        column(docs, source_column).alias("source"),
-        word_count(column(docs, text_column)).alias("size"),
-        (F.lit(1.0) if appeal is None else appeal.cast("double")).alias("appeal"),
-    )
-    sized = materialize(own, "sizes")
-    sources = sized.groupBy("source").agg(
-        F.sum("size").alias("source_size")
-    )
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = allocate(sources, weights, most).withColumnRenamed("source", "of")
     # Words that whole copies leave open, and the odds that go with them.
     per_copy = F.try_divide(F.col("target"), F.col("source_size"))
     whole = F.coalesce(F.floor(per_copy + F.lit(1e-12)), F.lit(0)).cast("long")
-    state = materialize(
+    budget = F.greatest(F.col("target") - whole * F.col("source_size"), F.lit(0.0))
+    part = F.try_divide(budget, F.col("source_size"))
+    current = materialize(
         targets.select(
-            "*", whole.alias("whole"),
-            F.greatest(
-                F.col("target") - whole * F.col("source_size"), F.lit(0.0)
-            ).alias("budget"),
+            "*", whole.alias("whole"), budget.alias("budget"),
+            F.try_divide(part, 1 - part).alias("odds"),
         ),
         "mix",
     )
     n_rows = sized.count()
-    part = F.try_divide(F.col("budget"), F.col("source_size"))
-    u = uniform(seed, F.col("id"), F.col("size"), F.col("source"))
-    odds = F.try_divide(
-        F.try_divide(u, 1 - u), F.col("appeal") * F.try_divide(part, 1 - part)
-    )
-    ranked = sized.join(state, F.col("source").eqNullSafe(F.col("of"))).withColumn(
-        "rank", F.when(F.col("budget") > 0, odds / (1 + odds))
-    )
-    edges: list[str] = []
-    current = state
-    for k in range(FILL_ROUNDS + 1):
-        rows = ranked.drop(*state.columns).join(
-            current, F.col("source").eqNullSafe(F.col("of"))
-        )
-        free = rows.where(
+    rounds: list[str] = []
+    while True:
+        ranked = _ranks(sized.join(current, F.col("source").eqNullSafe(F.col("of"))), seed)
+        free = ranked.where(
             (F.col("size") > 0) & F.col("rank").isNotNull()
-            & (F.col("size") <= F.col("budget")) & ~_taken(edges)
+            & (F.col("size") <= F.col("budget")) & ~_taken(rounds)
         )
         found = _largest_prefix(
             free.select("source", "size", "rank", "budget"), n_rows
         ).withColumnRenamed("of", "found_of")
+        k = len(rounds)
         current = materialize(
-            current.join(found, F.col("of").eqNullSafe(F.col("found_of")), "left").select(
-                *current.columns,
-                F.col("edge").alias(f"edge{k}"),
-                F.col("budget").alias(f"fits{k}"),
+            current.drop("words").join(
+                found, F.col("of").eqNullSafe(F.col("found_of")), "left"
+            ).select(
+                *current.drop("words").columns,
+                F.col("edge").alias(f"edge{k}"), F.col("budget").alias(f"fits{k}"),
                 F.coalesce("words", F.lit(0)).alias("words"),
-            ).withColumn("budget", F.col("budget") - F.col("words")).drop("words"),
+            ).withColumn("budget", F.col("budget") - F.col("words")),
             "mix",
         )
-        edges.append(str(k))
-    copies = F.col("whole") + _taken(edges).cast("long")
-    final = ranked.drop(*state.columns).join(
-        current, F.col("source").eqNullSafe(F.col("of"))
-    )
-    copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("long"))
+        rounds.append(str(k))
+        if not current.agg(F.sum("words")).first()[0]:
+            return current, rounds
+
+
+def sample_copies(
+    docs: DataFrame,
+    weights: Sequence[float] = (1.0, 2.0, 3.0),
+    most: float = 3.0,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+    appeal: Appeal = None,
+    seed: int = 20,
+) -> DataFrame:
+    """How often the mix takes each document.
+
+    Returns ``id_column``, ``source_column``, ``size`` (words, NULL text 0),
+    ``source_size``, ``target``, ``copies`` and ``taken`` (``copies * size``), one
+    row per input row.  All targets together are as large as the input.
+
+    ``appeal`` makes inclusion odds differ inside a source: a column of ``docs``, or a
+    function of the size, with positive numbers; a document with twice the number has
+    twice the odds of the extra copy.  The size of the sample stays the same.
+
+    NULL sources form one source that comes last.  Documents without words are
+    never taken.  Rows equal in id, size and source share their fate.  An empty
+    table gives an empty result.  The words per document are counted once and
+    written to the shared folder.
+    """
+    sized = materialize(_sized(docs, id_column, text_column, source_column, appeal), "sizes")
+    current, rounds = _mixture(sized, weights, most, seed)
+    final = _ranks(sized.join(current, F.col("source").eqNullSafe(F.col("of"))), seed)
     return final.select(
         F.col("id").alias(id_column), F.col("source").alias(source_column), "size",
-        "source_size", "target", copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"),
+        "source_size", "target", _copies(rounds).alias("copies"),
+        (_copies(rounds) * F.col("size")).alias("taken"),
     )
 
 
+def _sized(
+    docs: DataFrame, id_column: str, text_column: str, source_column: str, appeal: Appeal,
+    *more: Column,
+) -> DataFrame:
+    given = appeal if isinstance(appeal, Column) else F.lit(1.0)
+    sized = docs.select(
+        column(docs, id_column).alias("id"), column(docs, source_column).alias("source"),
+        word_count(column(docs, text_column)).alias("size"),
+        given.cast("double").alias("appeal"), *more,
+    )
+    if appeal is None or isinstance(appeal, Column):
+        return sized
+    return sized.withColumn("appeal", appeal(F.col("size")).cast("double"))
+
+
 def _taken(rounds: Sequence[str]) -> Column:
     """A rank within the edge of any round that the document was small enough for."""
     conditions = [
@@ -227,31 +251,28 @@ def _taken(rounds: Sequence[str]) -> Column:
 
 
 def mix(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    source_column: str = "source", **how,
+    docs: DataFrame,
+    weights: Sequence[float] = (1.0, 2.0, 3.0),
+    most: float = 3.0,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+    appeal: Appeal = None,
+    seed: int = 20,
 ) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it has copies.
 
-    All columns stay; arguments are those of :func:`sample_copies`.
+    All columns stay; arguments are those of :func:`sample_copies`.  A row's copies follow
+    from its id, size and source and the source's edges, so that no text is shuffled as
+    long as there are not too many sources to broadcast, which Spark checks.
     """
-    own = [column(docs, id_column), column(docs, source_column)]
-    taken = sample_copies(
-        docs, id_column=id_column, text_column=text_column, source_column=source_column, **how
-    ).where("copies > 0")
-    times = taken.select(
-        F.struct(
-            F.col(id_column).alias("id"), F.col(source_column).alias("source"), "size"
-        ).alias("of"),
-        "copies",
-    ).distinct()
+    sized = materialize(_sized(docs, id_column, text_column, source_column, appeal), "sizes")
+    current, rounds = _mixture(sized, weights, most, seed)
     row = F.struct(*[column(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    key = F.struct(
-        own[0].alias("id"), own[1].alias("source"),
-        word_count(column(docs, text_column)).alias("size"),
-    )
+    whole = _sized(docs, id_column, text_column, source_column, appeal, row.alias("row"))
+    ranked = _ranks(whole.join(current, F.col("source").eqNullSafe(F.col("of"))), seed)
     return (
-        docs.select(row.alias("row"), key.alias("key"))
-        .join(times, F.col("key").eqNullSafe(F.col("of")))
+        ranked.select("row", _copies(rounds).alias("copies")).where("copies > 0")
         .select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("n"))
         .select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
     )

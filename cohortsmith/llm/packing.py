@@ -224,7 +224,7 @@ def pack(
         rows.mapInArrow(
             _cut(tokenizer, end_id, window, with_ids),
             fields + (", ids array<int>" if with_ids else ""),
-        ),
+        ).withColumn("row", F.monotonically_increasing_id()),
         "pieces",
     )
     # At most one row per length up to the window.
@@ -233,12 +233,15 @@ def pack(
     for row in counted:
         histogram[row["length"]] = row["count"]
     entries, _ = plan(histogram, window)
-    # Pieces of one length are numbered in ranges, so that no length is one task.
+    # Pieces of one length are numbered in ranges, so that no length is one task; the
+    # written row number tells equal pieces apart.
     n_ranges = max(1, math.ceil(int(histogram.max()) / PIECES_PER_RANGE))
     ranged = pieces.withColumn(
-        "range", F.pmod(F.xxhash64("id", "start", "crc"), F.lit(n_ranges))
+        "range", F.pmod(F.xxhash64("id", "start", "crc", "row"), F.lit(n_ranges))
+    )
+    inside = Window.partitionBy("length", "range").orderBy(
+        "id", "start", "crc", "row"
     )
-    inside = Window.partitionBy("length", "range").orderBy("id", "start", "crc")
     before = Window.partitionBy("length").orderBy("range").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -273,7 +276,7 @@ def pack(
                        *(["ids"] if with_ids else [])],
             )
 
-    placed = numbered.select(*pieces.columns, "number").mapInArrow(
+    placed = numbered.select(*pieces.drop("row").columns, "number").mapInArrow(
         places,
         f"{fields}, sequence_id long, offset long"
         + (", ids array<int>" if with_ids else ""),

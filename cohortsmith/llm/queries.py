@@ -35,7 +35,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 @register("op3_mix_sources")
 def op3_mix_sources(spark, folder):
     """Pareto order sampling is random by hash; a brute-force test checks it."""
-    mixed = mixing.sample_copies(table(spark, folder, "documents"))
+    mixed = mixing.sample_copies(table(spark, folder, "documents"), appeal=mixing.substance)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortsmith.llm.components import components
-from cohortsmith.llm.tables import column
+from cohortsmith.llm.tables import column, unused
 from cohortsmith.session import materialize
 
 BITS = 64
@@ -323,9 +323,9 @@ def drop_near_copies(
     Rows that share this id all stay, and so do rows of a component without ids.
     """
     found = near_copies(docs, id_column, text_column, distance)
-    gone = found.where(F.col(id_column) != F.col("component_id")).unionByName(
-        found.where(F.col(id_column).isNull() & F.col("component_id").isNotNull())
-    ).select(F.col(id_column).alias("gone")).distinct()
-    return docs.join(
-        gone, column(docs, id_column).eqNullSafe(F.col("gone")), "left_anti"
-    )
+    own = column(found, id_column)
+    lesser = (own != F.col("component_id")) | (own.isNull() & F.col("component_id").isNotNull())
+    name = unused(docs, "gone")
+    # Written, so that Spark knows its size when it joins.
+    gone = materialize(found.where(lesser).select(own.alias(name)).distinct(), "gone")
+    return docs.join(gone, column(docs, id_column).eqNullSafe(gone[name]), "left_anti")

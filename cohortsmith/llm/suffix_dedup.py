@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortsmith.llm.bwt import merge
@@ -387,6 +387,44 @@ def repeated_windows(
     )
 
 
+def text_keys(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table with ``key``, a number that no two texts share, and ``key, low``.
+
+    Keys are cut out of the texts' SHA-256 (``sha``).  Where different texts meet in one
+    key, which takes some billions of texts, all but one of them get unused numbers.
+    """
+    keyed = keyed.withColumn("key", short_key(F.col("sha")))
+    lows = materialize(
+        keyed.groupBy("key").agg(
+            F.min("id").alias("low"), F.min("sha").alias("least"), F.max("sha").alias("most")
+        ),
+        "lows",
+    )
+    # About n^2 / 2^65 keys of n texts.
+    shared = lows.where("least <> most").select(F.col("key").alias("of"), "least")
+    if not shared.limit(1).count():
+        return keyed.drop("sha"), lows.select("key", "low")
+    others = materialize(
+        keyed.join(F.broadcast(shared), (F.col("key") == F.col("of")) & (F.col("sha") != F.col("least")))
+        .select(F.col("sha").alias("other")).distinct()
+        .withColumn("new_key", F.monotonically_increasing_id()),
+        "others",
+    )
+    # Numbers above all keys, or below them, or anywhere between: the first free run.
+    n = others.agg(F.max("new_key")).first()[0] + 1
+    used = lows.agg(F.min("key"), F.max("key")).first()
+    start = used[1] + 1 if used[1] + n < NO_ID else used[0] - n
+    keyed = keyed.join(F.broadcast(others), F.col("sha") == F.col("other"), "left").withColumn(
+        "key", F.coalesce(F.col("new_key") + F.lit(start), "key")
+    ).drop("sha", "other", "new_key")
+    return keyed, materialize(keyed.groupBy("key").agg(F.min("id").alias("low")), "lows")
+
+
+def short_key(sha: Column) -> Column:
+    # One bit less than there is room for, so that there are always unused numbers.
+    return F.shiftright(F.xxhash64(sha), 1)
+
+
 def remove_repeats(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -407,8 +445,8 @@ def remove_repeats(
         column(docs, id_column).alias("own_id"),
         F.coalesce(column(docs, id_column).cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(column(docs, text_column), F.lit("")).cast("binary").alias("text"),
-    ).withColumn("key", F.xxhash64(F.sha2("text", 256)))
-    lows = materialize(keyed.groupBy("key").agg(F.min("id").alias("low")), "lows")
+    ).withColumn("sha", F.unhex(F.sha2("text", 256)))
+    keyed, lows = text_keys(keyed)
     cover = materialize(
         repeated_windows(keyed, lows, length, per_bucket)
         .groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("gone")),

@@ -38,6 +38,14 @@ def column(df: DataFrame, name: str) -> Column:
     return df[f"`{name}`"]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer if a column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def uniform(seed: int, *columns: Column) -> Column:
     """A number strictly between 0 and 1 that depends on the columns only."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11)

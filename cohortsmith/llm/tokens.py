@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -130,7 +129,6 @@ class WordEncoder:
         return flat, through[offsets[1:] - offsets[0]]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One encoder per Python worker and tokenizer file."""
+    """An encoder; every task makes its own, so that nothing has to be imported by name."""
     return WordEncoder(path)

@@ -116,6 +116,18 @@ def _select(row, feature, y, n) -> np.ndarray:
     return names[best[z[best] != 0]]
 
 
+def _matrix(row, feature, words, before) -> np.ndarray:
+    """Presence of ``words`` (sorted), log-odds of earlier categories, the constant."""
+    n = len(before)
+    x = np.zeros((n, len(words)), np.float32)
+    if len(words):
+        at = np.searchsorted(words, feature)
+        at[at == len(words)] = 0
+        hit = words[at] == feature
+        x[row[hit], at[hit]] = 1
+    return np.column_stack([x, _log_odds(before), np.ones(n)]).astype(np.float32)
+
+
 def fit_chain(
     ids: np.ndarray, row: np.ndarray, feature: np.ndarray, labels: np.ndarray,
     names: Sequence[str], weight: np.ndarray | None = None,
@@ -125,21 +137,17 @@ def fit_chain(
     ``weight``: how many labelled documents each row stands for, default 1.
     """
     n = len(labels)
+    fold = ids % FOLDS
     weight = np.ones(n) if weight is None else weight * n / max(weight.sum(), 1e-12)
     chosen = [_select(row, feature, labels[:, k], n) for k in range(len(names))]
     features = np.unique(np.concatenate([*chosen, np.zeros(0, np.int64)])).astype(np.int64)
     use = np.isin(feature, features.astype(np.uint32))
+    all_row, all_feature = row, feature
     row, feature = row[use], feature[use].astype(np.int64)
     links, before = [], np.zeros((n, 0))
-    fold = ids % FOLDS
     for k, name in enumerate(names):
         words = np.searchsorted(features, np.sort(chosen[k]))
-        x = np.zeros((n, len(words)), np.float32)
-        at = np.searchsorted(np.sort(chosen[k]), feature)
-        at[at == len(words)] = 0
-        hit = np.sort(chosen[k])[at] == feature if len(words) else np.zeros(len(at), bool)
-        x[row[hit], at[hit]] = 1
-        x = np.column_stack([x, _log_odds(before), np.ones(n)]).astype(np.float32)
+        x = _matrix(row, feature, np.sort(chosen[k]), before)
         y = labels[:, k].astype(float)
         if not 0 < y.sum() < n:  # nothing to tell apart
             weights = np.zeros(x.shape[1])
@@ -153,8 +161,16 @@ def fit_chain(
             for f in range(FOLDS):
                 held = fold == f
                 if held.any() and 0 < y[~held].sum() < (~held).sum():
-                    seen = _fit_linear(x[~held], y[~held], weight[~held])
-                    unseen[held] = _sigmoid(x[held] @ seen)
+                    # Features, too, are chosen without the rows that are held out.
+                    seen = ~held[all_row]
+                    place = np.cumsum(~held) - 1
+                    own = np.sort(_select(
+                        place[all_row[seen]], all_feature[seen], labels[~held, k],
+                        int((~held).sum()),
+                    ))
+                    x = _matrix(all_row, all_feature, own, before)
+                    fitted = _fit_linear(x[~held], y[~held], weight[~held])
+                    unseen[held] = _sigmoid(x[held] @ fitted)
             before = np.column_stack([before, unseen])
     return Chain(features, links)
 
@@ -171,7 +187,8 @@ def fit(
 
     ``categories``: name to a true/false expression over ``labels``, in chain order.
     Label rows with NULL in the id or a category are left out; of several rows for one
-    document the categories are joined by "or".  Without labels of both kinds a
+    document the categories are joined by "or".  Of several texts with one id the first
+    in the order of their bytes counts, so the sample never has more rows than ids.  Without labels of both kinds a
     category is constant.
     """
     n_marks = len(categories)
@@ -192,7 +209,9 @@ def fit(
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]).withColumnRenamed("id", "key"))
     texts = docs.select(
         column(docs, id_column).alias("id"), column(docs, text_column).alias("text")
-    ).join(chosen, F.col("id") == F.col("key"))
+    ).join(chosen, F.col("id") == F.col("key")).groupBy(
+        "key", "order", *[f"y{k}" for k in range(n_marks)]
+    ).agg(F.min("text").alias("text"))  # one text per id, however often it is there
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
