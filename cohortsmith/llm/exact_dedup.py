@@ -19,16 +19,17 @@ from pyspark.sql import functions as F
 from cohortsmith.llm.tables import column
 from cohortsmith.session import materialize
 
-# 2**26 slots are at most 2**20 rows of 16 bytes: 16 MB to broadcast; 2**30 are 256 MB.
-SLOT_BITS = (26, 30)
+# Slots are numbers of so many bits at most and at least.  2**26 slots are at most 2**20
+# rows of 16 bytes, 16 MB to broadcast; 2**30 are 256 MB.
+SLOT_BITS = 30
+LEAST_BITS = 26
 SLOTS_PER_TEXT = 16
 HASHES = 2
 
 
 def slot_bits(n_texts: int) -> int:
     """Bits of a slot number for so many texts."""
-    least, most = SLOT_BITS
-    return min(max((n_texts * SLOTS_PER_TEXT).bit_length(), least), most)
+    return min(max((n_texts * SLOTS_PER_TEXT).bit_length(), LEAST_BITS), SLOT_BITS)
 
 
 def _slots(text: Column, bits: int) -> list[Column]:
@@ -37,7 +38,7 @@ def _slots(text: Column, bits: int) -> list[Column]:
     return [F.xxhash64(F.lit(k), text).bitwiseAND(last) for k in range(HASHES)]
 
 
-def repeated_slots(texts: DataFrame, text: str, bits: int) -> DataFrame:
+def repeated_slots(texts: DataFrame, text: str, bits: int = LEAST_BITS) -> DataFrame:
     """Filter words ``(word, bits)`` of the slots that at least two rows set."""
     slots = texts.select(F.explode(F.array(*_slots(F.col(text), bits))).alias("slot"))
     twice = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")

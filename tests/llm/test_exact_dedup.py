@@ -65,3 +65,9 @@ def test_large_group_of_copies(spark):
     assert got.where("text_sha256 = sha2('same', 256)").select(
         "keep_id", "group_size"
     ).distinct().collect() == [(2997, 1000)]
+
+
+def test_filter_grows_with_the_texts_up_to_its_limit():
+    from cohortsmith.llm.exact_dedup import slot_bits
+
+    assert [slot_bits(n) for n in (0, 10**6, 10**7, 10**9, 10**12)] == [26, 26, 28, 30, 30]

@@ -75,3 +75,70 @@ def test_rows(spark):
     by = sorted((r["page_id"] or 0, len(r["text"])) for r in got.collect())
     assert by == [(0, 0), (1, 1), (1, 1), (2, 0), (3, 999_999)]
     assert html_text.extract(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<div>" * 205 + '<div style="display:none"><b>HIDDEN</b> tail</div>after', "after"),
+    ("<div>" * 205 + '<p hidden><i><b>NO</i>NO</b></p>a<p>b</p>c' + "</div>" * 205 + "d",
+     "a\nb\nc\nd"),
+    ("<b>" * 300 + '<i style="visibility:hidden">no<u style="visibility:visible">yes</u></i>!',
+     "yes!"),
+    ('<div style="visibility:hidden">no<b style="visibility:visible">yes</b>no</div>x', "yes\nx"),
+    ('<ul style="visibility: collapse"><li>no<li style="visibility:visible">yes</ul>', "- yes"),
+    ('<table style="visibility:hidden"><tr><td>no<td style="visibility:visible">yes</table>', "yes"),
+    ('<p style="visibility:hidden">a<br>b</p>c', "c"),
+    ("<table>" + "<tr><td rowspan=50 colspan=1000>x" * 3 + "</table>", "x\n   x\n      x"),
+])
+def test_hidden_and_deep_parts(html, text):
+    assert html_to_text(html) == text
+
+
+def test_large_spans_and_deep_pages_end_soon():
+    import time
+
+    start = time.process_time()
+    text = html_to_text("<table>" + "<tr><td rowspan=10000 colspan=1000>x" * 10_000 + "</table>")
+    assert text.split() == ["x"] * 10_000 and len(text) < 100_000
+    deep = "<div>" * 50_000 + "x" + "</b>" * 50_000 + "</div>" * 50_000 + "y"
+    assert html_to_text(deep) == "x\ny"
+    assert time.process_time() - start < 20
+
+
+def naive(html):
+    """Words a reader sees in well-formed markup of spans and blocks, by a stack of styles."""
+    out, stack = [], [(True, True)]
+    for piece in re.findall(r"<[^>]*>|[^<]+", html):
+        if piece.startswith("</"):
+            stack.pop()
+        elif piece.startswith("<"):
+            displayed, seen = stack[-1]
+            if "display:none" in piece or " hidden" in piece:
+                displayed = False
+            for word, value in (("visibility:hidden", False), ("visibility:visible", True)):
+                seen = value if word in piece else seen
+            stack.append((displayed, seen))
+        elif all(stack[-1]):
+            out += piece.split()
+    return out
+
+
+def test_words_of_random_pages_equal_a_naive_reader():
+    import random
+
+    chance = random.Random(8)
+    styles = ["", "", "", ' style="display:none"', " hidden", ' style="visibility:hidden"',
+              ' style="color:red; visibility:visible"']
+
+    def page(depth):
+        parts = []
+        for _ in range(chance.randrange(1, 4)):
+            parts.append(f" w{chance.randrange(99)} ")
+            if depth:
+                tag = chance.choice(["div", "b", "span", "section", "i"])
+                parts.append(f"<{tag}{chance.choice(styles)}>{page(depth - 1)}</{tag}>")
+        return "".join(parts)
+
+    for wrap in (0, 150, 196, 240):
+        for _ in range(60):
+            html = "<div>" * wrap + page(6) + "</div>" * wrap
+            assert html_to_text(html).split() == naive(html)

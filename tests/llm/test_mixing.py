@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -158,3 +159,50 @@ def test_empty_null_and_repeated(spark, rows):
     assert [r["taken"] for r in got if not r["size"]] == [0, 0]
     pair = [r["copies"] for r in got if r["doc_id"] == 1]
     assert pair[0] == pair[1]
+
+
+def test_copies_equal_a_plain_pareto_sample(spark):
+    """Ranks from the same random numbers, then plain loops: prefix, and fill until nothing fits."""
+    from pyspark.sql import functions as F
+
+    from cohortsmith.llm.tables import uniform
+
+    docs = [d for d in corpus(9, 300) if d[2] != "tiny"]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    got = {r["doc_id"]: r for r in mixing.sample_copies(frame, appeal=mixing.substance).collect()}
+    sized = frame.select(
+        "doc_id", uniform(20, F.col("doc_id"), mixing.word_count(F.col("text")), F.col("source"))
+        .alias("u"))
+    u = {r["doc_id"]: r["u"] for r in sized.collect()}
+    sizes = defaultdict(int)
+    for _, text, source, _ in docs:
+        sizes[source] += len(text.split())
+    unequal = 0
+    for source, target in fair_targets(sizes).items():
+        whole = int(target / sizes[source] + 1e-12)
+        budget = target - whole * sizes[source]
+        share = budget / sizes[source]
+        own = []
+        for i, text, of, _ in docs:
+            size = len(text.split())
+            if of == source and size:
+                odds = math.log2(size + 2) * share / (1 - share) if share else 0
+                own.append((u[i] / (1 - u[i]) / odds if odds else None, i, size))
+        extra = set()
+        queue = sorted(o for o in own if o[0] is not None)
+        while queue := [o for o in queue if o[1] not in extra and o[2] <= budget]:
+            for _, i, size in queue:
+                if size > budget:
+                    break
+                extra.add(i)
+                budget -= size
+        for _, i, size in own:
+            assert got[i]["copies"] == whole + (i in extra), (source, i)
+        unequal += len(extra)
+    assert unequal > 20
+
+
+def test_texts_stay_where_they_are(spark):
+    docs = spark.createDataFrame(corpus(5, 100), SCHEMA)
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "")

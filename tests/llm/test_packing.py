@@ -125,3 +125,11 @@ def test_least_squares_finds_an_exact_cover():
     counts = packing.nonnegative_counts(rows, histogram)
     found = {tuple(r): round(c) for r, c in zip(rows.tolist(), counts) if c > 0.5}
     assert found == {(1500, 548, 0): 1000, (1348, 700, 0): 300}
+
+
+def test_equal_rows_are_numbered_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_PER_RANGE", 10)
+    docs = spark.range(300).selectExpr("1L AS doc_id", "'one two three' AS text")
+    pieces = packing.pack(docs, tokenizer_path()).collect()
+    assert len({(p["sequence_id"], p["offset"]) for p in pieces}) == 300
+    check_places(pieces, 2048)

@@ -87,3 +87,12 @@ def test_rows(spark):
     assert left.columns == docs.columns
     assert sorted(r["doc_id"] for r in left.collect()) == [3, 3, 7, 8]
     assert simhash.near_copies(docs.limit(0)).collect() == []
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame(
+        [(i, f"text {i % 3} of some words", "a", "b", 1) for i in range(9)],
+        "doc_id long, text string, gone string, Gone_ string, fp int")
+    kept = simhash.drop_near_copies(docs, distance=0)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2]

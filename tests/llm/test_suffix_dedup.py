@@ -97,3 +97,19 @@ def test_empty_table_and_long_text(spark):
     got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(frame).collect()}
     assert got[1]["n_removed"] == 0
     assert (got[2]["n_removed"], bytes(got[2]["kept_text"])) == (100, b"zz")
+
+
+def test_texts_that_meet_in_one_key_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    chance = random.Random(17)
+    passage = "".join(chance.choices("abcdef ", k=80))
+    docs = [(i, "".join(chance.choices("abcdef ", k=60)) + (passage if i % 4 == 0 else ""), "x")
+            for i in range(40)]
+    docs += [(100 + i, docs[i][1], "y") for i in range(0, 40, 7)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, key string")
+    plain = sorted(map(tuple, suffix_dedup.remove_repeats(frame).collect()))
+    monkeypatch.setattr(
+        suffix_dedup, "short_key", lambda sha: F.pmod(F.xxhash64(sha), F.lit(7).cast("long")))
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(frame).collect())) == plain
+    assert sum(r[2] for r in plain) > 0
