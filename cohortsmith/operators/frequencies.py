@@ -78,13 +78,17 @@ def crosstab(
 
 
 def share_within(
-    counts: DataFrame, by: Sequence[str], n: str = "n", name: str = "pct"
+    counts: DataFrame, by: Sequence[str], n: str = "n", name: str = "pct", split: bool = True
 ) -> DataFrame:
     """Percentage of ``n`` within the groups of an already counted table.
 
     Totals are added up per task first and joined back, so that no group's rows have to
-    meet in one task, however many there are.
+    meet in one task, however many there are; the exchange of the counts is reused.
+    Without ``split`` the groups are known to be small and a window serves.
     """
+    if not split:
+        total = F.sum(n).over(Window.partitionBy(*by))
+        return counts.withColumn(name, safe_ratio(F.col(n), total) * 100)
     totals = counts.groupBy(*[F.col(k).alias(f"of_{i}") for i, k in enumerate(by)]).agg(
         F.sum(n).alias("total_of_group")
     )
@@ -97,7 +101,8 @@ def share_within(
 
 
 def crosstab_row_share(df: DataFrame, row: str, col: str, **options) -> DataFrame:
-    return share_within(crosstab(df, row, col, **options), [row])
+    """Shares within each row value; a row has one cell per value of the few columns."""
+    return share_within(crosstab(df, row, col, **options), [row], split=False)
 
 
 def crosstab_col_share(df: DataFrame, row: str, col: str, **options) -> DataFrame:
