@@ -59,6 +59,31 @@ def freq_share(
     return counts.withColumn("pct", safe_ratio(F.col("n"), total) * 100)
 
 
+def stat_denominator(df: DataFrame, group: str, event: str) -> DataFrame:
+    """Rows and cases per known group, as shares of totals over different rows.
+
+    Rows are shared over the rows with a known group, cases over all cases.  The totals
+    are added up from the grouped counts.  The unknown group is dropped by its missing
+    share: a filter on ``group`` itself would be pushed below the aggregation, which the
+    totals could then not reuse, and the input would be read again for them.
+    """
+    counts = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(event).alias("cases"))
+    known = F.col(group).isNotNull()
+    totals = counts.agg(
+        F.struct(
+            F.sum(F.when(known, F.col("n"))).alias("n"), F.sum("cases").alias("cases")
+        )
+    ).scalar()
+    share = safe_ratio(F.col("n"), totals["n"]) * 100
+    return counts.select(
+        group,
+        "n",
+        F.when(known, share).alias("pct"),
+        "cases",
+        (safe_ratio(F.col("cases"), totals["cases"]) * 100).alias("pctcases"),
+    ).where(F.col("pct").isNotNull())
+
+
 def crosstab(
     df: DataFrame,
     row: str,

@@ -168,10 +168,10 @@ def logistic_adjusted_terms(spark, folder):
     return rounded(_adjusted_fits(spark, folder), *ALL_EFFECT)
 
 
-def _adjusted_fits(spark, folder):
+def _adjusted_fits(spark, folder, conf="wald"):
     return logistic_batch(
         coded_cases(spark, folder), "testresult", {s: BINARY for s in EXPOSURES},
-        adjust=[Cat("agegr10", AGES)], conf="wald",
+        adjust=[Cat("agegr10", AGES)], conf=conf,
     )
 
 
@@ -201,6 +201,36 @@ def _profile_fits(spark, folder):
     )
 
 
+@register(
+    "profile_ci_adjusted",
+    sql(
+        model_sql.logistic_fits(
+            _symptom_models(EXPOSURES, "cases_with_person", _AGE_COLUMNS), profile=True
+        ),
+        "cases_with_person",
+    ),
+)
+def profile_ci_adjusted(spark, folder):
+    """Profile bounds of all terms of every symptom's fit adjusted for age group."""
+    return rounded(_adjusted_fits(spark, folder, "profile"), *ALL_EFFECT)
+
+
+@register(
+    "logistic_or_profile",
+    sql(
+        model_sql.logistic_fits(
+            {"age": (_coded("cases_with_person", "agegr10,"), _AGE_COLUMNS)},
+            profile=True, key="",
+        ),
+        "cases_with_person",
+    ),
+)
+def logistic_age_profile(spark, folder):
+    """Odds ratios of the age groups with profile bounds."""
+    fit = logistic_or(coded_cases(spark, folder), "testresult", [Cat("agegr10", AGES)])
+    return rounded(fit, *ALL_EFFECT)
+
+
 _PER_ERA = f"""
 cells AS (SELECT variant, anosmia AS x, (count(*) FILTER (WHERE y = 1))::DOUBLE AS a,
     (count(*) FILTER (WHERE y = 0))::DOUBLE AS b

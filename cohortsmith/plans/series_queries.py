@@ -10,7 +10,7 @@ from cohortsmith.plans.bindings import sql
 from cohortsmith.plans.recode_queries import clamped_delay
 from cohortsmith.plans.registry import register
 from cohortsmith.plans.table_queries import joined_people, rounded, _JOINED, _TIER
-from cohortsmith.sources.spine import group_spine
+from cohortsmith.sources.spine import date_spine, group_spine
 
 
 @register(
@@ -58,6 +58,20 @@ _LIMITS = "(SELECT min(onset) + 10 AS a, max(onset) - 10 AS b FROM cases)"
 
 @register(
     "date_spine",
+    sql(
+        f"""
+        SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP),
+          INTERVAL 1 DAY)) AS DATE) AS date FROM {_LIMITS}
+        """,
+        "cases",
+    ),
+)
+def dates(spark, folder):
+    return date_spine(spark, *_limits(data.cases(spark, folder)))
+
+
+@register(
+    "group_spine",
     sql(
         f"""
         SELECT testresult, CAST(d AS DATE) AS date FROM
@@ -68,7 +82,7 @@ _LIMITS = "(SELECT min(onset) + 10 AS a, max(onset) - 10 AS b FROM cases)"
         "cases",
     ),
 )
-def date_spine(spark, folder):
+def dates_per_result(spark, folder):
     cases = filters.not_null(data.cases(spark, folder), "testresult")
     return group_spine(cases, ["testresult"], *_limits(data.cases(spark, folder)))
 

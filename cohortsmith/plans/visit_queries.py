@@ -310,18 +310,7 @@ def group_share(spark, folder):
 )
 def stat_denominator(spark, folder):
     """Shares of totals that are taken over differently filtered rows."""
-    groups = data.cohort(spark, folder).groupBy("agegr").agg(
-        F.count("*").alias("n"), F.sum("event").alias("cases")
-    )
-    known = filters.not_null(groups, "agegr")
-    rows, cases = known.agg(F.sum("n")).scalar(), groups.agg(F.sum("cases")).scalar()
-    return known.select(
-        "agegr",
-        "n",
-        (fn.safe_ratio(F.col("n"), rows) * 100).alias("pct"),
-        "cases",
-        (fn.safe_ratio(F.col("cases"), cases) * 100).alias("pctcases"),
-    )
+    return freq.stat_denominator(data.cohort(spark, folder), "agegr", "event")
 
 
 @register(

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+_scopes: dict[str, list[list[str]]] = {}
 
 # The JVM does not compile methods beyond this many bytes of bytecode.  Spark's
 # own default lets generated code for wide projections run interpreted instead.
@@ -40,7 +43,38 @@ def scratch_path(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_path(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path nothing has been written to; it belongs to the innermost open scope."""
+    path = f"{scratch_path(spark)}/{label}-{uuid.uuid4().hex}"
+    for scope in _scopes.get(spark.sparkContext.applicationId, [])[-1:]:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables written inside when the block ends or fails.
+
+    Results are computed when they are used, and then read such tables: write or
+    collect them inside the block.  Only paths handed out by ``fresh_path`` in the
+    block are deleted, nothing else in the shared folder.  Without a block the tables
+    stay for the user to remove.
+    """
+    scopes = _scopes.setdefault(spark.sparkContext.applicationId, [])
+    own: list[str] = []
+    scopes.append(own)
+    try:
+        yield
+    finally:
+        scopes.remove(own)
+        delete(spark, own)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables from whatever file system they are on; absent ones are skipped."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

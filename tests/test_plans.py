@@ -38,6 +38,17 @@ def test_univariable_tables_share_one_scan(plan_of):
     assert text.count("Expand") == 1
 
 
+def test_totals_come_from_the_grouped_counts(spark, plan_of):
+    """Without adaptive execution reuse shows before the run: each table is read once."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan_of("stat_denominator")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert text.count("FileScan") == 2  # customers and orders
+    assert "ReusedExchange" in text
+
+
 @pytest.mark.parametrize("name", ["survival_table", "lead_transition"])
 def test_rows_are_reduced_before_the_person_shuffle(plan_of, name):
     text = plan_of(name)

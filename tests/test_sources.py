@@ -1,5 +1,7 @@
 """Readers and writers."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql.types import StructType
 
@@ -83,3 +85,27 @@ def test_tuning_keeps_a_limit_the_user_chose(spark):
         assert spark.conf.get(session.HUGE_METHOD) == "12345"
     finally:
         spark.conf.set(session.HUGE_METHOD, default)
+
+
+def test_scratch_tables_are_deleted_with_their_block(spark, rows):
+    df = spark.createDataFrame([(1,), (2,)], "n int")
+
+    def written(label):
+        return list(Path(session.scratch_path(spark)).glob(f"{label}-*"))
+
+    stays = session.materialize(df, "stays")
+    with session.scratch(spark):
+        outer = session.materialize(df, "outer")
+        with session.scratch(spark):
+            inner = session.materialize(df, "inner")
+            assert rows(inner) == [(1,), (2,)]
+        assert not written("inner")
+        session.fresh_path(spark, "unused")
+        assert rows(outer) == [(1,), (2,)]
+    assert not written("outer")
+    with pytest.raises(ZeroDivisionError), session.scratch(spark):
+        session.materialize(df, "failed")
+        1 / 0
+    assert not written("failed")
+    session.materialize(df, "later")
+    assert rows(stays) == [(1,), (2,)] and written("later")

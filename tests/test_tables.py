@@ -159,3 +159,17 @@ def test_shares_of_many_values_use_no_window(spark):
         F.count("*").alias("n"), F.sum("pct").alias("s")).collect()}
     assert {k: v[0] for k, v in sums.items()} == {None: 333_334, 0: 333_333, 1: 333_333}
     assert all(abs(v[1] - 100) < 1e-6 for v in sums.values())
+
+
+def test_shares_of_totals_over_different_rows(spark, rows):
+    df = spark.createDataFrame(
+        [("a", 1), ("a", 0), ("a", None), ("b", 1), (None, 1), (None, 1)], "g string, e int"
+    )
+    assert rows(freq.stat_denominator(df, "g", "e")) == [
+        ("a", 3, 75.0, 1, 25.0), ("b", 1, 25.0, 1, 25.0)
+    ]
+    assert rows(freq.stat_denominator(df.where("g = 'a' AND e IS NULL"), "g", "e")) == [
+        ("a", 1, 100.0, None, None)
+    ]
+    assert rows(freq.stat_denominator(df.where("g IS NULL"), "g", "e")) == []
+    assert rows(freq.stat_denominator(df.where("false"), "g", "e")) == []
