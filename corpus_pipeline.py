@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortsmith.llm import exact_dedup, mixing, packing, queries, simhash, toxicity
 from cohortsmith.llm.tables import register, table
-from cohortsmith.session import fresh_path
+from cohortsmith.session import fresh_path, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,14 @@ ORACLE_SQL = None
 
 @register("pipeline")
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again."""
+    """All stages over ``documents``; each result is written as Parquet and read again.
+
+    What a stage writes on the way to its result is deleted once that is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         path = fresh_path(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
