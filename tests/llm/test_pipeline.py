@@ -1,5 +1,6 @@
 """The whole pipeline on planted rows, each stage against plain Python."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -8,6 +9,7 @@ import pyarrow as pa
 import corpus_pipeline
 from cohortsmith.llm.queries import tokenizer_path
 from cohortsmith.llm.tokens import encoder
+from cohortsmith.session import scratch_path
 
 
 def planted():
@@ -48,7 +50,11 @@ def test_run_equals_plain_python_stage_by_stage(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(
         corpus_pipeline, "STAGES", [(n, watched(s)) for n, s in corpus_pipeline.STAGES]
     )
+    before = set(os.listdir(scratch_path(spark)))
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Of all that was written only the stages' results are left.
+    written = set(os.listdir(scratch_path(spark))) - before
+    assert len(written) == 5 and all(name.startswith("stage-") for name in written)
     results = [[tuple(r) for r in f.select("doc_id", "text", "source").collect()] for f in read]
     expected = docs
     assert sorted(results[0]) == sorted(expected)
