@@ -29,22 +29,26 @@ REFERENCES = {
 }
 
 # Answers recoded to 0/1 before the models.
-CODED = "toylet_sharing water_availability soap_availability health_worker smokingbin"
+CODED = [
+    "toylet_sharing", "water_availability", "soap_availability", "health_worker", "smokingbin",
+]
 
 # Exposures of the adjusted models, and the adult-only ones.
-HOUSEHOLD = """
-smokingbin publictransport_pastweek bedroom_sharing toylet_sharing handwash
-water_availability soap_availability
-""".split()
-COMORBID = """
-hivbin tbbin hypertensionbin diabetesbin heart lungdisease leukemia pregnant
-""".split()
+HOUSEHOLD = [
+    "smokingbin", "publictransport_pastweek", "bedroom_sharing", "toylet_sharing",
+    "handwash", "water_availability", "soap_availability",
+]
+COMORBID = [
+    "hivbin", "tbbin", "hypertensionbin", "diabetesbin", "heart", "lungdisease",
+    "leukemia", "pregnant",
+]
 ADULT_ONLY = ["SesScoreQnt", "education", "health_worker"]
 NOT_STACKED = ("pregnant", "soap_availability")
 
-CHARACTERISTICS = """
-agegr10 sex hypertensionbin diabetesbin hivbin SesScoreQnt education
-""".split()
+CHARACTERISTICS = [
+    "agegr10", "sex", "hypertensionbin", "diabetesbin", "hivbin", "SesScoreQnt",
+    "education",
+]
 
 
 def case_outputs(cases: DataFrame, spine: tuple[str, str] = SPINE) -> Outputs:
@@ -175,7 +179,7 @@ def cohort_outputs(
     cohort = materialize(cohort, "cohort")
     adult = F.col("agegr") != children
     coded = cohort.withColumns(
-        {c: fn.recode_binary(c, YES, NO) for c in CODED.split()}
+        {c: fn.recode_binary(c, YES, NO) for c in CODED}
     )
     age, sex = Cat("agegr10"), Cat("sex", ref=REFERENCES["sex"])
 

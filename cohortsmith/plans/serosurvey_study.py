@@ -42,22 +42,23 @@ REFERENCES = {
 }
 
 # Exposures adjusted for age only, and for age and sex.
-BEHAVIOUR = """
-smokingbin publictransport_pastweek bedroom_sharing toylet_sharing handwash
-water_availability soap_availability health_worker did_work
-""".split()
-HEALTH = """
-overweight hivbin tbbin hypertensionbin diabetesbin heart lungdisease leukemia
-pregnant
-""".split()
+BEHAVIOUR = [
+    "smokingbin", "publictransport_pastweek", "bedroom_sharing", "toylet_sharing",
+    "handwash", "water_availability", "soap_availability", "health_worker", "did_work",
+]
+HEALTH = [
+    "overweight", "hivbin", "tbbin", "hypertensionbin", "diabetesbin", "heart",
+    "lungdisease", "leukemia", "pregnant",
+]
 ALL_ROWS = ["agegr10", "sex", "lowestSES"]
 ADULT_ONLY = ["SesScoreQnt", "education", "health_worker"]
-OTHERS = """
-hivbin hypertensionbin diabetesbin overweight publictransport_pastweek smokingbin
-pregnant tbbin lungdisease heart leukemia bedroom_sharing toylet_sharing handwash
-water_availability soap_availability inside_outside_city did_work would_stay_home
-wore_mask_yesterday
-""".split()
+OTHERS = [
+    "hivbin", "hypertensionbin", "diabetesbin", "overweight",
+    "publictransport_pastweek", "smokingbin", "pregnant", "tbbin", "lungdisease",
+    "heart", "leukemia", "bedroom_sharing", "toylet_sharing", "handwash",
+    "water_availability", "soap_availability", "inside_outside_city", "did_work",
+    "would_stay_home", "wore_mask_yesterday",
+]
 
 
 def classified_samples(

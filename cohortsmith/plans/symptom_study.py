@@ -16,17 +16,19 @@ from cohortsmith.plans.covariates import ERA_STARTS, ERAS, NO, YES
 from cohortsmith.session import materialize, tune
 
 # Symptoms in the order of the tables.
-TABULATED = """
-fever throat dyspnoea anosmia ageusia fatigue O2under92 O2under95 cough rhinorrhea
-chest_pain nausea headache vomit appitite_loss diarrhea nosebleed
-consciousness_change convulsions chills myalgia arthromyalgia rash
-""".split()
+TABULATED = [
+    "fever", "throat", "dyspnoea", "anosmia", "ageusia", "fatigue", "O2under92",
+    "O2under95", "cough", "rhinorrhea", "chest_pain", "nausea", "headache", "vomit",
+    "appitite_loss", "diarrhea", "nosebleed", "consciousness_change", "convulsions",
+    "chills", "myalgia", "arthromyalgia", "rash",
+]
 
 # Symptoms in the models; nosebleed keeps its raw answers.
-MODELLED = """
-fever throat rhinorrhea dyspnoea cough chest_pain vomit anosmia ageusia chills
-nausea diarrhea arthromyalgia myalgia fatigue O2under95 appitite_loss rash headache
-""".split()
+MODELLED = [
+    "fever", "throat", "rhinorrhea", "dyspnoea", "cough", "chest_pain", "vomit",
+    "anosmia", "ageusia", "chills", "nausea", "diarrhea", "arthromyalgia", "myalgia",
+    "fatigue", "O2under95", "appitite_loss", "rash", "headache",
+]
 RAW = ["nosebleed"]
 
 # Symptoms modelled within the waves.
