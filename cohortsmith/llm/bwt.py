@@ -54,8 +54,9 @@ def merge(strings: list[bytes], depth: int, shard_bytes: int = SHARD_BYTES):
     The strings are dealt into shards, each with its own transform.  The transforms
     are then interleaved: in every round the rows, in their present order, are dealt
     out by the two bytes before them, which sorts the merged rows by two bytes more.
-    After ``depth / 2`` rounds rows that share ``depth`` bytes are neighbours, and
-    comparing neighbours gives the intervals.
+    Rows stay in one block only while they came out of one block by the same bytes, so
+    the blocks of a round are the rows that share the bytes compared so far: after
+    ``depth`` bytes they are the intervals.
 
     Returns for every start of a suffix of ``depth`` bytes: the string's number, the
     position inside it, and the number of the interval of equal prefixes.
@@ -88,36 +89,35 @@ def merge(strings: list[bytes], depth: int, shard_bytes: int = SHARD_BYTES):
         shard.append(np.full(hi - lo, k, shard_kind))
     rows, before = np.concatenate(rows), np.concatenate(before)
     interleave = np.concatenate(shard)
-    if n_shards > 1:
-        pairs = np.empty(len(before), pair_kind)
-        for _ in range(-(-depth // 2)):
+    block = np.zeros(len(rows), np.int32)
+    settled = n_shards == 1
+    place = np.arange(len(rows))
+    pairs = before
+    for done in range(0, depth, 2):
+        if not settled or done == 0:
             # The i-th row of a shard in the present order is its i-th.
-            pairs[np.argsort(interleave, kind="stable")] = before
-            following = interleave[np.argsort(pairs, kind="stable")]
-            if np.array_equal(following, interleave):
-                break
+            place = np.argsort(interleave, kind="stable")
+            pairs = np.empty(len(before), pair_kind)
+            pairs[place] = before
+        one = done + 1 == depth  # an odd depth ends with the last byte alone
+        dealt = pairs % n_symbols if one else pairs
+        if not settled or done == 0 or one:
+            order = np.argsort(dealt, kind="stable")
+            dealt = dealt[order]
+            border = np.append(False, dealt[1:] != dealt[:-1])[: len(order)]
+        from_block = block[order]
+        new = border.copy()
+        new[1:] |= from_block[1:] != from_block[:-1]
+        block = np.cumsum(new, dtype=np.int32)
+        if not settled:
+            following = interleave[order]
+            settled = np.array_equal(following, interleave)
             interleave = following
-        merged = np.empty(len(rows), np.int64)
-        merged[np.argsort(interleave, kind="stable")] = rows
-    else:
-        merged = rows
-    return _intervals(merged, raw, sizes, starts, depth)
-
-
-def _intervals(merged, raw, sizes, starts, depth):
-    """Number the runs of merged rows that share ``depth`` bytes."""
+    merged = np.empty(len(rows), np.int64)
+    merged[np.argsort(interleave, kind="stable")] = rows
+    # Suffixes that end before have met an end mark; their blocks say nothing.
     owner = np.repeat(np.arange(len(sizes)), sizes)[merged]
     long = starts[owner + 1] - 1 - merged >= depth
-    merged, owner = merged[long], owner[long]
-    if not len(merged):
-        return owner, merged, merged
-    # Words of up to eight bytes from every position on; the last one may overlap.
-    words, size = raw.astype(np.uint64), 1
-    while size < 8 and size * 2 <= depth:
-        words = words[:-size] << np.uint64(8 * size) | words[size:]
-        size *= 2
-    border = np.zeros(len(merged), bool)
-    for k in [*range(0, depth - size, size), depth - size]:
-        word = words[merged + k]
-        border[1:] |= word[1:] != word[:-1]
-    return owner, merged - starts[owner], np.cumsum(border)
+    merged, owner, block = merged[long], owner[long], block[long]
+    number = np.cumsum(np.append(False, block[1:] != block[:-1])[: len(block)])
+    return owner, merged - starts[owner], number

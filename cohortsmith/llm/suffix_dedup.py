@@ -7,8 +7,8 @@
 2. Runs of windows with the same anchor are cut out as segments.  Equal segments become
    one, with the smallest id that has it.  All segments of an anchor meet in one bucket.
 3. In a bucket the segments are dealt into shards; each shard gets its Burrows-Wheeler
-   transform, and the transforms are merged by interleave refinement, which yields the
-   intervals of suffixes that share ``length`` bytes (``bwt.merge``).  The smallest id
+   transform, and the transforms are merged by interleave refinement, whose rounds yield
+   the intervals of suffixes that share ``length`` bytes (``bwt.merge``).  The smallest id
    of an interval decides for all its windows.
 4. Windows an earlier document has are removed from the documents.
 
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,11 @@ GRAM = 24
 SLICE_BYTES = 1 << 20
 ANCHORS_PER_RANGE = 2_000_000
 SEGMENTS_PER_BUCKET = 20_000
+
+# Texts and settled anchors a task remembers; groups that copies of one text are dealt to.
+SEEN = 1 << 20
+SALTS = 256
+
 NO_ID = (1 << 63) - 1  # NULL ids come after all others
 
 
@@ -117,122 +123,147 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").to_pylist()]
 
 
-def _address(anchor: np.ndarray, n_ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Range and 32 further bits of an anchor."""
+def _address(anchor: np.ndarray, n_ranges: int) -> np.ndarray:
+    """Range (upper half) and 32 further bits of an anchor in one number."""
     mixed = anchor.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(32)) % np.uint64(n_ranges), (mixed & np.uint64(0xFFFFFFFF))
+    where = (mixed >> np.uint64(32)) % np.uint64(n_ranges)
+    return where << np.uint64(32) | (mixed & np.uint64(0xFFFFFFFF))
 
 
-def repeated_anchors(keyed: DataFrame, length: int, n_ranges: int) -> DataFrame:
-    """``key, found``: per text the anchors that other texts have, too.
+class _Seen:
+    """Numbers a task has met; the oldest go when there are many, which costs time only."""
 
-    Found anchors are 64-bit numbers of range and hash.  A few may be there by chance;
-    the comparison of bytes that follows sorts them out.
+    def __init__(self, most: int):
+        self.most = most
+        self.young = self.old = np.zeros(0, np.int64)
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        return np.isin(numbers, self.young) | np.isin(numbers, self.old)
+
+    def add(self, numbers: np.ndarray) -> None:
+        self.young = np.union1d(self.young, numbers)
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, np.zeros(0, np.int64)
+
+
+ENTRIES = "group long, keys binary, counts binary, anchors binary"
+
+
+def _by_group(group, keys, full, kind) -> pa.RecordBatch:
+    """One row per group: its keys, how many anchors of each follow, the anchors."""
+    order = np.lexsort((full, keys, group))
+    group, keys, full = group[order], keys[order], full[order]
+    heads = np.flatnonzero(
+        np.append(True, (group[1:] != group[:-1]) | (keys[1:] != keys[:-1]))[: len(group)]
+    )
+    counts = np.diff(np.append(heads, len(group)))
+    of = group[heads]
+    cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+    ends = np.append(cuts[1:], len(of))
+    starts = np.append(heads, len(group))
+    rows = [(a, b, starts[a], starts[b]) for a, b in zip(cuts, ends)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(of[cuts].astype(np.int64)),
+            pa.array([keys[heads[a:b]].astype("<i8").tobytes() for a, b, _, _ in rows], pa.binary()),
+            pa.array([counts[a:b].astype("<u4").tobytes() for a, b, _, _ in rows], pa.binary()),
+            pa.array([full[lo:hi].astype(kind).tobytes() for _, _, lo, hi in rows], pa.binary()),
+        ],
+        names=["group", "keys", "counts", "anchors"],
+    )
+
+
+def _once(full: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair of anchor and key once, by anchor and key."""
+    order = np.lexsort((keys, full))
+    full, keys = full[order], keys[order]
+    fresh = np.append(True, (full[1:] != full[:-1]) | (keys[1:] != keys[:-1]))[: len(keys)]
+    return full[fresh], keys[fresh]
+
+
+def _entries(rows: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors and keys of ``_by_group``, see ``_once``."""
+
+    def numbers(name, kind):
+        parts = [np.frombuffer(b, kind) for b in rows.column(name).to_pylist()]
+        return np.concatenate([np.zeros(0, kind), *parts])
+
+    keys = np.repeat(numbers("keys", "<i8"), numbers("counts", "<u4"))
+    return _once(numbers("anchors", kind), keys)
+
+
+def asked_anchors(keyed: DataFrame, length: int, n_ranges: int) -> DataFrame:
+    """Anchors of texts as rows of ``_by_group``, by range or, if settled, by text.
+
+    An anchor that a task has met in two texts is settled there: one text asks for the
+    sake of other tasks, and all later ones of the task are answered by text without
+    meeting at the anchor.  A text asks once per task.  So what meets at a frequent
+    anchor grows with the tasks and not with the documents that have it.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, settled = _Seen(SEEN), _Seen(SEEN)
+        # Copies of one text are answered in up to SALTS groups.
+        salt = TaskContext.get().partitionId() % SALTS
         for batch in batches:
             for part in _slices(batch, "text"):
-                text, _, _, anchor = runs(_texts(part), length, GRAM)
-                # Equal texts have one key and count once.
-                names, which = np.unique(part.column("key").to_numpy(), return_inverse=True)
-                where, bits = _address(anchor, n_ranges)
-                full = where << np.uint64(32) | bits
-                pairs = np.unique(
-                    np.stack([full, which[text].astype(np.uint64)], axis=1), axis=0
-                )
-                full, keys = pairs[:, 0], names[pairs[:, 1].astype(np.int64)]
-                # Anchors of several texts of the slice are settled here; one of
-                # them still asks, for the sake of other slices.
+                names, at = np.unique(part.column("key").to_numpy(), return_index=True)
+                new = ~asked.has(names)
+                names, at = names[new], at[new]
+                asked.add(names)
+                text, _, _, anchor = runs(_texts(part.take(pa.array(at))), length, GRAM)
+                full, keys = _once(_address(anchor, n_ranges), names[text])
                 same = np.zeros(len(full), bool)
                 same[1:] = full[1:] == full[:-1]
-                known = same.copy()
-                known[:-1] |= same[1:]
-                yield _asked(full[~same], keys[~same], False)
+                several = same.copy()
+                several[:-1] |= same[1:]
+                before = settled.has(full.view(np.int64))
+                settled.add(full[same & ~before].view(np.int64))
+                known = several | before
+                goes = ~before & ~same
+                yield _by_group(full[goes] >> np.uint64(32), keys[goes], full[goes], "<u4")
                 if known.any():
-                    yield _asked(full[known], keys[known], True)
-
-    def _asked(full, keys, known):
-        order = np.lexsort((full, keys, full >> np.uint64(32)))
-        full, keys = full[order], keys[order]
-        where = (full >> np.uint64(32)).astype(np.int64)
-        heads = np.flatnonzero(np.append(True, (np.diff(where) != 0) | (np.diff(keys) != 0)))
-        heads = heads[: len(heads) if len(full) else 0]
-        rows = {"range": [], "keys": [], "counts": [], "bits": []}
-        counts = np.diff(np.append(heads, len(full)))
-        of = where[heads]
-        cuts = np.flatnonzero(np.append(True, np.diff(of) != 0))[: len(of)]
-        for a, b in zip(cuts, [*cuts[1:], len(of)]):
-            lo, hi = heads[a], heads[b - 1] + counts[b - 1]
-            rows["range"].append(int(of[a]))
-            rows["keys"].append(keys[heads[a:b]].astype("<i8").tobytes())
-            rows["counts"].append(counts[a:b].astype("<u4").tobytes())
-            rows["bits"].append(full[lo:hi].astype("<u4").tobytes())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(rows["range"], pa.int64()), pa.array(rows["keys"], pa.binary()),
-                pa.array(rows["counts"], pa.binary()), pa.array(rows["bits"], pa.binary()),
-                pa.array([known] * len(rows["range"]), pa.bool_()),
-            ],
-            names=["range", "keys", "counts", "bits", "known"],
-        )
+                    group = n_ranges + (keys[known] + salt) % n_ranges
+                    yield _by_group(group, keys[known], full[known], "<u8")
 
-    def answer(asked: pa.Table) -> pa.Table:
-        known = asked.column("known").to_numpy()
-        asked = asked.take(pa.array(np.argsort(known, kind="stable")))
-        n_known = int(known.sum())
-
-        def join(name, kind):
-            parts = [np.frombuffer(b, kind) for b in asked.column(name).to_pylist()]
-            sizes = [len(p) for p in parts]
-            return np.concatenate([np.zeros(0, kind), *parts]), sizes
-
-        keys, _ = join("keys", "<i8")
-        counts, _ = join("counts", "<u4")
-        bits, sizes = join("bits", "<u4")
-        n_open = sum(sizes[: len(sizes) - n_known])
-        owner = np.repeat(keys, counts)
-        order = np.lexsort((owner[:n_open], bits[:n_open]))
-        ranked, of = bits[order], owner[order]
-        # An anchor counts if its run of entries has more than one text.
-        heads = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))[:n_open]
-        sizes = np.diff(np.append(heads, n_open))
-        mixed = of[heads] != of[heads + sizes - 1] if n_open else np.zeros(0, bool)
-        twin = np.repeat(mixed, sizes)
-        hit = np.concatenate([order[twin], np.arange(n_open, len(bits))])
-        # One row per range and reply group: the numbers of a text come together below.
-        group = owner[hit] % n_ranges
-        hit = hit[np.lexsort((owner[hit], group))]
-        group, of, bits = owner[hit] % n_ranges, owner[hit], bits[hit].astype("<u8")
-        bits |= np.uint64(asked.column("range")[0].as_py() << 32)
-        heads = np.flatnonzero(np.append(True, np.diff(group) != 0))[: len(group)]
-        return pa.table({
-            "reply": pa.array(group[heads], pa.int64()),
-            "keys": pa.array([x.tobytes() for x in np.split(of, heads[1:])][: len(heads)],
-                             pa.binary()),
-            "found": pa.array([x.tobytes() for x in np.split(bits, heads[1:])][: len(heads)],
-                              pa.binary()),
-        })
+    return keyed.select("key", "text").mapInArrow(ask, ENTRIES)
+
+
+def repeated_anchors(keyed: DataFrame, length: int, n_ranges: int) -> DataFrame:
+    """``key, found``: per text the anchors that other texts have, too.
+
+    Found anchors are 64-bit numbers of range and hash.  A few may be there by chance;
+    the comparison of bytes that follows sorts them out.
+    """
 
-    def per_text(replies: pa.Table) -> pa.Table:
-        of = np.frombuffer(b"".join(replies.column("keys").to_pylist()), "<i8")
-        bits = np.frombuffer(b"".join(replies.column("found").to_pylist()), "<u8")
-        order = np.argsort(of, kind="stable")
-        of, bits = of[order], bits[order]
-        heads = np.flatnonzero(np.append(True, np.diff(of) != 0))[: len(of)]
+    def answer(rows: pa.Table) -> pa.Table:
+        group = rows.column("group")[0].as_py()
+        if group >= n_ranges:
+            full, keys = _entries(rows, "<u8")
+        else:
+            bits, keys = _entries(rows, "<u4")
+            # An anchor counts if its run of entries has more than one text.
+            same = bits[1:] == bits[:-1]
+            twin = np.append(False, same)[: len(bits)] | np.append(same, False)[: len(bits)]
+            keys = keys[twin]
+            full = bits[twin].astype("<u8") | np.uint64(group << 32)
+        return pa.Table.from_batches([_by_group(keys % n_ranges, keys, full, "<u8")])
+
+    def per_text(rows: pa.Table) -> pa.Table:
+        full, keys = _entries(rows, "<u8")
+        order = np.argsort(keys, kind="stable")
+        keys, full = keys[order], full[order]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
         return pa.table({
-            "key": pa.array(of[heads], pa.int64()),
-            "found": pa.array([x.tobytes() for x in np.split(bits, heads[1:])][: len(heads)],
+            "key": pa.array(keys[heads], pa.int64()),
+            "found": pa.array([x.tobytes() for x in np.split(full, heads[1:])][: len(heads)],
                               pa.binary()),
         })
 
     return (
-        keyed.select("key", "text")
-        .mapInArrow(ask, "range long, keys binary, counts binary, bits binary, known boolean")
-        .groupBy("range")
-        .applyInArrow(answer, "reply long, keys binary, found binary")
-        .groupBy("reply")
-        .applyInArrow(per_text, "key long, found binary")
+        asked_anchors(keyed, length, n_ranges)
+        .groupBy("group").applyInArrow(answer, ENTRIES)
+        .groupBy("group").applyInArrow(per_text, "key long, found binary")
     )
 
 
@@ -244,8 +275,7 @@ def segments(flagged: DataFrame, length: int, n_ranges: int) -> DataFrame:
             for part in _slices(batch, "text"):
                 texts = _texts(part)
                 text, start, windows, anchor = runs(texts, length, GRAM)
-                where, bits = _address(anchor, n_ranges)
-                full = where << np.uint64(32) | bits
+                full = _address(anchor, n_ranges)
                 keep = np.zeros(len(full), bool)
                 edges = np.searchsorted(text, np.arange(len(texts) + 1))
                 for t, found in enumerate(part.column("found").to_pylist()):
@@ -453,8 +483,11 @@ def remove_repeats(
         "cover",
     )
     of_text = lows.join(cover, "key", "left").withColumnRenamed("key", "of")
-    joined = keyed.join(of_text, F.col("key") == F.col("of")).select(
-        "own_id", "text", (F.col("id") > F.col("low")).alias("copy"),
+    # Only a text's first row needs its windows; the others find no partner, so that
+    # copies do not meet at their key.
+    first = (F.col("key") == F.col("of")) & (F.col("id") == F.col("low"))
+    joined = keyed.join(of_text, first, "left").select(
+        "own_id", "text", F.col("of").isNull().alias("copy"),
         F.col("gone.start").alias("starts"), F.col("gone.mask").alias("masks"),
     )
 

@@ -74,9 +74,11 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("per_bucket", [20_000, 3])
-def test_equals_brute_force(spark, per_bucket, monkeypatch):
+@pytest.mark.parametrize("per_bucket, seen", [(20_000, 1 << 20), (3, 5)])
+def test_equals_brute_force(spark, per_bucket, seen, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "ANCHORS_PER_RANGE", 200)
+    monkeypatch.setattr(suffix_dedup, "SEEN", seen)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 2_000 if seen == 5 else 1 << 20)
     docs = corpus(per_bucket)
     frame = spark.createDataFrame([(i, t, "k", None) for i, t in docs], SCHEMA).repartition(3)
     got = suffix_dedup.remove_repeats(frame, per_bucket=per_bucket)
@@ -113,3 +115,35 @@ def test_texts_that_meet_in_one_key_are_told_apart(spark, monkeypatch):
         suffix_dedup, "short_key", lambda sha: F.pmod(F.xxhash64(sha), F.lit(7).cast("long")))
     assert sorted(map(tuple, suffix_dedup.remove_repeats(frame).collect())) == plain
     assert sum(r[2] for r in plain) > 0
+
+
+def test_what_meets_at_a_frequent_anchor_grows_with_tasks_only(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 3_000)
+    chance = random.Random(3)
+    passage = "".join(chance.choices("abcdef ", k=90)).encode()
+    docs = [(i, bytes(chance.choices(b"uvwxyz", k=60)) + passage) for i in range(300)]
+    docs += [(i % 3, docs[i % 3][1]) for i in range(200)]
+    frame = spark.createDataFrame(docs, "key long, text binary").repartition(2).cache()
+    met, answered = {}, set()
+    for row in suffix_dedup.asked_anchors(frame, 50, 4).collect():
+        kind = "<u4" if row["group"] < 4 else "<u8"
+        for key_, n in zip(np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["counts"], "<u4")):
+            if row["group"] >= 4:
+                answered.add(int(key_))
+        if row["group"] < 4:
+            for a in np.frombuffer(row["anchors"], kind).tolist():
+                met[row["group"], a] = met.get((row["group"], a), 0) + 1
+    # A task asks once for an anchor that every text has.
+    everywhere = None
+    for _, text in docs:
+        full = suffix_dedup._address(suffix_dedup.runs([text], 50, suffix_dedup.GRAM)[3], 4)
+        own = {divmod(a, 1 << 32) for a in full.tolist()}
+        everywhere = own if everywhere is None else everywhere & own
+    assert len(everywhere) >= 2 and all(met[a] <= 2 for a in everywhere)
+    found = {r["key"]: len(r["found"]) // 8 for r in
+             suffix_dedup.repeated_anchors(frame, 50, 4).collect()}
+    assert set(found) == set(range(300)) and answered <= set(found)
+    assert min(found.values()) >= 2
+    frame.unpersist()
