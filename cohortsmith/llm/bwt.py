@@ -91,8 +91,8 @@ def merge(strings: list[bytes], depth: int, shard_bytes: int = SHARD_BYTES):
     interleave = np.concatenate(shard)
     block = np.zeros(len(rows), np.int32)
     settled = n_shards == 1
-    place = np.arange(len(rows))
-    pairs = before
+    # The same bytes are dealt out in every round, so their borders stay.
+    edges = _edges(before)
     for done in range(0, depth, 2):
         if not settled or done == 0:
             # The i-th row of a shard in the present order is its i-th.
@@ -100,16 +100,17 @@ def merge(strings: list[bytes], depth: int, shard_bytes: int = SHARD_BYTES):
             pairs = np.empty(len(before), pair_kind)
             pairs[place] = before
         one = done + 1 == depth  # an odd depth ends with the last byte alone
-        dealt = pairs % n_symbols if one else pairs
+        if one:
+            pairs = pairs % n_symbols
+            edges = _edges(pairs)
         if not settled or done == 0 or one:
-            order = np.argsort(dealt, kind="stable")
-            dealt = dealt[order]
-            border = np.append(False, dealt[1:] != dealt[:-1])[: len(order)]
-        from_block = block[order]
-        new = border.copy()
-        new[1:] |= from_block[1:] != from_block[:-1]
+            order = np.argsort(pairs, kind="stable")
+        block = block[order]
+        new = np.zeros(len(block), bool)
+        np.not_equal(block[1:], block[:-1], out=new[1:])
+        new[edges] = True
         block = np.cumsum(new, dtype=np.int32)
-        if not settled:
+        if not settled or one:
             following = interleave[order]
             settled = np.array_equal(following, interleave)
             interleave = following
@@ -121,3 +122,9 @@ def merge(strings: list[bytes], depth: int, shard_bytes: int = SHARD_BYTES):
     merged, owner, block = merged[long], owner[long], block[long]
     number = np.cumsum(np.append(False, block[1:] != block[:-1])[: len(block)])
     return owner, merged - starts[owner], number
+
+
+def _edges(numbers: np.ndarray) -> np.ndarray:
+    """Where other numbers begin once they are sorted."""
+    ends = np.cumsum(np.bincount(numbers))[:-1]
+    return np.unique(ends[ends > 0])

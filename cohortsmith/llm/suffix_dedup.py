@@ -138,18 +138,41 @@ class _Seen:
         self.young = self.old = np.zeros(0, np.int64)
 
     def has(self, numbers: np.ndarray) -> np.ndarray:
-        return np.isin(numbers, self.young) | np.isin(numbers, self.old)
+        found = np.zeros(len(numbers), bool)
+        for known in (self.young, self.old):
+            if len(known):
+                at = np.searchsorted(known, numbers)
+                found |= known[np.minimum(at, len(known) - 1)] == numbers
+        return found
 
     def add(self, numbers: np.ndarray) -> None:
-        self.young = np.union1d(self.young, numbers)
+        """Numbers the task has not met; two sorted runs are merged."""
+        self.young = np.sort(np.concatenate([self.young, np.unique(numbers)]), kind="stable")
         if len(self.young) > self.most:
             self.old, self.young = self.young, np.zeros(0, np.int64)
 
 
+def _planes(full: np.ndarray) -> bytes:
+    """64-bit numbers, lower halves first: upper halves repeat and pack well."""
+    return full.astype("<u8").view("<u4").reshape(-1, 2).T.tobytes()
+
+
+def _unplaned(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, "<u4").reshape(2, -1).T).view("<u8")[:, 0]
+
+
+def _halves(full: np.ndarray) -> bytes:
+    return full.astype("<u4").tobytes()
+
+
+def _unhalved(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u4")
+
+
 ENTRIES = "group long, keys binary, counts binary, anchors binary"
 
 
-def _by_group(group, keys, full, kind) -> pa.RecordBatch:
+def _by_group(group, keys, full, pack) -> pa.RecordBatch:
     """One row per group: its keys, how many anchors of each follow, the anchors."""
     order = np.lexsort((full, keys, group))
     group, keys, full = group[order], keys[order], full[order]
@@ -167,7 +190,7 @@ def _by_group(group, keys, full, kind) -> pa.RecordBatch:
             pa.array(of[cuts].astype(np.int64)),
             pa.array([keys[heads[a:b]].astype("<i8").tobytes() for a, b, _, _ in rows], pa.binary()),
             pa.array([counts[a:b].astype("<u4").tobytes() for a, b, _, _ in rows], pa.binary()),
-            pa.array([full[lo:hi].astype(kind).tobytes() for _, _, lo, hi in rows], pa.binary()),
+            pa.array([pack(full[lo:hi]) for _, _, lo, hi in rows], pa.binary()),
         ],
         names=["group", "keys", "counts", "anchors"],
     )
@@ -181,15 +204,16 @@ def _once(full: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return full[fresh], keys[fresh]
 
 
-def _entries(rows: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
+def _entries(rows: pa.Table, unpack) -> tuple[np.ndarray, np.ndarray]:
     """Anchors and keys of ``_by_group``, see ``_once``."""
 
-    def numbers(name, kind):
-        parts = [np.frombuffer(b, kind) for b in rows.column(name).to_pylist()]
-        return np.concatenate([np.zeros(0, kind), *parts])
+    def numbers(name, read, kind):
+        return np.concatenate([np.zeros(0, kind), *map(read, rows.column(name).to_pylist())])
 
-    keys = np.repeat(numbers("keys", "<i8"), numbers("counts", "<u4"))
-    return _once(numbers("anchors", kind), keys)
+    keys = numbers("keys", lambda b: np.frombuffer(b, "<i8"), "<i8")
+    counts = numbers("counts", lambda b: np.frombuffer(b, "<u4"), "<u4")
+    kind = "<u8" if unpack is _unplaned else "<u4"
+    return _once(numbers("anchors", unpack, kind), np.repeat(keys, counts))
 
 
 def asked_anchors(keyed: DataFrame, length: int, n_ranges: int) -> DataFrame:
@@ -221,10 +245,10 @@ def asked_anchors(keyed: DataFrame, length: int, n_ranges: int) -> DataFrame:
                 settled.add(full[same & ~before].view(np.int64))
                 known = several | before
                 goes = ~before & ~same
-                yield _by_group(full[goes] >> np.uint64(32), keys[goes], full[goes], "<u4")
+                yield _by_group(full[goes] >> np.uint64(32), keys[goes], full[goes], _halves)
                 if known.any():
                     group = n_ranges + (keys[known] + salt) % n_ranges
-                    yield _by_group(group, keys[known], full[known], "<u8")
+                    yield _by_group(group, keys[known], full[known], _planes)
 
     return keyed.select("key", "text").mapInArrow(ask, ENTRIES)
 
@@ -239,24 +263,24 @@ def repeated_anchors(keyed: DataFrame, length: int, n_ranges: int) -> DataFrame:
     def answer(rows: pa.Table) -> pa.Table:
         group = rows.column("group")[0].as_py()
         if group >= n_ranges:
-            full, keys = _entries(rows, "<u8")
+            full, keys = _entries(rows, _unplaned)
         else:
-            bits, keys = _entries(rows, "<u4")
+            bits, keys = _entries(rows, _unhalved)
             # An anchor counts if its run of entries has more than one text.
             same = bits[1:] == bits[:-1]
             twin = np.append(False, same)[: len(bits)] | np.append(same, False)[: len(bits)]
             keys = keys[twin]
             full = bits[twin].astype("<u8") | np.uint64(group << 32)
-        return pa.Table.from_batches([_by_group(keys % n_ranges, keys, full, "<u8")])
+        return pa.Table.from_batches([_by_group(keys % n_ranges, keys, full, _planes)])
 
     def per_text(rows: pa.Table) -> pa.Table:
-        full, keys = _entries(rows, "<u8")
+        full, keys = _entries(rows, _unplaned)
         order = np.argsort(keys, kind="stable")
         keys, full = keys[order], full[order]
         heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
         return pa.table({
             "key": pa.array(keys[heads], pa.int64()),
-            "found": pa.array([x.tobytes() for x in np.split(full, heads[1:])][: len(heads)],
+            "found": pa.array([_planes(x) for x in np.split(full, heads[1:])][: len(heads)],
                               pa.binary()),
         })
 
@@ -280,7 +304,7 @@ def segments(flagged: DataFrame, length: int, n_ranges: int) -> DataFrame:
                 edges = np.searchsorted(text, np.arange(len(texts) + 1))
                 for t, found in enumerate(part.column("found").to_pylist()):
                     a, b = edges[t], edges[t + 1]
-                    keep[a:b] = np.isin(full[a:b], np.frombuffer(found, "<u8"))
+                    keep[a:b] = np.isin(full[a:b], _unplaned(found))
                 text, start = text[keep], start[keep]
                 size = windows[keep] + length - 1
                 data = np.frombuffer(b"".join(texts), np.uint8)
@@ -313,29 +337,28 @@ def earliest_in_buckets(distinct: DataFrame, length: int, n_buckets: int) -> Dat
 
     def resolve(bucket: pa.Table) -> pa.Table:
         bucket = bucket.sort_by("anchor")
-        strings = bucket.column("segment").to_pylist()
-        low = bucket.column("low").to_numpy()
+        segment = bucket.column("segment").combine_chunks()
         anchor = bucket.column("anchor").to_numpy()
-        lows = [np.full(len(s) - length + 1, v) for s, v in zip(strings, low)]
+        low = bucket.column("low").to_numpy()
+        windows = pc.binary_length(segment).to_numpy().astype(np.int64) - length + 1
+        through = np.cumsum(windows)
+        lows = np.repeat(low, windows)
         # Segments of different anchors share no window: only an anchor with several
         # segments has something to merge.
         heads = np.flatnonzero(np.append(True, np.diff(anchor) != 0))[: len(anchor)]
-        crowd = np.repeat(np.diff(np.append(heads, len(anchor))),
-                          np.diff(np.append(heads, len(anchor)))) > 1
-        mine = np.flatnonzero(crowd)
+        crowd = np.diff(np.append(heads, len(anchor)))
+        mine = np.flatnonzero(np.repeat(crowd, crowd) > 1)
         if len(mine):
-            owner, position, interval = merge([strings[i] for i in mine], length)
+            owner, position, interval = merge(segment.take(pa.array(mine)).to_pylist(), length)
             owner = mine[owner]
-            if len(owner):
-                first = np.flatnonzero(np.append(True, np.diff(interval) != 0))
-                least = np.minimum.reduceat(low[owner], first)[interval]
-                ends = np.cumsum([len(x) for x in lows])
-                flat = np.concatenate(lows)
-                flat[ends[owner] - [len(lows[o]) for o in owner] + position] = least
-                lows = np.split(flat, ends[:-1])
+            first = np.flatnonzero(np.append(True, np.diff(interval) != 0))
+            least = np.minimum.reduceat(low[owner], first)[interval]
+            lows[through[owner] - windows[owner] + position] = least
         return pa.table({
             "anchor": bucket.column("anchor"), "name": bucket.column("name"),
-            "lows": pa.array(lows, pa.list_(pa.int64())),
+            "lows": pa.ListArray.from_arrays(
+                pa.array(np.append(0, through), pa.int32()), pa.array(lows)
+            ),
         })
 
     return (
