@@ -58,6 +58,25 @@ _LIMITS = "(SELECT min(onset) + 10 AS a, max(onset) - 10 AS b FROM cases)"
 
 @register(
     "date_spine",
+    sql(
+        f"""
+        SELECT testresult, CAST(d AS DATE) AS date FROM
+          (SELECT DISTINCT testresult FROM cases WHERE testresult IS NOT NULL),
+          (SELECT unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP),
+            INTERVAL 1 DAY)) AS d FROM {_LIMITS})
+        """,
+        "cases",
+    ),
+)
+def dates(spark, folder):
+    """The calendar for every result: each gets a value for every date."""
+    cases = data.cases(spark, folder)
+    results = filters.not_null(cases, "testresult").select("testresult").distinct()
+    return results.crossJoin(date_spine(spark, *_limits(cases)))
+
+
+@register(
+    "calendar_days",
     sql(
         f"""
         SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP),
@@ -66,7 +85,7 @@ _LIMITS = "(SELECT min(onset) + 10 AS a, max(onset) - 10 AS b FROM cases)"
         "cases",
     ),
 )
-def dates(spark, folder):
+def calendar_days(spark, folder):
     return date_spine(spark, *_limits(data.cases(spark, folder)))
 
 

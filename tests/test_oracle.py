@@ -49,3 +49,15 @@ def test_every_term_of_the_fits_is_there(spark, name, adjusted):
         found = {term for m, term in terms if m == model}
         assert {"(Intercept)", f"{model}=1"} <= found
         assert any(term.startswith("agegr10=") for term in found) == adjusted
+
+
+def test_date_spine_covers_every_result(spark):
+    got = entry.queries()["date_spine"](spark, FOLDER)
+    assert got.columns == ["testresult", "date"]
+    days = {r["date"] for r in entry.queries()["calendar_days"](spark, FOLDER).collect()}
+    by_result = {}
+    for row in got.collect():
+        by_result.setdefault(row["testresult"], []).append(row["date"])
+    assert set(by_result) == {"negative", "positive"}
+    for dates in by_result.values():
+        assert len(dates) == len(days) and set(dates) == days
