@@ -10,14 +10,14 @@ reruns and recomputed tasks agree.
 
 No source is sorted as a whole.  Words are summed per rank range; only the range
 in which a source reaches its words is sorted, and it holds about
-``ROWS_PER_RANGE`` rows at any size of the input.
+``ROWS_PER_RANGE`` rows at any size of the input.  That range is read to its end, so
+that a few rounds are enough, each a small number of jobs of the same plan.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from cohortsmith.llm.tables import WORD, column, uniform
 from cohortsmith.session import materialize
 
 ROWS_PER_RANGE = 2_000
+SPANS = "array<struct<after: double, through: double, fits: double, words: bigint>>"
 
 
 def word_count(text: Column) -> Column:
@@ -73,49 +74,83 @@ def allocate(sources: DataFrame, weights: Sequence[float], most: float) -> DataF
     )
 
 
+def _span(after: Column, through: Column, fits: Column, words: Column) -> Column:
+    """Taken are the ranks beyond ``after`` up to ``through`` of sizes up to ``fits``."""
+    return F.struct(
+        after.alias("after"), through.alias("through"), fits.alias("fits"),
+        words.cast("long").alias("words"),
+    )
+
+
+def _take(state: Column, unit: Column) -> Column:
+    """One more rank: taken if it fits; else the span ends, and the next one is narrower."""
+    span, left = state["span"], state["left"]
+    fits = unit["words"] <= left
+    blocks = ~fits & (unit["size"] <= span["fits"])
+    more = _span(span["after"], unit["rank"], span["fits"], span["words"] + unit["words"])
+    new = _span(unit["rank"], unit["rank"], left, F.lit(0))
+    return F.struct(
+        F.when(fits, left - unit["words"]).otherwise(left).alias("left"),
+        F.when(blocks, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+        .alias("spans"),
+        F.when(fits, more).when(blocks, new).otherwise(span).alias("span"),
+    )
+
+
 def _largest_prefix(open_rows: DataFrame, rows_total: int) -> DataFrame:
-    """Per source the last rank whose running words stay within ``budget``.
+    """Per source the last rank whose running words stay within ``budget``, and what follows.
 
     ``open_rows``: ``source``, ``size``, ``rank`` in (0, 1) and ``budget``.  Rows
-    of equal rank are taken together or not at all.
+    of equal rank are taken together or not at all.  ``edge`` and ``words`` are those of
+    the prefix.  The range in which it ends is read on in rank order, and what still fits
+    is taken: ``spans`` lists all that is, ``left`` is what then stays open, and ``done``
+    the rank up to which nothing is undecided.
     """
     n_ranges = max(1, math.ceil(rows_total / ROWS_PER_RANGE))
     ranged = open_rows.withColumn(
         "range", F.floor(F.col("rank") * n_ranges).cast("long")
     )
     sums = ranged.groupBy("source", "range").agg(
-        F.sum("size").alias("words"), F.first("budget").alias("budget")
+        F.sum("size").alias("words"), F.max("rank").alias("last"),
+        F.first("budget").alias("budget"),
     )
     so_far = Window.partitionBy("source").orderBy("range")
     running = sums.withColumn("through", F.sum("words").over(so_far))
+    within = F.col("through") <= F.col("budget")
     # The first range that goes beyond; NULL if all rows fit.
-    beyond = running.groupBy(F.col("source").alias("of")).agg(
-        F.min(F.when(F.col("through") > F.col("budget"), F.struct(
-            F.col("range"), (F.col("through") - F.col("words")).alias("before")
-        ))).alias("cut")
+    cuts = running.groupBy(F.col("source").alias("of")).agg(
+        F.min(F.when(~within, F.col("range"))).alias("cut"),
+        F.coalesce(F.max(F.when(within, F.col("through"))), F.lit(0)).alias("before"),
+        F.coalesce(F.max(F.when(within, F.col("last"))), F.lit(0.0)).alias("last"),
+        F.first("budget").alias("budget"),
     )
     # One row per source on the right; the rows of a large source are split.
-    last = ranged.join(beyond, F.col("source").eqNullSafe(F.col("of")))
-    inside = Window.partitionBy("source").orderBy("rank")
-    edge = (
-        last.where(F.col("range") == F.col("cut.range"))
-        .withColumn("through", F.col("cut.before") + F.sum("size").over(inside))
-        .where(F.col("through") <= F.col("budget"))
-        .groupBy(F.col("source").alias("edge_of"))
-        .agg(F.max("rank").alias("edge"), F.max("through").alias("edge_words"))
+    inside = ranged.select("source", "range", "rank", "size").join(
+        cuts.select(F.col("of").alias("cut_of"), "cut"),
+        F.col("source").eqNullSafe(F.col("cut_of")) & (F.col("range") == F.col("cut")),
+    )
+    units = inside.groupBy("source", "rank").agg(
+        F.sum("size").alias("words"), F.min("size").alias("size")
+    ).groupBy(F.col("source").alias("units_of")).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "words", "size"))).alias("units")
     )
-    found = beyond.join(edge, F.col("of").eqNullSafe(F.col("edge_of")), "left")
-    all_words = sums.groupBy(F.col("source").alias("all_of")).agg(
-        F.sum("words").alias("all_words")
+    no_spans = F.expr(f"CAST(array() AS {SPANS})")
+    start = F.struct(
+        (F.col("budget") - F.col("before")).alias("left"), no_spans.alias("spans"),
+        _span(F.lit(0.0), F.col("last"), F.col("budget"), F.col("before")).alias("span"),
     )
-    return found.join(all_words, F.col("of").eqNullSafe(F.col("all_of"))).select(
-        "of",
-        F.when(F.col("cut").isNull(), F.lit(1.0))
-        .otherwise(F.coalesce("edge", F.col("cut.range") / F.lit(float(n_ranges))))
-        .alias("edge"),
-        F.when(F.col("cut").isNull(), F.col("all_words"))
-        .otherwise(F.coalesce("edge_words", F.col("cut.before")))
-        .alias("words"),
+    nothing = F.expr("CAST(array() AS array<struct<rank: double, words: bigint, size: bigint>>)")
+    scanned = cuts.join(units, F.col("of").eqNullSafe(F.col("units_of")), "left").select(
+        "of", F.coalesce("units", nothing).alias("units"),
+        F.aggregate(F.coalesce("units", nothing), start, _take).alias("end"),
+    ).select(
+        "of", "units", F.col("end.left").alias("left"),
+        F.concat("end.spans", F.array("end.span")).alias("spans"),
+    )
+    return scanned.select(
+        "of", F.get("spans", F.lit(0))["through"].alias("edge"),
+        F.get("spans", F.lit(0))["words"].alias("words"), "spans", "left",
+        F.coalesce(F.try_element_at("units", F.lit(-1))["rank"], F.lit(1.0)).alias("done"),
     )
 
 
@@ -134,18 +169,28 @@ def _ranks(rows: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("rank", F.when(F.col("odds") > 0, odds / (1 + odds)))
 
 
-def _copies(rounds: Sequence[str]) -> Column:
-    copies = F.col("whole") + _taken(rounds).cast("long")
+def _taken() -> Column:
+    """A rank within a span that the document is small enough for."""
+    return F.coalesce(
+        F.exists("spans", lambda s: (F.col("rank") > s["after"])
+                 & (F.col("rank") <= s["through"]) & (F.col("size") <= s["fits"])),
+        F.lit(False),
+    )
+
+
+def _copies() -> Column:
+    copies = F.col("whole") + _taken().cast("long")
     return F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("long"))
 
 
 def _mixture(
     sized: DataFrame, weights: Sequence[float], most: float, seed: int
-) -> tuple[DataFrame, list[str]]:
-    """What every source takes: one row per source, with the edges of every round.
+) -> DataFrame:
+    """What every source takes: one row per source, with its ``spans``.
 
-    A round takes documents in rank order until the next one is larger than what is left.
-    Rounds go on, each with the documents that still fit, until no source takes any.
+    A source takes documents in rank order and leaves out what does not fit, until none
+    is left that does.  A round decides up to the end of the rank range in which words run
+    out; what then stays open is so little that few documents are candidates for the next.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = allocate(sources, weights, most).withColumnRenamed("source", "of")
@@ -158,34 +203,38 @@ def _mixture(
         targets.select(
             "*", whole.alias("whole"), budget.alias("budget"),
             F.try_divide(part, 1 - part).alias("odds"),
+            F.lit(0.0).alias("done"), F.expr(f"CAST(array() AS {SPANS})").alias("spans"),
         ),
         "mix",
     )
-    n_rows = sized.count()
-    rounds: list[str] = []
-    while True:
-        ranked = _ranks(sized.join(current, F.col("source").eqNullSafe(F.col("of"))), seed)
-        free = ranked.where(
-            (F.col("size") > 0) & F.col("rank").isNotNull()
-            & (F.col("size") <= F.col("budget")) & ~_taken(rounds)
+    kept = [c for c in current.columns if c not in ("budget", "done", "spans")]
+    n_open = sized.count()
+    while n_open:
+        found = _largest_prefix(_open(sized, current, seed), n_open).select(
+            F.col("of").alias("found_of"), "left", F.col("done").alias("found_done"),
+            F.col("spans").alias("found_spans"),
         )
-        found = _largest_prefix(
-            free.select("source", "size", "rank", "budget"), n_rows
-        ).withColumnRenamed("of", "found_of")
-        k = len(rounds)
+        joined = current.join(found, F.col("of").eqNullSafe(F.col("found_of")), "left")
         current = materialize(
-            current.drop("words").join(
-                found, F.col("of").eqNullSafe(F.col("found_of")), "left"
-            ).select(
-                *current.drop("words").columns,
-                F.col("edge").alias(f"edge{k}"), F.col("budget").alias(f"fits{k}"),
-                F.coalesce("words", F.lit(0)).alias("words"),
-            ).withColumn("budget", F.col("budget") - F.col("words")),
+            joined.select(
+                *kept, F.coalesce("left", "budget").alias("budget"),
+                F.coalesce("found_done", "done").alias("done"),
+                F.coalesce(F.concat("spans", "found_spans"), "spans").alias("spans"),
+            ),
             "mix",
         )
-        rounds.append(str(k))
-        if not current.agg(F.sum("words")).first()[0]:
-            return current, rounds
+        # One range holds all ranks: every one is decided.
+        n_open = n_open > ROWS_PER_RANGE and _open(sized, current, seed).count()
+    return current
+
+
+def _open(sized: DataFrame, current: DataFrame, seed: int) -> DataFrame:
+    """Documents beyond the ranks that are decided and no larger than what is left."""
+    ranked = _ranks(sized.join(current, F.col("source").eqNullSafe(F.col("of"))), seed)
+    return ranked.where(
+        (F.col("size") > 0) & (F.col("size") <= F.col("budget"))
+        & (F.col("rank") > F.col("done"))
+    ).select("source", "size", "rank", "budget")
 
 
 def sample_copies(
@@ -214,12 +263,12 @@ def sample_copies(
     written to the shared folder.
     """
     sized = materialize(_sized(docs, id_column, text_column, source_column, appeal), "sizes")
-    current, rounds = _mixture(sized, weights, most, seed)
+    current = _mixture(sized, weights, most, seed)
     final = _ranks(sized.join(current, F.col("source").eqNullSafe(F.col("of"))), seed)
     return final.select(
         F.col("id").alias(id_column), F.col("source").alias(source_column), "size",
-        "source_size", "target", _copies(rounds).alias("copies"),
-        (_copies(rounds) * F.col("size")).alias("taken"),
+        "source_size", "target", _copies().alias("copies"),
+        (_copies() * F.col("size")).alias("taken"),
     )
 
 
@@ -238,18 +287,6 @@ def _sized(
     return sized.withColumn("appeal", appeal(F.col("size")).cast("double"))
 
 
-def _taken(rounds: Sequence[str]) -> Column:
-    """A rank within the edge of any round that the document was small enough for."""
-    conditions = [
-        F.coalesce(
-            (F.col("rank") <= F.col(f"edge{k}")) & (F.col("size") <= F.col(f"fits{k}")),
-            F.lit(False),
-        )
-        for k in rounds
-    ]
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (1.0, 2.0, 3.0),
@@ -267,12 +304,12 @@ def mix(
     long as there are not too many sources to broadcast, which Spark checks.
     """
     sized = materialize(_sized(docs, id_column, text_column, source_column, appeal), "sizes")
-    current, rounds = _mixture(sized, weights, most, seed)
+    current = _mixture(sized, weights, most, seed)
     row = F.struct(*[column(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     whole = _sized(docs, id_column, text_column, source_column, appeal, row.alias("row"))
     ranked = _ranks(whole.join(current, F.col("source").eqNullSafe(F.col("of"))), seed)
     return (
-        ranked.select("row", _copies(rounds).alias("copies")).where("copies > 0")
+        ranked.select("row", _copies().alias("copies")).where("copies > 0")
         .select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("n"))
         .select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
     )

@@ -206,3 +206,25 @@ def test_texts_stay_where_they_are(spark):
     docs = spark.createDataFrame(corpus(5, 100), SCHEMA)
     plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.replace("BroadcastExchange", "")
+
+
+def test_few_rounds_and_plans(spark, monkeypatch):
+    """What is written does not grow with the documents that did not fit in turn."""
+    written = []
+    real = mixing.materialize
+    monkeypatch.setattr(
+        mixing, "materialize", lambda df, label: written.append(label) or real(df, label)
+    )
+    frame = spark.createDataFrame([d for d in corpus(9, 300) if d[2] != "tiny"], SCHEMA)
+    mixing.sample_copies(frame, appeal=mixing.substance)
+    assert written == ["sizes", "mix", "mix"]
+
+
+def test_rows_that_are_equal_do_not_stop_their_source(spark):
+    """Two equal rows that do not fit together leave room for later ones that do."""
+    docs = [(1, "w " * 40, "a", "")] * 2 + [(i, "w " * 3, "a", "") for i in range(2, 12)]
+    docs += [(100 + i, "w " * 11, "b", "") for i in range(10)]
+    got = mixing.sample_copies(spark.createDataFrame(docs, SCHEMA)).collect()
+    own = [r for r in got if r["source"] == "a"]
+    # Source a has 110 words and takes 220 / 3, less than the equal rows' 80.
+    assert sum(r["taken"] for r in own) == 30
