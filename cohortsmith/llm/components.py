@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from cohortsmith.session import materialize
 
 
-def _state(links: DataFrame) -> tuple:
-    digest = F.bit_xor(F.xxhash64("u", "v"))
-    return tuple(links.agg(F.count("*"), digest).first())
+def _unsettled(links: DataFrame) -> int:
+    """How many nodes have two smaller neighbours, or a smaller and a larger one."""
+    down = links.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    up = links.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    ends = down.unionByName(up).groupBy("node").agg(
+        F.sum("down").alias("down"), F.max("up").alias("up")
+    )
+    return ends.where("down > 0 AND down + up > 1").agg(F.count("*")).first()[0]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,10 +23,10 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has two columns ``u, v`` of one type without NULL; order, repetition
     and loops do not matter.  Every round hangs the larger neighbours of a node, then
-    the smaller ones, on the smallest neighbour; the number of rounds grows with the
-    logarithm of the longest path.  Minima are taken before the shuffle, the join that
-    follows has one row per node on its right side, and each round is written to the
-    shared folder.
+    the smaller ones, on the smallest neighbour, until every node hangs on one that hangs
+    on none; the number of rounds grows with the logarithm of the longest path.  Minima
+    are taken before the shuffle, the join that follows has one row per node on its right
+    side, and each round is written to the shared folder.
     """
     stars = materialize(
         links.where("u <> v")
@@ -29,8 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         .distinct(),
         "links",
     )
-    before = _state(stars)
-    while before[0]:
+    while _unsettled(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("low"))
         larger = (
@@ -47,10 +51,6 @@ def components(links: DataFrame) -> DataFrame:
             .distinct(),
             "links",
         )
-        after = _state(stars)
-        if after == before:
-            break
-        before = after
     roots = stars.select("v").distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select(F.col("v").alias("node"), F.col("v").alias("root"))

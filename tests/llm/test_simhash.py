@@ -96,3 +96,20 @@ def test_columns_of_any_name_stay(spark):
     kept = simhash.drop_near_copies(docs, distance=0)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2]
+
+
+def test_links_that_are_stars_take_no_round(spark, rows, monkeypatch):
+    from cohortsmith.llm import components as linked
+
+    written = []
+    real = linked.materialize
+    monkeypatch.setattr(
+        linked, "materialize", lambda df, label: written.append(label) or real(df, label)
+    )
+    stars = spark.createDataFrame([(5, 1), (1, 6), (9, 2), (9, 2), (3, 3)], "u long, v long")
+    assert rows(linked.components(stars)) == [(1, 1), (2, 2), (5, 1), (6, 1), (9, 2)]
+    assert len(written) == 1
+    path = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(40, 30), (40, 35)],
+                                 "u long, v long")
+    found = {k: 0 for k in range(21)} | {k: 30 for k in (30, 35, 40)}
+    assert rows(linked.components(path)) == sorted(found.items())
