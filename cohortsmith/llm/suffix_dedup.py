@@ -31,13 +31,16 @@ from pyspark.sql import functions as F
 
 from cohortsmith.llm.bwt import merge
 from cohortsmith.llm.tables import column
-from cohortsmith.session import fresh_path, materialize
+from cohortsmith.session import fresh_path, materialize, scratch, shuffles_dropped
 
 LENGTH = 50
 GRAM = 24
 
 SLICE_BYTES = 1 << 20
 ANCHORS_PER_RANGE = 2_000_000
+# Anchors that go out together: so many for each range, or as many as a task holds.
+ANCHORS_PER_ROW = 4_096
+ANCHORS_AT_ONCE = 1 << 19
 SEGMENTS_PER_BUCKET = 20_000
 
 # Texts and settled anchors a task remembers; groups that copies of one text are dealt to.
@@ -96,16 +99,17 @@ def runs(texts: list[bytes], length: int, gram: int):
     low = np.uint64(63)
     keyed = (grams(data, gram) & ~low) | (place.astype(np.uint64) & low)
     least = window_minima(keyed, span)
-    start = np.arange(len(least))
-    owner = np.searchsorted(ends, start, side="right")
-    inside = start + length <= ends[owner]
-    anchor_at = start + ((least & low).astype(np.int64) - start & 63)
+    # Windows that reach beyond the end of their text; some lie between any two texts.
+    beyond = (ends[:, None] - np.arange(1, length)).ravel()
+    inside = np.ones(len(least), bool)
+    inside[beyond[(beyond >= 0) & (beyond < len(least))]] = False
+    # Equal numbers of neighbours are one anchor at one place.
     new = np.ones(len(least), bool)
-    new[1:] = (anchor_at[1:] != anchor_at[:-1]) | (owner[1:] != owner[:-1]) | ~inside[:-1]
+    new[1:] = (least[1:] != least[:-1]) | ~inside[:-1]
     first = np.flatnonzero(new & inside)
     stop = np.append(np.flatnonzero(new | ~inside), len(least))
     last = stop[np.searchsorted(stop, first, side="right")]
-    text = owner[first]
+    text = np.searchsorted(ends, first, side="right")
     begin = ends[text] - np.array([len(t) for t in texts], np.int64)[text]
     return text, first - begin, last - first, (least[first] >> np.uint64(6)).astype(np.int64)
 
@@ -174,7 +178,10 @@ ENTRIES = "group long, keys binary, counts binary, anchors binary"
 
 def _by_group(group, keys, full, pack) -> pa.RecordBatch:
     """One row per group: its keys, how many anchors of each follow, the anchors."""
-    order = np.lexsort((full, keys, group))
+    order = np.lexsort((full, keys))
+    # Small numbers are sorted by counting.
+    small = group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group
+    order = order[np.argsort(small[order], kind="stable")]
     group, keys, full = group[order], keys[order], full[order]
     heads = np.flatnonzero(
         np.append(True, (group[1:] != group[:-1]) | (keys[1:] != keys[:-1]))[: len(group)]
@@ -223,12 +230,20 @@ def asked_anchors(keyed: DataFrame, length: int, n_ranges: int) -> DataFrame:
     sake of other tasks, and all later ones of the task are answered by text without
     meeting at the anchor.  A text asks once per task.  So what meets at a frequent
     anchor grows with the tasks and not with the documents that have it.
+
+    Anchors of many slices go out in one row per range, so that rows stay long when
+    there are more ranges.
     """
+    enough = min(n_ranges * ANCHORS_PER_ROW, ANCHORS_AT_ONCE)
+
+    def sent(waiting, pack) -> pa.RecordBatch:
+        return _by_group(*map(np.concatenate, zip(*waiting)), pack)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, settled = _Seen(SEEN), _Seen(SEEN)
         # Copies of one text are answered in up to SALTS groups.
         salt = TaskContext.get().partitionId() % SALTS
+        open_, answered, n = [], [], 0
         for batch in batches:
             for part in _slices(batch, "text"):
                 names, at = np.unique(part.column("key").to_numpy(), return_index=True)
@@ -245,10 +260,19 @@ def asked_anchors(keyed: DataFrame, length: int, n_ranges: int) -> DataFrame:
                 settled.add(full[same & ~before].view(np.int64))
                 known = several | before
                 goes = ~before & ~same
-                yield _by_group(full[goes] >> np.uint64(32), keys[goes], full[goes], _halves)
-                if known.any():
-                    group = n_ranges + (keys[known] + salt) % n_ranges
-                    yield _by_group(group, keys[known], full[known], _planes)
+                open_.append(
+                    ((full[goes] >> np.uint64(32)).astype(np.int64), keys[goes], full[goes])
+                )
+                group = n_ranges + (keys[known] + salt) % n_ranges
+                answered.append((group, keys[known], full[known]))
+                n += len(full)
+                if n >= enough:
+                    yield sent(open_, _halves)
+                    yield sent(answered, _planes)
+                    open_, answered, n = [], [], 0
+        if n:
+            yield sent(open_, _halves)
+            yield sent(answered, _planes)
 
     return keyed.select("key", "text").mapInArrow(ask, ENTRIES)
 
@@ -332,17 +356,15 @@ def segments(flagged: DataFrame, length: int, n_ranges: int) -> DataFrame:
     )
 
 
-def earliest_in_buckets(distinct: DataFrame, length: int, n_buckets: int) -> DataFrame:
-    """``anchor, name, lows``: per window of a segment the smallest id that has it."""
+def marks_in_buckets(distinct: DataFrame, length: int, n_buckets: int) -> DataFrame:
+    """``anchor, name, low, windows, mask``: see ``marks``; all of an anchor in one task."""
 
     def resolve(bucket: pa.Table) -> pa.Table:
         bucket = bucket.sort_by("anchor")
         segment = bucket.column("segment").combine_chunks()
         anchor = bucket.column("anchor").to_numpy()
         low = bucket.column("low").to_numpy()
-        windows = pc.binary_length(segment).to_numpy().astype(np.int64) - length + 1
-        through = np.cumsum(windows)
-        lows = np.repeat(low, windows)
+        mask = np.zeros(len(low), np.int64)
         # Segments of different anchors share no window: only an anchor with several
         # segments has something to merge.
         heads = np.flatnonzero(np.append(True, np.diff(anchor) != 0))[: len(anchor)]
@@ -352,49 +374,87 @@ def earliest_in_buckets(distinct: DataFrame, length: int, n_buckets: int) -> Dat
             owner, position, interval = merge(segment.take(pa.array(mine)).to_pylist(), length)
             owner = mine[owner]
             first = np.flatnonzero(np.append(True, np.diff(interval) != 0))
-            least = np.minimum.reduceat(low[owner], first)[interval]
-            lows[through[owner] - windows[owner] + position] = least
+            earlier = np.minimum.reduceat(low[owner], first)[interval] < low[owner]
+            np.add.at(mask, owner[earlier], np.left_shift(1, position[earlier]))
+        kept = pa.array(np.flatnonzero((mask != 0) | bucket.column("shared").to_numpy()))
+        windows = pc.subtract(pc.binary_length(segment.take(kept)), length - 1)
         return pa.table({
-            "anchor": bucket.column("anchor"), "name": bucket.column("name"),
-            "lows": pa.ListArray.from_arrays(
-                pa.array(np.append(0, through), pa.int32()), pa.array(lows)
-            ),
+            "anchor": bucket.column("anchor").take(kept),
+            "name": bucket.column("name").take(kept),
+            "low": bucket.column("low").take(kept),
+            "windows": windows.cast(pa.int32()), "mask": pa.array(mask).take(kept),
         })
 
     return (
         distinct.select(
-            "anchor", "segment", "low", F.xxhash64("segment").alias("name"),
+            "anchor", "segment", "low", "shared", F.xxhash64("segment").alias("name"),
             F.pmod(F.xxhash64("anchor"), F.lit(n_buckets)).alias("bucket"),
         )
         .groupBy("bucket")
-        .applyInArrow(resolve, "anchor long, name long, lows array<long>")
+        .applyInArrow(resolve, "anchor long, name long, low long, windows int, mask long")
     )
 
 
-def earliest_by_window(distinct: DataFrame, length: int) -> DataFrame:
+def marks_by_window(distinct: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many segments: one row per window."""
-    n = F.length("segment") - F.lit(length) + 1
-    windows = distinct.select(
-        "anchor", "segment", F.xxhash64("segment").alias("name"), "low",
-        F.explode(F.sequence(F.lit(1), n)).alias("at"),
+    named = distinct.withColumn("name", F.xxhash64("segment")).withColumn(
+        "windows", F.length("segment") - F.lit(length) + 1
+    )
+    windows = named.select(
+        "anchor", "segment", "name", "low",
+        F.explode(F.sequence(F.lit(1), "windows")).alias("at"),
     )
     windows = windows.withColumn(
         "window", F.sha2(F.substring(F.col("segment"), F.col("at"), F.lit(length)), 256)
     ).drop("segment")
     least = windows.groupBy("window").agg(F.min("low").alias("least"))
-    back = windows.join(least, "window").groupBy("anchor", "name").agg(
-        F.sort_array(F.collect_list(F.struct("at", "least"))).alias("all")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") - 1)
+    masks = windows.join(least, "window").where("least < low").groupBy("anchor", "name").agg(
+        F.bit_or(bit).alias("mask")
     )
-    return back.select("anchor", "name", F.col("all.least").alias("lows"))
+    none = F.lit(0).cast("long")
+    return named.join(masks, ["anchor", "name"], "left").where(
+        "shared OR mask IS NOT NULL"
+    ).select("anchor", "name", "low", "windows", F.coalesce("mask", none).alias("mask"))
 
 
-def _table(df: DataFrame, label: str) -> DataFrame:
+def _table(df: DataFrame, path: str) -> DataFrame:
     """Like ``materialize``, packed tighter: segments of a text overlap."""
-    path = fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def marks(cut: DataFrame, length: int, per_bucket: int, path: str) -> DataFrame:
+    """``anchor, name, low, windows, mask`` of the segments that have windows to remove.
+
+    ``low`` is the smallest id that has the segment: whoever has it and a larger id loses
+    all ``windows``, the others those of the ``mask``, which an id below ``low`` has.
+    Segments that one document has and no earlier window are left out.
+    """
+    spark = cut.sparkSession
+    with scratch(spark):
+        distinct = _table(
+            cut.groupBy("anchor", "segment").agg(
+                F.min("id").alias("low"), (F.count("*") > 1).alias("shared")
+            ),
+            fresh_path(spark, "distinct"),
+        )
+        busy = _table(
+            distinct.groupBy("anchor").agg(F.count("*").alias("n"))
+            .where(F.col("n") > per_bucket).select("anchor"),
+            fresh_path(spark, "busy"),
+        )
+        n_buckets = max(1, math.ceil(distinct.count() / per_bucket))
+        return _table(
+            marks_in_buckets(
+                distinct.join(busy, "anchor", "left_anti"), length, n_buckets
+            ).unionByName(
+                marks_by_window(distinct.join(busy, "anchor", "left_semi"), length)
+            ),
+            path,
+        )
+
+
 def repeated_windows(
     docs: DataFrame, lows: DataFrame, length: int, per_bucket: int = SEGMENTS_PER_BUCKET
 ) -> DataFrame:
@@ -404,38 +464,28 @@ def repeated_windows(
     the text), ``id`` (NULL replaced by ``NO_ID``) and binary ``text``; ``lows``: the
     smallest id (``low``) of each text.
     """
+    spark = docs.sparkSession
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     per_anchor = (length - GRAM + 2) / 2
     n_ranges = max(1, math.ceil(total / per_anchor / ANCHORS_PER_RANGE))
-    found = repeated_anchors(docs, length, n_ranges)
-    # Of equal texts only the one with the smallest id goes on.
-    first = found.join(lows, "key").withColumnsRenamed({"key": "of", "low": "of_id"})
-    flagged = docs.join(
-        first, (F.col("key") == F.col("of")) & (F.col("id") == F.col("of_id"))
-    )
-    cut = _table(segments(flagged, length, n_ranges), "segments")
-    distinct = _table(
-        cut.groupBy("anchor", "segment").agg(F.min("id").alias("low")), "distinct"
-    )
-    busy = materialize(
-        distinct.groupBy("anchor").agg(F.count("*").alias("n"))
-        .where(F.col("n") > per_bucket).select("anchor"),
-        "busy",
-    )
-    n_buckets = max(1, math.ceil(distinct.count() / per_bucket))
-    found_lows = earliest_in_buckets(
-        distinct.join(busy, "anchor", "left_anti"), length, n_buckets
-    ).unionByName(
-        earliest_by_window(distinct.join(busy, "anchor", "left_semi"), length)
+    cut_path, marks_path = fresh_path(spark, "segments"), fresh_path(spark, "marks")
+    with scratch(spark):
+        found = _table(repeated_anchors(docs, length, n_ranges), fresh_path(spark, "found"))
+        # Of equal texts only the one with the smallest id goes on.
+        first = found.join(lows, "key").withColumnsRenamed({"key": "of", "low": "of_id"})
+        flagged = docs.join(
+            first, (F.col("key") == F.col("of")) & (F.col("id") == F.col("of_id"))
+        )
+        cut = _table(segments(flagged, length, n_ranges), cut_path)
+    marked = marks(cut, length, per_bucket, marks_path)
+    whole = F.call_function(
+        "shiftrightunsigned", F.lit(-1).cast("long"), F.lit(64) - F.col("windows")
     )
-    bits = F.transform("lows", lambda low, i: F.when(
-        low < F.col("id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    ).otherwise(F.lit(0).cast("long")))
-    mask = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
     return (
         cut.select("anchor", F.xxhash64("segment").alias("name"), "key", "id", "start")
-        .join(found_lows, ["anchor", "name"])
-        .select("key", "start", mask.alias("mask"))
+        .join(marked, ["anchor", "name"])
+        .select("key", "start", F.when(F.col("id") > F.col("low"), whole)
+                .otherwise(F.col("mask")).alias("mask"))
         .where("mask <> 0")
     )
 
@@ -499,12 +549,17 @@ def remove_repeats(
         F.coalesce(column(docs, id_column).cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(column(docs, text_column), F.lit("")).cast("binary").alias("text"),
     ).withColumn("sha", F.unhex(F.sha2("text", 256)))
-    keyed, lows = text_keys(keyed)
-    cover = materialize(
-        repeated_windows(keyed, lows, length, per_bucket)
-        .groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("gone")),
-        "cover",
-    )
+    spark = docs.sparkSession
+    cover_path = fresh_path(spark, "cover")
+    # Tables and shuffle files go as soon as what they lead to has been written.
+    with shuffles_dropped(spark):
+        keyed, lows = text_keys(keyed)
+        with scratch(spark):
+            cover = _table(
+                repeated_windows(keyed, lows, length, per_bucket)
+                .groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("gone")),
+                cover_path,
+            )
     of_text = lows.join(cover, "key", "left").withColumnRenamed("key", "of")
     # Only a text's first row needs its windows; the others find no partner, so that
     # copies do not meet at their key.

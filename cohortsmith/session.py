@@ -17,6 +17,8 @@ _scopes: dict[str, list[list[str]]] = {}
 HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
 COMPILED_METHOD_BYTES = "8000"
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Session settings that wide recodes and unpivots profit from."""
@@ -77,6 +79,24 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside the block delete their shuffle files when they end.
+
+    Otherwise files stay until the driver happens to collect its garbage.  For queries
+    that run once, as those that write a table; Spark before 4.1 keeps the files.
+    """
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

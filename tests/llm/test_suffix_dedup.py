@@ -147,3 +147,52 @@ def test_what_meets_at_a_frequent_anchor_grows_with_tasks_only(spark, monkeypatc
     assert set(found) == set(range(300)) and answered <= set(found)
     assert min(found.values()) >= 2
     frame.unpersist()
+
+
+def test_only_what_the_result_reads_stays_on_disk(spark):
+    import os
+    import time
+
+    from cohortsmith import session
+
+    def shuffled():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+        files = blocks.diskBlockManager().getAllFiles()
+        return {
+            name for i in range(files.size())
+            if (name := files.apply(i).getName()).startswith("shuffle_") and name.endswith(".data")
+        }
+
+    docs = [(i, t, "k", None) for i, t in corpus(9)]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    shared = session.scratch_path(spark).removeprefix("file:")
+    tables, files = set(os.listdir(shared)), shuffled()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name, None)
+    result = suffix_dedup.remove_repeats(frame)
+    left = {name.split("-")[0] for name in set(os.listdir(shared)) - tables}
+    assert left == {"lows", "cover"}
+    for _ in range(40):  # files go in the background
+        if shuffled() <= files:
+            break
+        time.sleep(0.25)
+    assert shuffled() <= files
+    assert spark.conf.get(name, None) == setting
+    assert result.count() == len(docs)
+
+
+def test_rows_of_a_range_do_not_grow_with_the_slices(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 500)
+    chance = random.Random(11)
+    docs = [(i, bytes(chance.choices(b"uvwxyz", k=400))) for i in range(200)]
+    frame = spark.createDataFrame(docs, "key long, text binary").repartition(2)
+    rows = suffix_dedup.asked_anchors(frame, 50, 20).collect()
+    each = Counter(row["group"] for row in rows)
+    assert set(each) == set(range(20)) and max(each.values()) <= 2
+    # Nothing is lost: every anchor of every text asks once.
+    asked = sum(len(row["anchors"]) // 4 for row in rows)
+    have = sum(len(set(suffix_dedup.runs([text], 50, suffix_dedup.GRAM)[3].tolist()))
+               for _, text in docs)
+    assert asked == have
